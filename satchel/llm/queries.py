@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from satchel.llm.bpe import bpe_round_trip, token_counts
 from satchel.llm.common import table
 from satchel.llm.licenses import license_scan
+from satchel.llm.substrings import substring_dedup_query, suffix_array_dedup_query
 from satchel.llm.topk import TOP_K_SQL, top_k_query
 from satchel.llm.toxicity import toxicity_query
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,6 +24,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_query(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -31,5 +40,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_exact_top_k, op7_license_scans, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_toxicity, op5_exact_top_k, op6_suffix_array_dedup, op7_license_scans, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL = {"op5_exact_top_k": TOP_K_SQL}
