@@ -264,17 +264,20 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, chunk_chars: int = 16_384, overlap: int = 256, spread_chars: int = 65_536) -> DataFrame:
-    """doc_id, text, ids array<int>: the ids of every text, without special tokens.
+Emit = Callable[[Encoder, list, list[str | None], Iterator[list[int]]], pa.RecordBatch]
+#: Texts whose ids a worker holds at once.
+AT_ONCE = 256
+
+
+def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: int = 16_384, overlap: int = 256, spread_chars: int = 65_536) -> DataFrame:
+    """What ``emit`` makes of doc_ids, texts and the ids of each text.
 
     Texts of up to ``spread_chars`` are cut, stitched and encoded in one task.  Longer ones go out as
     chunks of ``chunk_chars`` and ``overlap`` more, cut into pre-tokens wherever a task is free, and
     are stitched and encoded per text.  A null text has no ids.  Rows that repeat doc_id and text get
     equal results, one each.
     """
-    path = path or default_tokenizer_path("byte_bpe_50k.tiktoken")
     docs = bare(docs)
-    schema = "doc_id long, text string, ids array<int>"
     long = F.coalesce(F.length("text"), F.lit(0)) > spread_chars
 
     def cut(text: str) -> list[list[int]]:
@@ -283,9 +286,11 @@ def bpe_encode(docs: DataFrame, path: str | None = None, chunk_chars: int = 16_3
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            texts = batch.column("text")
-            ids = [encoder.encode(stitch(t, cut(t)) if len(t) > chunk_chars else _PIECES.findall(t)) for t in ((x or "") for x in texts.to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                texts = part.column("text").to_pylist()
+                ids = (encoder.encode(stitch(t, cut(t)) if len(t) > chunk_chars else _PIECES.findall(t)) for t in ((x or "") for x in texts))
+                yield emit(encoder, part.column("doc_id").to_pylist(), texts, ids)
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +304,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, chunk_chars: int = 16_3
         first = [i for i, s in enumerate(starts) if i == 0 or s != starts[i - 1]]
         text = "".join(chunks[i][: starts[j] - starts[i]] if j is not None else chunks[i] for i, j in zip(first, [*first[1:], None], strict=True))
         ids, copies = encoder.encode(stitch(text, [ends[i] for i in first])), starts.count(0)
-        return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()] * copies, pa.int64()), "text": pa.array([text] * copies, pa.string()), "ids": pa.array([ids] * copies, pa.list_(pa.int32()))})
+        return pa.Table.from_batches([emit(encoder, [group.column("doc_id")[0].as_py()] * copies, [text] * copies, iter([ids] * copies))])
 
     chunks = (
         docs.filter(long)
@@ -313,6 +318,15 @@ def bpe_encode(docs: DataFrame, path: str | None = None, chunk_chars: int = 16_3
     return docs.filter(~long).mapInArrow(encode, schema).unionByName(joined)
 
 
+def bpe_encode(docs: DataFrame, path: str | None = None, **sizes: int) -> DataFrame:
+    """doc_id, text, ids array<int>: the ids of every text, as ``_encoded`` gets them."""
+
+    def emit(encoder: Encoder, doc_ids: list, texts: list, ids: Iterator[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string()), pa.array(list(ids), pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
+
+    return _encoded(docs, path or default_tokenizer_path("byte_bpe_50k.tiktoken"), emit, "doc_id long, text string, ids array<int>", **sizes)
+
+
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds ``raw`` binary, the bytes of column ``ids`` put together; null ids are none."""
     path = path or default_tokenizer_path("byte_bpe_50k.tiktoken")
@@ -329,17 +343,10 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ids and of the bytes they decode to."""
-    path = path or default_tokenizer_path("byte_bpe_50k.tiktoken")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        text_of = encoder.text_of.__getitem__
-        for batch in batches:
-            ids, raw = batch.column("ids").to_pylist(), batch.column("raw").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([sha256(" ".join(map(text_of, x)).encode()) for x in ids], pa.string()), pa.array(map(sha256, raw), pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+    def emit(encoder: Encoder, doc_ids: list, texts: list, ids: Iterator[list[int]]) -> pa.RecordBatch:
+        rows = [(len(x), sha256(" ".join(map(encoder.text_of.__getitem__, x)).encode()), sha256(encoder.decode(x))) for x in ids]
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    encoded = bpe_encode(docs, path).select("doc_id", "ids")
-    return bpe_decode(encoded, path).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path or default_tokenizer_path("byte_bpe_50k.tiktoken"), emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
