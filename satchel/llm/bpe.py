@@ -21,7 +21,7 @@ from satchel.llm.common import bare, default_tokenizer_path, sha256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = regex.compile(PATTERN)
 #: Entries a worker keeps for pre-tokens it has met; then it begins anew.
-CACHE = 300_000
+CACHE = 600_000
 _NEVER = 1 << 60
 
 
@@ -30,15 +30,19 @@ def merged(piece: bytes, rank: Callable[[bytes, bytes], int]) -> list[bytes]:
     n = len(piece)
     if n < 2:
         return [piece] if n else []
-    if n <= 24:
+    if n <= 64:
         parts = [piece[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            ranks = [rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
-            low = min(ranks)
-            if low >= _NEVER:
-                break
+        ranks = [*map(rank, parts, parts[1:]), _NEVER]
+        while (low := min(ranks)) < _NEVER:
             i = ranks.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i + 1 < len(parts):
+                ranks[i] = rank(parts[i], parts[i + 1])
+            else:
+                ranks[i] = _NEVER
+            if i:
+                ranks[i - 1] = rank(parts[i - 1], parts[i])
         return parts
     ends, right, left = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     part = lambda i: piece[i : ends[i]]
