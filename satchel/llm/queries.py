@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from satchel.llm.bpe import bpe_round_trip, token_counts
 from satchel.llm.common import table
+from satchel.llm.decontaminate import contamination
 from satchel.llm.jaccard import jaccard_query
 from satchel.llm.licenses import license_scan
 from satchel.llm.substrings import substring_dedup_query, suffix_array_dedup_query
@@ -17,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_query(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_query(table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_jaccard_join, op4_toxicity, op5_exact_top_k, op6_suffix_array_dedup, op7_license_scans, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_exact_top_k, op6_suffix_array_dedup, op7_license_scans, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL = {"op5_exact_top_k": TOP_K_SQL}
