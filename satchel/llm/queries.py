@@ -9,6 +9,7 @@ from satchel.llm.common import table
 from satchel.llm.decontaminate import contamination
 from satchel.llm.jaccard import jaccard_query
 from satchel.llm.licenses import license_scan
+from satchel.llm.mixing import lm_scores
 from satchel.llm.substrings import substring_dedup_query, suffix_array_dedup_query
 from satchel.llm.topk import TOP_K_SQL, top_k_query
 from satchel.llm.toxicity import toxicity_query
@@ -42,6 +43,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -50,5 +55,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_exact_top_k, op6_suffix_array_dedup, op7_license_scans, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_exact_top_k, op6_suffix_array_dedup, op7_license_scans, op8_lm_scoring, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL = {"op5_exact_top_k": TOP_K_SQL}
