@@ -6,7 +6,7 @@ some element satisfies it.  Filters are row-wise, so no item is ever returned tw
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from enum import Enum
 from functools import reduce
@@ -195,6 +195,10 @@ def _leaf(op: Op, element: Column, value: Any) -> Column:
     }[op]()
 
 
+def _test(op: Op, value: Any) -> Callable[[Column], Column]:
+    return lambda element: _leaf(op, element, value)
+
+
 def _combine(parts: Iterable[Column], op) -> Column:
     return reduce(op, parts)
 
@@ -225,7 +229,7 @@ def compile_predicate(p: Predicate, schema: StructType) -> Column:
     if p.op in (Op.GREATER, Op.GREATER_OR_EQUAL, Op.LESS, Op.LESS_OR_EQUAL):
         values = values[:1]
     if multi:
-        parts = [F.array_contains(column, F.lit(v)) if p.op is Op.EQUAL else F.exists(column, lambda x, v=v: _leaf(p.op, x, v)) for v in values]
+        parts = [F.array_contains(column, F.lit(v)) if p.op is Op.EQUAL else F.exists(column, _test(p.op, v)) for v in values]
     else:
         parts = [_leaf(p.op, column, v) for v in values]
     both = p.values.quantifier is Quantifier.ALL
