@@ -29,13 +29,13 @@ def _add(name: str, sql: str) -> Callable[[Builder], Builder]:
     return keep
 
 
-def _filter(name: str, of: str, key: str, predicate: P.Predicate, where: str, derive: dict[str, tuple[Column, str]] | None = None) -> None:
+def _filter(name: str, of: str, key: str, predicate: P.Predicate, where: str, derive: dict[str, tuple[Callable[[], Column], str]] | None = None) -> None:
     """A query that returns the keys of the rows that match."""
     derived = derive or {}
     source = f"(SELECT *, {', '.join(f'{s} AS {c}' for c, (_, s) in derived.items())} FROM {of})" if derived else of
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, of).withColumns({c: e for c, (e, _) in derived.items()})
+        df = table(spark, sf_dir, of).withColumns({c: e() for c, (e, _) in derived.items()})
         return Query().where(predicate).prepare(df).df().select(key)
 
     _add(name, f"SELECT {key} FROM {source} WHERE {where}")(run)
@@ -61,7 +61,7 @@ _filter("filter_all_scalar", "customer", "c_custkey", P.all_("c_mktsegment", "BU
 _filter("filter_xor", "orders", "o_orderkey", P.xor("o_orderstatus", "F", "O"), "o_orderstatus <> 'F' OR o_orderstatus <> 'O'")
 _filter("filter_ne_all", "orders", "o_orderkey", P.ne("o_orderstatus", P.all_of("F", "O")), "o_orderstatus NOT IN ('F', 'O')")
 _filter("filter_none", "orders", "o_orderkey", P.none("o_orderstatus", "F", "O"), "o_orderstatus NOT IN ('F', 'O')")
-_MAYBE = {"maybe": (F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")), "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END")}
+_MAYBE = {"maybe": (lambda: F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")), "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END")}
 _filter("filter_is_null", "orders", "o_orderkey", P.is_null("maybe"), "maybe IS NULL", _MAYBE)
 _filter("filter_not_null", "orders", "o_orderkey", P.not_null("maybe"), "maybe IS NOT NULL", _MAYBE)
 _filter("filter_ne_skips_absent", "orders", "o_orderkey", P.ne("maybe", 0.0), "maybe <> 0", _MAYBE)
@@ -329,49 +329,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXT = StringType()
 
 
-def _columns(name: str, of: str, columns: dict[str, Column], sql: str) -> None:
-    _add(name, sql)(lambda spark, sf_dir: table(spark, sf_dir, of).select(*[c.alias(a) for a, c in columns.items()]))
+def _columns(name: str, of: str, columns: Callable[[], dict[str, Column]], sql: str) -> None:
+    _add(name, sql)(lambda spark, sf_dir: table(spark, sf_dir, of).select(*[c.alias(a) for a, c in columns().items()]))
+
+
+def _wordy() -> Column:
+    return F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.format_number(F.col("o_totalprice").cast("long"), 0))
 
 
-_WORDY = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.format_number(F.col("o_totalprice").cast("long"), 0))
 _columns(
     "convert_int",
     "orders",
-    {"o_orderkey": F.col("o_orderkey"), "n": convert.to_integer(_WORDY, _TEXT), "safe": convert.to_safe_int(_WORDY, _TEXT, 7), "big": convert.to_long(_WORDY, _TEXT), "small": convert.to_short(_WORDY, _TEXT)},
+    lambda: {"o_orderkey": F.col("o_orderkey"), "n": convert.to_integer(_wordy(), _TEXT), "safe": convert.to_safe_int(_wordy(), _TEXT, 7), "big": convert.to_long(_wordy(), _TEXT), "small": convert.to_short(_wordy(), _TEXT)},
     "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(trunc(o_totalprice) AS INTEGER) END AS n, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(trunc(o_totalprice) AS INTEGER) ELSE 7 END AS safe, "
     "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(trunc(o_totalprice) AS BIGINT) END AS big, CASE WHEN o_orderkey % 5 <> 0 AND trunc(o_totalprice) < 1000 THEN CAST(trunc(o_totalprice) AS SMALLINT) END AS small FROM orders",
 )
 _columns(
     "convert_flags",
     "orders",
-    {"o_orderkey": F.col("o_orderkey"), "flag": convert.to_integer(F.col("o_orderstatus") == "F", BooleanType()), "real": convert.to_double(F.col("o_orderstatus") == "F", BooleanType())},
+    lambda: {"o_orderkey": F.col("o_orderkey"), "flag": convert.to_integer(F.col("o_orderstatus") == "F", BooleanType()), "real": convert.to_double(F.col("o_orderstatus") == "F", BooleanType())},
     "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 0 END AS flag, CASE WHEN o_orderstatus = 'F' THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS real FROM orders",
 )
 _columns(
     "convert_double",
     "lineitem",
-    {"l_orderkey": F.col("l_orderkey"), "l_linenumber": F.col("l_linenumber"), "x": convert.to_double(F.concat(F.lit(" 1,"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(".5")), _TEXT), "none": convert.to_safe_double(F.lit("one"), _TEXT, 2.5)},
+    lambda: {"l_orderkey": F.col("l_orderkey"), "l_linenumber": F.col("l_linenumber"), "x": convert.to_double(F.concat(F.lit(" 1,"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(".5")), _TEXT), "none": convert.to_safe_double(F.lit("one"), _TEXT, 2.5)},
     "SELECT l_orderkey, l_linenumber, 1000.5 + l_quantity AS x, CAST(2.5 AS DOUBLE) AS none FROM lineitem",
 )
 _columns(
     "convert_bool",
     "orders",
-    {"o_orderkey": F.col("o_orderkey"), "b": convert.to_boolean("o_orderpriority", _TEXT), "word": convert.to_safe_boolean(F.when(F.col("o_orderkey") % 3 == 0, "TRUE").when(F.col("o_orderkey") % 3 == 1, "yes"), _TEXT, True), "n": convert.to_boolean(F.col("o_totalprice") - 1000, DoubleType())},
+    lambda: {"o_orderkey": F.col("o_orderkey"), "b": convert.to_boolean("o_orderpriority", _TEXT), "word": convert.to_safe_boolean(F.when(F.col("o_orderkey") % 3 == 0, "TRUE").when(F.col("o_orderkey") % 3 == 1, "yes"), _TEXT, True), "n": convert.to_boolean(F.col("o_totalprice") - 1000, DoubleType())},
     "SELECT o_orderkey, FALSE AS b, o_orderkey % 3 <> 1 AS word, trunc(o_totalprice - 1000) <> 0 AS n FROM orders",
 )
 _columns(
     "convert_date",
     "orders",
-    {"o_orderkey": F.col("o_orderkey"), "day": F.date_format(convert.to_date(F.date_format("o_orderdate", "MM/dd/yyyy"), _TEXT), "yyyy-MM-dd"), "iso": F.date_format(convert.to_date(F.date_format("o_orderdate", "yyyy-MM-dd"), _TEXT), "yyyy-MM-dd"), "short": F.date_format(convert.to_date(F.date_format("o_orderdate", "MM/dd/yy"), _TEXT), "yyyy-MM-dd"), "bad": convert.to_date(F.lit("soon"), _TEXT).isNull()},
+    lambda: {"o_orderkey": F.col("o_orderkey"), "day": F.date_format(convert.to_date(F.date_format("o_orderdate", "MM/dd/yyyy"), _TEXT), "yyyy-MM-dd"), "iso": F.date_format(convert.to_date(F.date_format("o_orderdate", "yyyy-MM-dd"), _TEXT), "yyyy-MM-dd"), "short": F.date_format(convert.to_date(F.date_format("o_orderdate", "MM/dd/yy"), _TEXT), "yyyy-MM-dd"), "bad": convert.to_date(F.lit("soon"), _TEXT).isNull()},
     "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS short, TRUE AS bad FROM orders",
 )
 _columns(
     "convert_decimal",
     "customer",
-    {"c_custkey": F.col("c_custkey"), "d": convert.to_decimal(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), _TEXT).cast("string"), "whole": convert.to_big_integer(F.concat(F.col("c_custkey"), F.lit(",000")), _TEXT).cast("string"), "frac": convert.to_big_integer(F.lit("1.5"), _TEXT).isNull()},
+    lambda: {"c_custkey": F.col("c_custkey"), "d": convert.to_decimal(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), _TEXT).cast("string"), "whole": convert.to_big_integer(F.concat(F.col("c_custkey"), F.lit(",000")), _TEXT).cast("string"), "frac": convert.to_big_integer(F.lit("1.5"), _TEXT).isNull()},
     "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS d, CAST(c_custkey * 1000 AS VARCHAR) AS whole, TRUE AS frac FROM customer",
 )
-_filter("filter_like_wildmat", "customer", "c_custkey", P.gt("hit", 0), "hit > 0", {"hit": (strings.wildmat("c_name", "Customer#*[0-4]?").cast("int"), "CAST(regexp_full_match(c_name, 'Customer#.*[0-4].') AS INTEGER)")})
+_filter("filter_like_wildmat", "customer", "c_custkey", P.gt("hit", 0), "hit > 0", {"hit": (lambda: strings.wildmat("c_name", "Customer#*[0-4]?").cast("int"), "CAST(regexp_full_match(c_name, 'Customer#.*[0-4].') AS INTEGER)")})
 
 
 @_add("wildmat", "SELECT c_custkey FROM customer WHERE regexp_full_match(c_name, 'Customer#.*[1-3]')")
@@ -387,46 +390,47 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _columns(
     "str_pad_head_tail",
     "part",
-    {"p_partkey": F.col("p_partkey"), "l": strings.prepad(F.col("p_size").cast("string"), 4, "0"), "r": strings.pad("p_brand", 3, "*"), "h": strings.head("p_name", 5), "t": strings.tail("p_name", 5)},
+    lambda: {"p_partkey": F.col("p_partkey"), "l": strings.prepad(F.col("p_size").cast("string"), 4, "0"), "r": strings.pad("p_brand", 3, "*"), "h": strings.head("p_name", 5), "t": strings.tail("p_name", 5)},
     "SELECT p_partkey, CASE WHEN length(CAST(p_size AS VARCHAR)) >= 4 THEN CAST(p_size AS VARCHAR) ELSE lpad(CAST(p_size AS VARCHAR), 4, '0') END AS l, CASE WHEN length(p_brand) >= 3 THEN p_brand ELSE rpad(p_brand, 3, '*') END AS r, left(p_name, 5) AS h, right(p_name, 5) AS t FROM part",
 )
 _columns(
     "str_blank",
     "documents",
-    {"doc_id": F.col("doc_id"), "blank": strings.is_blank(F.when(F.col("doc_id") % 3 == 0, F.lit(" \t\n")).when(F.col("doc_id") % 3 == 1, F.col("text")))},
+    lambda: {"doc_id": F.col("doc_id"), "blank": strings.is_blank(F.when(F.col("doc_id") % 3 == 0, F.lit(" \t\n")).when(F.col("doc_id") % 3 == 1, F.col("text")))},
     "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NOT regexp_matches(text, '[^\\x00-\\x20]') ELSE TRUE END AS blank FROM documents",
 )
 _columns(
     "str_replace",
     "documents",
-    {"doc_id": F.col("doc_id"), "h": F.md5(strings.replace_all("text", "the", "[THE]").cast("binary"))},
+    lambda: {"doc_id": F.col("doc_id"), "h": F.md5(strings.replace_all("text", "the", "[THE]").cast("binary"))},
     "SELECT doc_id, md5(replace(text, 'the', '[THE]')) AS h FROM documents",
 )
 _columns(
     "str_breakup",
     "documents",
-    {"doc_id": F.col("doc_id"), "h": F.md5(strings.break_large_words("text", " \n", "-", 6).cast("binary"))},
+    lambda: {"doc_id": F.col("doc_id"), "h": F.md5(strings.break_large_words("text", " \n", "-", 6).cast("binary"))},
     "SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[^ \\n]+|[ \\n]+'), lambda w: CASE WHEN regexp_matches(w, '[ \\n]') THEN w ELSE array_to_string(regexp_extract_all(w, '(?s).{1,6}'), '-') END), '')) AS h FROM documents",
 )
 _columns(
     "str_wordbreak",
     "documents",
-    {"doc_id": F.col("doc_id"), "at": strings.last_word_break("text", " \n", 40).cast("long")},
+    lambda: {"doc_id": F.col("doc_id"), "at": strings.last_word_break("text", " \n", 40).cast("long")},
     "SELECT doc_id, CASE WHEN regexp_matches(left(text, 40), '[ \\n]') THEN CAST(length(regexp_extract(left(text, 40), '(?s)^(.*[ \\n])', 1)) AS BIGINT) ELSE -1 END AS at FROM documents",
 )
-_MONEY = F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+def _money() -> Column:
+    return F.col("c_acctbal").cast("decimal(12,2)").cast("string")
 
 
 @_add("num_encode_order", "SELECT c_custkey, rank() OVER (ORDER BY CAST(c_acctbal AS DECIMAL(12,2))) AS place FROM customer")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.rank().over(Window.orderBy(numbers.encode(_MONEY))).cast("long").alias("place"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.rank().over(Window.orderBy(numbers.encode(_money()))).cast("long").alias("place"))
 
 
-_columns("num_decode", "customer", {"c_custkey": F.col("c_custkey"), "v": numbers.decode(numbers.encode(_MONEY))}, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS v FROM customer")
+_columns("num_decode", "customer", lambda: {"c_custkey": F.col("c_custkey"), "v": numbers.decode(numbers.encode(_money()))}, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS v FROM customer")
 _columns(
     "url_query_params",
     "pages",
-    {"page_id": F.col("page_id"), "q": F.element_at(strings.query_components(F.concat(F.lit("http://h/?a=x+y&id="), F.col("page_id"), F.lit("#f"))), "a"), "id": F.element_at(strings.query_components(F.concat(F.lit("http://h/?a=x+y&id="), F.col("page_id"), F.lit("#f"))), "id"), "none": strings.query_components(F.lit("http://h/")).isNull()},
+    lambda: {"page_id": F.col("page_id"), "q": F.element_at(strings.query_components(F.concat(F.lit("http://h/?a=x+y&id="), F.col("page_id"), F.lit("#f"))), "a"), "id": F.element_at(strings.query_components(F.concat(F.lit("http://h/?a=x+y&id="), F.col("page_id"), F.lit("#f"))), "id"), "none": strings.query_components(F.lit("http://h/")).isNull()},
     "SELECT page_id, 'x y' AS q, CAST(page_id AS VARCHAR) AS id, TRUE AS none FROM pages",
 )
 
