@@ -159,12 +159,9 @@ def train_tables(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, _, h, at, size in each_slice(batch):
                 for *slots, bit in slots_of(h, *contexts(h, at, size)):
-                    for table, slot in zip(tables, slots, strict=True):
-                        key, many = np.unique(slot << np.uint32(1) | bit, return_counts=True) if len(table[0]) <= 1 << BITS else (None, None)
-                        if key is not None:
-                            table[key & 1, key >> 1] += many.astype(np.int32)
-                        else:
-                            np.add.at(table.reshape(-1), slot.astype(np.int64) + bit.astype(np.int64) * SLOTS, 1)
+                    tables[0] += np.bincount(slots[0] + (bit << np.uint32(BITS)), minlength=2 << BITS).reshape(2, -1).astype(np.int32)
+                    for table, slot in zip(tables[1:], slots[1:], strict=True):
+                        np.add.at(table.reshape(-1), slot + bit * np.uint32(SLOTS), 1)
         whole = np.concatenate(tables, axis=1)
         if whole.any():
             rows = [(int(p), pack(x)) for p, x in enumerate(np.array_split(whole.T.reshape(-1), _PARTS))]
