@@ -32,8 +32,12 @@ class OrderedSet:
 
     def seek(self, key: Any, reverse: bool = False) -> Row | None:
         """The entry at ``key`` or the next one in the direction."""
+        return self.nearest(key, reverse).first()
+
+    def nearest(self, key: Any, reverse: bool = False) -> DataFrame:
+        """``seek`` as a frame of one row at most."""
         c = F.col("key")
-        return self.frame.filter(c <= F.lit(key) if reverse else c >= F.lit(key)).orderBy(c.desc() if reverse else c).first()
+        return self.frame.filter(c <= F.lit(key) if reverse else c >= F.lit(key)).orderBy(c.desc() if reverse else c.asc()).limit(1)
 
     def ordered(self, reverse: bool = False) -> DataFrame:
         c = F.col("key")

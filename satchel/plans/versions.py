@@ -37,6 +37,17 @@ def conflicts(reads: DataFrame, journal: DataFrame, commits: DataFrame, start: i
     return reads.select("id").distinct().join(later, "id", "left_semi")
 
 
+def last_commit(commits: DataFrame) -> DataFrame:
+    """rev and commit_no of the newest commit; nulls if there is none."""
+    return commits.agg(F.max_by("rev", "commit_no").alias("rev"), F.max("commit_no").alias("commit_no"))
+
+
+def committed(revisions: DataFrame, commits: DataFrame) -> DataFrame:
+    """Each revision and whether it has a commit."""
+    marked = commits.select("rev", F.lit(True).alias("committed")).distinct()
+    return revisions.join(marked, "rev", "left").withColumn("committed", F.coalesce("committed", F.lit(False)))
+
+
 def available_revisions(revisions: DataFrame, deletions: DataFrame) -> DataFrame:
     return revisions.join(deletions.select("rev"), "rev", "left_anti").orderBy(F.desc("rev"))
 

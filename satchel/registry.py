@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, TimestampNTZType
 
 from satchel.functions import convert, numbers, paths, strings
 from satchel.operators import hierarchy, items
 from satchel.operators import predicates as P
 from satchel.operators.predicates import ID, KIND
+from satchel.operators.ordered import OrderedSet
 from satchel.operators.query import Direction, Query
+from satchel.operators.ranking import with_places
 from satchel.plans import versions as V
 from satchel.sources.tables import read_table as table
 
@@ -159,7 +161,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- order, count, first
 def _ranked(df: DataFrame, q: Query, key: str) -> DataFrame:
     """The place of each row in the query's order, ties by key."""
-    return df.select(key, F.row_number().over(Window.orderBy(*(s.column() for s in q.sorts), key)).cast("long").alias("place"))
+    return with_places(df, *(x.column() for x in q.sorts), F.col(key)).select(key, "place")
 
 
 def _order(name: str, q: Query, by: str) -> None:
@@ -188,7 +190,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("order_identifier", f"""SELECT "__ID__", row_number() OVER (ORDER BY string_split("__ID__", '/')[1:len(string_split("__ID__", '/')) - 1], string_split("__ID__", '/')[-1]) AS place FROM {_TREE}""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir).select(ID, F.row_number().over(Window.orderBy(*paths.order_key(F.col(ID)))).cast("long").alias("place"))
+    return with_places(_tree(spark, sf_dir), *paths.order_key(F.col(ID))).select(ID, "place")
 
 
 @_add("count", "SELECT count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'")
@@ -421,9 +423,9 @@ def _money() -> Column:
     return F.col("c_acctbal").cast("decimal(12,2)").cast("string")
 
 
-@_add("num_encode_order", "SELECT c_custkey, rank() OVER (ORDER BY CAST(c_acctbal AS DECIMAL(12,2))) AS place FROM customer")
+@_add("num_encode_order", "SELECT c_custkey, row_number() OVER (ORDER BY CAST(c_acctbal AS DECIMAL(12,2)), c_custkey) AS place FROM customer")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.rank().over(Window.orderBy(numbers.encode(_money()))).cast("long").alias("place"))
+    return with_places(table(spark, sf_dir, "customer"), numbers.encode(_money()), F.col("c_custkey")).select("c_custkey", "place")
 
 
 _columns("num_decode", "customer", lambda: {"c_custkey": F.col("c_custkey"), "v": numbers.decode(numbers.encode(_money()))}, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS v FROM customer")
@@ -435,6 +437,116 @@ _columns(
 )
 
 
+# ---------------------------------------------------------------- properties, sets, limits
+@_add("properties_set_remove", f"""SELECT "__ID__", upper(name) AS name, "__KIND__" <> 'part' AS has_balance, FALSE AS indexed FROM {_KINDS}""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = items.set_property(items.remove_property(_kinds(spark, sf_dir), "size"), "name", F.upper("name"), indexed=False)
+    return made.select(ID, "name", items.has_property("balance").alias("has_balance"), items.is_indexed("name").alias("indexed"))
+
+
+@_add("items_copy", f"""SELECT 'copy/' || "__ID__" AS "__ID__", name FROM {_KINDS} WHERE "__KIND__" = 'supplier'""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = Query().where(P.kind("supplier")).prepare(_kinds(spark, sf_dir)).df()
+    return items.copy_items(suppliers, paths.child(F.lit("copy"), ID)).select(ID, "name")
+
+
+@_add("reference_join_multi", "SELECT DISTINCT l_orderkey AS \"__ID__\" FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 3000")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    poor = table(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").alias(ID))
+    return items.reference_join(_members(spark, sf_dir).withColumnRenamed("id", ID), "members", poor).select(ID)
+
+
+def _sets(name: str, sql: str, make: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = table(spark, sf_dir, "orders")
+        one = Query().where(P.eq("o_orderstatus", "F")).prepare(orders).df().select("o_custkey")
+        two = Query().where(P.gt("o_totalprice", 200000.0)).prepare(orders).df().select("o_custkey")
+        return make(one, two)
+
+    _add(name, f"SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' {sql} SELECT o_custkey FROM orders WHERE o_totalprice > 200000")(run)
+
+
+_sets("set_intersection", "INTERSECT", lambda a, b: a.intersect(b))
+_sets("set_union", "UNION", lambda a, b: a.union(b).distinct())
+_sets("set_except", "EXCEPT", lambda a, b: a.subtract(b))
+
+
+@_add("limit_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query().order_by("o_totalprice", Direction.DESCENDING).order_by("o_orderkey")
+    return q.prepare(table(spark, sf_dir, "orders")).df().limit(25).select("o_orderkey", "o_totalprice")
+
+
+@_add("tree_size", f"""SELECT len({_SPLIT}) AS depth, count(*) AS n FROM {_TREE} GROUP BY 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).groupBy(paths.depth(ID).cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- ordered sets
+@_add("ordered_upsert", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS value FROM customer WHERE c_custkey <> 5")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    entries = OrderedSet(c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")))
+    return entries.put_all(c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.lit("new").alias("value"))).remove(5).frame
+
+
+@_add("ordered_seek", "(SELECT o_orderkey AS key, 'next' AS way FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT o_orderkey, 'back' FROM orders WHERE o_orderkey <= 100 ORDER BY o_orderkey DESC LIMIT 1)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = OrderedSet(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")))
+    way = lambda reverse, label: entries.nearest(100, reverse).select("key", F.lit(label).alias("way"))
+    return way(False, "next").union(way(True, "back"))
+
+
+# ---------------------------------------------------------------- more of versions
+@_add("max_committed_revision", f"SELECT arg_max(rev, commit_no) AS rev, max(commit_no) AS commit_no FROM {_COMMITS}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.last_commit(_versions(spark, sf_dir)[1])
+
+
+@_add("revisions_committed", f"SELECT event_id AS rev, event_id IN (SELECT rev FROM {_COMMITS}) AS committed FROM events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions, commits = _versions(spark, sf_dir)
+    return V.committed(versions.select("rev"), commits)
+
+
+@_add(
+    "mvcc_children",
+    f"SELECT id FROM ({_snapshot_sql('c.commit_no <= 800')}) WHERE id LIKE '1%'",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions, commits = _versions(spark, sf_dir)
+    placed = versions.withColumn("id", paths.child(F.substring("id", 1, 1), "id"))
+    seen = V.snapshot_view(placed, commits, 800).withColumnRenamed("id", ID)
+    return hierarchy.list_children(seen, "1").select(paths.name(ID).alias("id"))
+
+
+# ---------------------------------------------------------------- more functions
+_columns(
+    "convert_times",
+    "orders",
+    lambda: {"o_orderkey": F.col("o_orderkey"), "ms": convert.to_long("o_orderdate", TimestampNTZType()), "back": F.date_format(convert.to_timestamp("o_orderdate", TimestampNTZType()), "yyyy-MM-dd HH:mm:ss")},
+    "SELECT o_orderkey, epoch_ms(o_orderdate) AS ms, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS back FROM orders",
+)
+_columns(
+    "convert_narrow",
+    "orders",
+    lambda: {"o_orderkey": F.col("o_orderkey"), "b": convert.to_byte("o_orderkey", LongType()).cast("int"), "safe": convert.to_safe_byte(F.lit("300"), _TEXT, 9).cast("int"), "c": convert.to_character(F.lit(65) + F.col("o_orderkey") % 26, LongType()), "s": convert.to_safe_string(F.nullif(F.col("o_orderstatus"), F.lit("F")))},
+    "SELECT o_orderkey, CAST((o_orderkey + 128) % 256 - 128 AS INTEGER) AS b, 9 AS safe, chr(CAST(65 + o_orderkey % 26 AS INTEGER)) AS c, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END AS s FROM orders",
+)
+_columns(
+    "convert_types",
+    "customer",
+    lambda: {"c_custkey": F.col("c_custkey"), "code": convert.type_code("c_acctbal"), "n": F.size(convert.to_list("c_name", _TEXT)).cast("long"), "path": paths.normalise(F.concat(F.lit("/a/"), F.col("c_name"), F.lit("//")))},
+    "SELECT c_custkey, 'double' AS code, CAST(1 AS BIGINT) AS n, 'a/' || c_name AS path FROM customer",
+)
+_columns(
+    "wild_start_lengths",
+    "part",
+    lambda: {"p_partkey": F.col("p_partkey"), "hit": strings.wild_start("p_name", "*[aeiou]?")["matched"], "size": strings.wild_start("p_name", "*[aeiou]?")["last_matched"].cast("long")},
+    "SELECT p_partkey, regexp_matches(p_name, '[aeiou].') AS hit, CAST(length(regexp_extract(p_name, '^.*?[aeiou].')) AS BIGINT) AS size FROM part",
+)
+
+
 @_add(
     "flagship",
     "SELECT 'customer/' || c_custkey AS \"__ID__\", c_name AS name, c_acctbal AS balance FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0",
