@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +22,6 @@ SHARD_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="satchel-checkpoint-"))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

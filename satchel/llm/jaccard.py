@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Rolling, Words, bare, checkpoint, mix, n_shards, pack, runs, shard_of, slices, split_by, text_buffer, unpack
+from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, shard_of, slices, split_by, text_buffer, unpack
 from satchel.llm.graph import components
 from satchel.llm.shards import by_shard
+from satchel.plans.shared import checkpoint
 
 SLICE = 1 << 19
 #: Hashes in a region that one task joins.

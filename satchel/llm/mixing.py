@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Words, bare, checkpoint, ids_column, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
+from satchel.llm.common import Words, bare, ids_column, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
 from satchel.llm.shards import by_shard, from_ipc, packed
+from satchel.plans.shared import checkpoint
 
 BITS = 12
 #: Slots of the two hashed tables; the first table has a slot for each node.
@@ -42,7 +43,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     counts = words.counts()
     at = np.r_[0, np.cumsum(counts + 1)]
     h = np.full(at[-1], END)
-    size = np.full(at[-1], 255, np.int64)
+    size = np.full(at[-1], 255, np.int16)
     place = np.arange(len(words.hash)) + np.repeat(np.arange(len(counts)), counts)
     h[place], size[place] = words.hash, np.minimum(words.ends - words.starts, 255)
     return h, at, size
@@ -51,20 +52,19 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def contexts(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the token before and of the shortest of the last ones (the latest of equals)."""
     n = len(h)
-    first = np.repeat(at[:-1], np.diff(at))
+    into = (np.arange(n) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)
     before = np.zeros(n, np.uint64)
     before[1:] = h[:-1]
-    before[at[:-1][at[:-1] < n]] = 0
-    best = np.full(n, 1 << 30)
+    before[into == 0] = 0
+    # the length and, below it, how far back: the smallest is the shortest and the latest of those
+    far = np.int16(1 << 14)
+    best = np.full(n, far)
+    for k in range(1, min(RECENT, n - 1) + 1):
+        own = np.where(into[k:] >= k, size[: n - k] << 4 | k, far)
+        np.minimum(best[k:], own, out=best[k:])
+    has = np.flatnonzero(best < far)
     shortest = np.zeros(n, np.uint64)
-    place = np.arange(n)
-    for k in range(1, RECENT + 1):
-        ok = place - k >= first
-        s = np.full(n, 1 << 30)
-        s[k:] = size[: n - k] if k < n else s[k:]
-        take = ok & (s < best)
-        best[take] = s[take]
-        shortest[take] = h[place[take] - k]
+    shortest[has] = h[has - (best[has] & 15)]
     return before, shortest
 
 
@@ -161,7 +161,7 @@ def train_tables(docs: DataFrame) -> np.ndarray:
                 for *slots, bit in slots_of(h, *contexts(h, at, size)):
                     tables[0] += np.bincount(slots[0] + (bit << np.uint32(BITS)), minlength=2 << BITS).reshape(2, -1).astype(np.int32)
                     for table, slot in zip(tables[1:], slots[1:], strict=True):
-                        np.add.at(table.reshape(-1), slot + bit * np.uint32(SLOTS), 1)
+                        np.add.at(table.reshape(-1), (slot + bit * np.uint32(SLOTS)).astype(np.int64), np.int32(1))
         whole = np.concatenate(tables, axis=1)
         if whole.any():
             rows = [(int(p), pack(x)) for p, x in enumerate(np.array_split(whole.T.reshape(-1), _PARTS))]
@@ -197,30 +197,42 @@ class Mixer:
         self.in_bucket = low.astype(float) + 0.5 * (types + 1)
 
     def code_bits(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Bits that each token's decisions take."""
-        before, shortest = contexts(h, at, size)
-        counts, n = np.diff(at), len(h)
-        x = np.empty((3, BITS, n), np.float32)
-        sign = np.empty((BITS, n), np.float32)
-        for b, (*slots, bit) in enumerate(slots_of(h, before, shortest)):
+        """Bits that each token's decisions take.
+
+        Blocks of a document are read in turn, those of all documents side by side.
+        """
+        counts, before_shortest = np.diff(at), contexts(h, at, size)
+        blocks = -(-counts // BLOCK)
+        doc = np.repeat(np.arange(len(counts)), blocks)
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        order = np.argsort(step, kind="stable")
+        doc, step = doc[order], step[order]
+        token = (at[doc] + step * BLOCK)[:, None] + np.arange(BLOCK)
+        real = token < at[doc + 1][:, None]
+        token[~real] = 0
+        x = np.empty((3, BITS, *token.shape), np.float32)
+        sign = np.empty((BITS, *token.shape), np.float32)
+        for b, (*slots, bit) in enumerate(slots_of(*(c[token] for c in (h, *before_shortest)))):
             for k, slot in enumerate(slots):
-                x[k, b] = self.tables[k][slot]
+                np.take(self.tables[k], slot, out=x[k, b])
             sign[b] = 1 - 2.0 * bit
+        sign *= real
         weights = np.empty((3, BITS, len(counts)), np.float32)
         weights[:] = np.array(START, np.float32)[:, None, None]
-        bits = np.empty(n, np.float32)
-        for step in range(0, int(counts.max(initial=0)), BLOCK):
-            docs = np.flatnonzero(counts > step)
-            m = np.minimum(counts[docs] - step, BLOCK)
-            begin = np.cumsum(m) - m
-            col = np.arange(m.sum()) + np.repeat(at[docs] + step - begin, m)
-            own, s = x[:, :, col], sign[:, col]
-            w = weights[:, :, docs]
-            z = s * (np.repeat(w, m, axis=2) * own).sum(axis=0)
-            odds = np.exp(np.minimum(z, np.float32(30)))
-            bits[col] = np.log1p(odds).sum(axis=0)
-            error = s * (-odds / (1 + odds))  # bit - p
-            weights[:, :, docs] = w + np.float32(RATE) * np.add.reduceat(own * error, begin, axis=2)
+        loss = np.empty(token.shape, np.float32)
+        for a, z in zip(*runs(step), strict=True):
+            own, s, d = x[:, :, a:z], sign[:, a:z], doc[a:z]
+            w = weights[:, :, d]
+            logit = w[0, ..., None] * own[0]
+            logit += w[1, ..., None] * own[1]
+            logit += w[2, ..., None] * own[2]
+            logit *= s
+            odds = np.exp(np.minimum(logit, np.float32(30), out=logit), out=logit)
+            loss[a:z] = np.log1p(odds).sum(axis=0)
+            error = s * (odds / (1 + odds))  # p - bit
+            weights[:, :, d] = w - np.float32(RATE) * np.einsum("kbnj,bnj->kbn", own, error)
+        bits = np.empty(len(h), np.float32)
+        bits[token[real]] = loss[real]
         return bits / np.float32(np.log(2))
 
     def log10(self, h: np.ndarray, at: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
