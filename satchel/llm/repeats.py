@@ -337,8 +337,8 @@ def apply_spans(docs: DataFrame, spans: DataFrame, task: Task, n: int, emit: Cal
             for i in np.flatnonzero(mine >= 0):
                 k = slice(first[mine[i]], last[mine[i]])
                 start = s.bounds[i] + (p[k] & low)
-                np.add.at(removed, start, 1)
-                np.add.at(removed, start + e[k], -1)
+                np.add.at(removed, start, np.int32(1))
+                np.add.at(removed, start + e[k], np.int32(-1))
             parts.append((base, s, np.cumsum(removed)[:-1] > 0))
             base += len(s.ids)
         return emit(table, parts)
