@@ -1,10 +1,11 @@
 """Operator 3: documents linked by the Jaccard similarity of their shingle sets.
 
 1 - similarity is a metric.  At distance 1 from every pivot, where most pairs of documents are, pivots
-cannot part documents, so the first regions come from an exact filter: sets that are linked differ in
-at most D elements, so of D + 1 or more classes of elements (by hash) they agree in one.  Documents
-that agree in a class are candidates, and the candidates' connected components are the regions that
-metric pivots then join:
+cannot part documents, so the first regions come from exact filters.  Sets that are linked differ in at
+most D elements, so of D + 1 or more classes of elements (by hash) they agree in one: documents that agree
+in a class are a group of candidates.  The parities of a set's elements in some places differ in no more
+places than the sets do: within a group, sets whose parities differ in more than D places are parted.  The
+connected components of what is left are the regions that metric pivots then join:
 
 * a pivot is linked with all inside the threshold t; those are one class, and no pair of them is
   looked at again;
@@ -149,8 +150,39 @@ def signatures(sets: Sets, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
+def parities(sets: Sets) -> list[bytes]:
+    """For each set the parity of its elements in each of 64 to 32,768 places, about one an element."""
+    size = sets.size
+    places = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 6, 15)
+    base = np.cumsum(places) - places
+    doc = np.repeat(np.arange(len(size)), size)
+    at = (mix(sets.elements ^ np.uint64(0x9D2C5680CAFEF00D)) & (places[doc] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(base[doc] + at, minlength=int(places.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [bits[a : a + n].tobytes() for a, n in zip(base // 8, places // 8, strict=True)]
+
+
+def parity_links(sizes: np.ndarray, bits: list[bytes], measure: Measure) -> list[tuple[int, int]]:
+    """Links that connect all sets of a group that their parities allow to be linked."""
+    width = min(map(len, bits)) // 8
+    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), axis=0) for b in bits])
+    links, rest = [], np.arange(1, len(bits))
+    todo = [0]
+    while len(rest):
+        if not todo:
+            todo, rest = [int(rest[0])], rest[1:]
+            continue
+        i = todo.pop()
+        apart = np.bitwise_count(rows[rest] ^ rows[i]).sum(axis=1)
+        near = apart <= (measure.den - measure.num) * (sizes[rest] + sizes[i]) // (measure.den + measure.num)
+        found = rest[near].tolist()
+        links += [(i, j) for j in found]
+        todo += found
+        rest = rest[~near]
+    return links
+
+
 def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
-    """Edges (u, v) of stars: all nodes that share a signature are joined to the smallest of them."""
+    """Edges (u, v) between nodes that connect all that may be linked."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +196,8 @@ def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
                 blobs.append(pack(*arrays))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    def star(group: pa.Table) -> pa.Table:
+    def groups(group: pa.Table) -> pa.Table:
+        """Each set of nodes that share a signature, once."""
         sig, key = (np.concatenate(x) for x in zip(*[unpack(b, "u8", "i8") for b in group.column("blob").to_pylist()], strict=True))
         order = np.argsort(sig, kind="stable")
         a, z = runs(sig[order])
@@ -172,13 +205,38 @@ def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
         sig, key = sig[order], key[order]
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])] if len(sig) else np.zeros(0, bool)
+        sig, key = sig[new], key[new]
         a, z = runs(sig)
-        hub = np.repeat(key[a], z - a)
-        pairs = np.stack([key, hub], axis=1)[key != hub]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        a, z = a[z - a > 1], z[z - a > 1]
+        label = np.array([], np.uint64)
+        if len(a):
+            total = np.r_[np.uint64(0), np.cumsum(mix(key.view(np.uint64)))]
+            label = mix(total[z] - total[a] + mix((z - a).astype(np.uint64)))
+            label, first = np.unique(label, return_index=True)
+            a, z = a[first], z[first]
+        return pa.table({"label": pa.array(_signed(label)), "nodes": pa.array([key[i:j] for i, j in zip(a, z, strict=True)], pa.list_(pa.int64()))})
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, sets in _each_slice(batch, measure.shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(sets.key)), pa.array(sets.size), pa.array(parities(sets), pa.binary())], ["node", "n", "bits"])
+
+    def link(group: pa.Table) -> pa.Table:
+        label, node, size = (np.asarray(group.column(c)) for c in ("label", "node", "n"))
+        order = np.argsort(label, kind="stable")
+        bits, out = group.column("bits").to_pylist(), []
+        for a, z in zip(*runs(label[order]), strict=True):
+            own = order[a:z]
+            out += [(node[own[i]], node[own[j]]) for i, j in parity_links(size[own], [bits[i] for i in own], measure)]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    return docs.mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(star, "u long, v long")
+    shared = docs.mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(groups, "label long, nodes array<long>")
+    once = shared.groupBy("label").agg(F.first("nodes").alias("nodes"))
+    sets = docs.mapInArrow(describe, "node long, n long, bits binary").filter("n > 0").groupBy("node").agg(F.min(F.struct("n", "bits")).alias("s"))
+    members = once.select("label", F.explode("nodes").alias("node")).join(sets, "node").select("label", "node", "s.n", "s.bits")
+    return members.groupBy(F.pmod("label", F.lit(n)).alias("bucket")).applyInArrow(link, "u long, v long")
 
 
 # ---------------------------------------------------------------- joining a region
