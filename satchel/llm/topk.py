@@ -8,78 +8,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of an index block and queries of a query block, the bounds of one task's work.
-BLOCK, QUERIES = 4096, 256
-LEVELS = 16
+BLOCK, QUERIES = 8192, 256
+#: Rows that may be members, in multiples of k, at which a query is rescored.
+FEW = 4
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors: for each dimension and sign, the rows at each
-    quantised impact, the largest impact first.
+    """Posting segments of a block of integer vectors by quantised impact.
 
-    A segment's bound is its level's upper edge, so what a row can still gain from segments that have
-    not been processed is known, and its score is never short of the truth by more.
+    A component's impact is its size, quantised to octaves (how many bits it has).  A segment holds
+    the components of one octave; segments are processed from the largest on, for many queries at
+    once.  What a row's later segments can still add or take is at most the norm of those components
+    times that of the query, so a row's score is known to lie in an interval.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        top = max(int(np.abs(vectors).max(initial=0)), 1)
-        self.step = -(-top // levels)
-        self.level = np.clip(-(-np.abs(vectors) // self.step), 0, levels)  # 0 only for a zero component
-        self.segments: list[list[tuple[int, int, np.ndarray]]] = []  # per dimension: (sign, level, rows)
-        for d in range(vectors.shape[1]):
-            key = self.level[:, d] * np.sign(vectors[:, d])
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order])) + 1
-            self.segments.append([(int(np.sign(key[rows[0]])), int(abs(key[rows[0]])), rows) for rows in np.split(order, cuts) if len(rows) and key[rows[0]]])
-
-    def search(self, query: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id."""
-        n = len(self.ids)
-        if not n:
-            return []
-        todo = sorted(((abs(int(q)) * level, d, sign, level, rows) for d, q in enumerate(query) if q for sign, level, rows in self.segments[d]), key=lambda s: -s[0])
-        # a row's score lies between low and low + what the segments left can add and the steps lost
-        low = np.zeros(n, np.int64)
-        gap = np.abs(query.astype(np.int64)) * self.step
-        slack = np.zeros(n, np.int64)
-        open_ = np.zeros((2, len(query)), np.int64)  # largest level left, for gains and losses
-        for impact, d, sign, level, _ in todo:
-            side = 0 if sign * query[d] > 0 else 1
-            open_[side, d] = max(open_[side, d], level)
-        done, members = 0, np.arange(n)
-        for at, (impact, d, sign, level, rows) in enumerate(todo):
-            q = int(query[d])
-            # between (level - 1) * step and level * step of |x|
-            low[rows] += abs(q) * self.step * ((level - 1) if sign * q > 0 else -level)
-            slack[rows] += gap[d]
-            done += len(rows)
-            if at % 128 == 127:
-                left = todo[at + 1 :]
-                gain, loss = self._left(left, query)
-                worst, best = low - loss, low + slack + gain
-                if skip is not None:
-                    worst = np.where(self.ids == skip, np.iinfo(np.int64).min, worst)
-                if n > k:
-                    bar = np.partition(worst, n - k)[n - k]
-                    members = np.flatnonzero(best >= bar)
-                    if len(members) <= 4 * k:  # proof: no other row can reach the k-th score
-                        break
-        else:
-            if n > k:
-                worst = low if skip is None else np.where(self.ids == skip, np.iinfo(np.int64).min, low)
-                members = np.flatnonzero(low + slack >= np.partition(worst, n - k)[n - k])
-        if skip is not None:
-            members = members[self.ids[members] != skip]
-        exact = self.vectors[members] @ query
-        order = np.lexsort((self.ids[members], -exact))[:k]
-        return [(int(exact[i]), int(self.ids[members[i]])) for i in order]
-
-    def _left(self, left: list, query: np.ndarray) -> tuple[int, int]:
-        gain, loss = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
-        for impact, d, sign, level, _ in left:
-            side = gain if sign * query[d] > 0 else loss
-            side[d] = max(side[d], impact * self.step)
-        return int(gain.sum()), int(loss.sum())
+        octave = np.frexp(np.abs(vectors).astype(float))[1]
+        energy = vectors.astype(float) ** 2
+        self.segments: list[tuple[np.ndarray, np.ndarray]] = []  # components, norm of what follows
+        for o in sorted(set(octave[vectors != 0].tolist()), reverse=True):
+            rest = np.sqrt(np.where(octave < o, energy, 0).sum(axis=1))
+            self.segments.append((np.where(octave == o, vectors, 0).astype(float), rest * (1 + 1e-9)))
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[list[tuple[int, int]]]:
+        """The k best (score, id) of each query, ties to the smaller id; rows of its own id don't count."""
+        n, out = len(self.ids), [[] for _ in queries]
+        todo = np.arange(len(queries))
+        q = queries.astype(float)
+        norm = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
+        partial = np.zeros((len(queries), n))
+        other = self.ids[None, :] != own[:, None]
+        for at, (segment, rest) in enumerate([*self.segments, (None, np.zeros(n))]):
+            if not len(todo) or not n:
+                break
+            if segment is not None:
+                partial[todo] += q[todo] @ segment.T
+            slack = norm[todo, None] * rest
+            low = np.where(other[todo], partial[todo] - slack, -np.inf)
+            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(todo), -np.inf)
+            possible = (partial[todo] + slack >= bar[:, None]) & other[todo]
+            # proof: no other row can be a member; after the last segment scores are exact
+            ready = (possible.sum(axis=1) <= FEW * k) | (at >= len(self.segments) - 1)
+            for i, members in zip(todo[ready], possible[ready], strict=True):
+                rows = np.flatnonzero(members)
+                exact = self.vectors[rows] @ queries[i]
+                best = np.lexsort((self.ids[rows], -exact))[:k]
+                out[i] = [(int(exact[j]), int(self.ids[rows[j]])) for j in best]
+            todo = todo[~ready]
+        return out
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -89,8 +66,17 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return embeddings.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> cast(floor(1024 * cast(x as double)) as long))").alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.asarray(v, np.int64) for v in column.to_pylist()]
+def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    """Lists as rows, filled with 0 or cut to ``width``, by default that of the longest."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int64()))
+    size = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    width = int(size.max(initial=0)) if width is None else width
+    out = np.zeros((len(size), width), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    keep = place < width
+    out[row[keep], place[keep]] = np.asarray(lists.flatten(), np.int64)[keep]
+    return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, per: int = QUERIES) -> DataFrame:
@@ -109,16 +95,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        ids, vs = np.asarray(rows.column("vec_id"), np.int64), _matrix(rows.column("v"))
-        width = max(map(len, vs), default=0)
-        grid = np.zeros((len(vs), width), np.int64)
-        for i, v in enumerate(vs):
-            grid[i, : len(v)] = v
-        index = ImpactIndex(ids, grid)
-        for qid, v in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v")), strict=True):
-            query = np.zeros(width, np.int64)
-            query[: len(v)] = v[:width]
-            for score, i in index.search(query, k, qid):
+        grid, own = _matrix(rows.column("v")), np.asarray(asked.column("vec_id"), np.int64)
+        index = ImpactIndex(np.asarray(rows.column("vec_id"), np.int64), grid)
+        for qid, best in zip(own.tolist(), index.search(_matrix(asked.column("v"), grid.shape[1]), k, own), strict=True):
+            for score, i in best:
                 out[0].append(qid)
                 out[1].append(i)
                 out[2].append(score)

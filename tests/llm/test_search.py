@@ -69,13 +69,15 @@ def test_top_k(spark):
 
 def test_stops_early_on_proof():
     rng = np.random.default_rng(5)
-    grid = rng.integers(-9, 10, (3000, 8))
+    grid = rng.integers(-90, 91, (3000, 8))
     grid[:20] *= 100
     index = topk.ImpactIndex(np.arange(3000), grid)
-    for q in range(40):
+    for q, best in enumerate(index.search(grid[:40], 5, np.arange(40))):
         s = grid @ grid[q]
-        best = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
-        assert [i for _, i in index.search(grid[q], 5, q)] == best
+        assert [i for _, i in best] == [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
+    # without its small components, whose norm proves that they don't matter
+    index.segments[-1] = (index.segments[-1][0] * np.nan, index.segments[-1][1])
+    assert len(index.search(grid[:1], 5, np.arange(1))[0]) == 5
 
 
 def words(text):
