@@ -27,35 +27,44 @@ class ImpactIndex:
         octave = np.frexp(np.abs(vectors).astype(float))[1]
         energy = vectors.astype(float) ** 2
         self.segments: list[tuple[np.ndarray, np.ndarray]] = []  # components, norm of what follows
+        # octaves that leave much, where no proof can succeed, are processed together with the next
+        first, much = None, np.sqrt(energy.sum(axis=1)).mean() / 8 if len(ids) else 0
         for o in sorted(set(octave[vectors != 0].tolist()), reverse=True):
-            rest = np.sqrt(np.where(octave < o, energy, 0).sum(axis=1))
-            self.segments.append((np.where(octave == o, vectors, 0).astype(float), rest * (1 + 1e-9)))
+            first = o if first is None else first
+            rest = np.sqrt(np.where(octave < o, energy, 0).sum(axis=1)) * (1 + 1e-9)
+            if rest.mean() <= much:
+                inside = (octave >= o) & (octave <= first)
+                self.segments.append((np.ascontiguousarray(np.where(inside, vectors, 0).T, dtype=float), rest))
+                first, much = None, rest.mean() / 4
 
     def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[list[tuple[int, int]]]:
         """The k best (score, id) of each query, ties to the smaller id; rows of its own id don't count."""
         n, out = len(self.ids), [[] for _ in queries]
-        todo = np.arange(len(queries))
-        q = queries.astype(float)
+        todo, q = np.arange(len(queries)), queries.astype(float)
         norm = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
+        own_at = [np.flatnonzero(self.ids == i) for i in own]
         partial = np.zeros((len(queries), n))
-        other = self.ids[None, :] != own[:, None]
-        for at, (segment, rest) in enumerate([*self.segments, (None, np.zeros(n))]):
+        for row, at in zip(partial, own_at, strict=True):
+            row[at] = -np.inf
+        last = len(self.segments) - 1
+        for no, (segment, rest) in enumerate(self.segments or [(None, np.zeros(n))]):
             if not len(todo) or not n:
                 break
             if segment is not None:
-                partial[todo] += q[todo] @ segment.T
+                partial += q[todo] @ segment
             slack = norm[todo, None] * rest
-            low = np.where(other[todo], partial[todo] - slack, -np.inf)
-            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(todo), -np.inf)
-            possible = (partial[todo] + slack >= bar[:, None]) & other[todo]
+            bar = np.partition(partial - slack, n - k, axis=1)[:, n - k] if n > k else np.full(len(todo), -np.inf)
+            possible = partial + slack >= bar[:, None]
             # proof: no other row can be a member; after the last segment scores are exact
-            ready = (possible.sum(axis=1) <= FEW * k) | (at >= len(self.segments) - 1)
-            for i, members in zip(todo[ready], possible[ready], strict=True):
-                rows = np.flatnonzero(members)
-                exact = self.vectors[rows] @ queries[i]
+            ready = (possible.sum(axis=1) <= FEW * k) | (no >= last)
+            for i in np.flatnonzero(ready):
+                rows = np.flatnonzero(possible[i])
+                rows = rows[~np.isin(rows, own_at[todo[i]])]
+                exact = self.vectors[rows] @ queries[todo[i]]
                 best = np.lexsort((self.ids[rows], -exact))[:k]
-                out[i] = [(int(exact[j]), int(self.ids[rows[j]])) for j in best]
-            todo = todo[~ready]
+                out[todo[i]] = [(int(exact[j]), int(self.ids[rows[j]])) for j in best]
+            if ready.any():
+                todo, partial = todo[~ready], partial[~ready]
         return out
 
 
