@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, shard_of, slices, split_by, text_buffer, unpack
-from satchel.llm.graph import components
+from satchel.llm.graph import components, stars
 from satchel.llm.shards import by_shard
 from satchel.plans.shared import checkpoint
 
@@ -229,7 +229,7 @@ def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
         for a, z in zip(*runs(label[order]), strict=True):
             own = order[a:z]
             out += [(node[own[i]], node[own[j]]) for i, j in parity_links(size[own], [bits[i] for i in own], measure)]
-        pairs = np.array(out, np.int64).reshape(-1, 2)
+        pairs = stars(np.array(out, np.int64).reshape(-1, 2))
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
     shared = docs.mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(groups, "label long, nodes array<long>")
@@ -288,7 +288,7 @@ def _join_small(members: DataFrame, measure: Measure) -> DataFrame:
         _, first = np.unique(node, return_index=True)
         blobs = group.column("elements")
         links = region_links([_array(blobs[int(i)].as_py()) for i in first], measure)
-        pairs = node[first][np.array(links, np.int64).reshape(-1, 2)]
+        pairs = stars(node[first][np.array(links, np.int64).reshape(-1, 2)])
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
     return members.groupBy("region").applyInArrow(work, "u long, v long")
