@@ -160,3 +160,17 @@ def test_ordered_set(spark):
     assert [r.key for r in t.ordered(reverse=True).collect()] == [18, 16, 14, 12, 10, 8, 4, 3, 2, 0]
     with pytest.raises(ValueError):
         t.put(None, 1)
+
+
+def test_journal_stream(spark, store, tmp_path):
+    from satchel.streaming.feed import journal_stream
+
+    for name in ("a", "b"):
+        t = store.begin(READWRITE)
+        t.store(person(spark, "same", name))
+        t.commit()
+    feed = journal_stream(spark, store.root)
+    run = feed.writeStream.format("memory").queryName("journal").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    got = sorted((r.rev, r.id, r.kind) for r in spark.table("journal").collect())
+    assert got == [(1, "a", "insert"), (1, "same", "insert"), (2, "b", "insert"), (2, "same", "update")]
