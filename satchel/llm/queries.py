@@ -10,8 +10,9 @@ from satchel.llm.decontaminate import contamination
 from satchel.llm.jaccard import jaccard_query
 from satchel.llm.licenses import license_scan
 from satchel.llm.mixing import lm_scores
+from satchel.llm.oracle import ORACLE_SQL
 from satchel.llm.substrings import substring_dedup_query, suffix_array_dedup_query
-from satchel.llm.topk import TOP_K_SQL, top_k_query
+from satchel.llm.topk import top_k_query
 from satchel.llm.toxicity import toxicity_query
 
 
@@ -56,4 +57,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_exact_top_k, op6_suffix_array_dedup, op7_license_scans, op8_lm_scoring, op9_token_counts, op10_byte_bpe)}
-ORACLE_SQL = {"op5_exact_top_k": TOP_K_SQL}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
