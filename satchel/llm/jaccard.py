@@ -374,7 +374,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     roots = components(jaccard_links(docs, meta, measure, n, limit))
     least = meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))  # copies first
     least = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join can split the members of one large component
+    whole = checkpoint(least.groupBy("root").agg(F.min("least").alias("component_id")))
     of_node = least.join(whole, "root").select("node", "component_id")
     joined = meta.join(of_node, "node", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
