@@ -1,11 +1,17 @@
-"""Operator 8: language-model scores by logistic mixing of hashed-context bit predictors.
+"""Operator 8: language-model scores by logistic mixing of context bit predictors.
 
 A token is coded in BITS binary decisions, the top bits of its hash, and then within the bucket that
-they name by its count.  Each decision is predicted in three contexts: none, the token before, and the
-shortest of the last tokens (which tells languages apart).  A predictor is a table of bit counts over
-the hash of its context and the decision's node; the logits are added with weights that the number of
-the decision selects, and the weights follow each document as it is read, block by block.  Counts come
-from all training documents; tables have a fixed size, so what is broadcast does not grow.
+they name.  Each decision is predicted in three contexts: none, the token before, and the shortest of
+the last tokens (which tells languages apart).  A predictor has the counts of both outcomes in its
+context at the decision's node; the logits are added with weights that the number of the decision
+selects, and the weights follow each document as it is read, block by block.  Within the bucket a
+token's share is its count there, drawn towards its counts in both contexts.
+
+Counts come from all training documents and every context has its own, keyed by 64-bit hashes: each
+shard sends the (context, token) pairs of its documents, they are counted by context, and each shard
+gets the counts of its own pairs back.  A context's tokens are counted in groups (the first half of
+the decisions, and below each outcome of those the second half), so that a frequent context is spread
+over many tasks.
 """
 
 from __future__ import annotations
@@ -22,14 +28,13 @@ from satchel.llm.shards import by_shard, from_ipc, packed
 from satchel.plans.shared import checkpoint
 
 BITS = 12
-#: Slots of the two hashed tables; the first table has a slot for each node.
-SLOTS = 1 << 20
+HALF = BITS // 2  # decisions of a context that are counted in one group
 RECENT = 8
 BLOCK = 64  # tokens between two updates of a document's weights
 RATE = 0.01
 START = (0.1, 0.3, 0.7)  # weights at a document's start
 SLICE = 1 << 19
-_PARTS, _FAN = 32, 64  # blocks of the tables, and groups that sum them first
+PRIOR = 1.0  # tokens that the share within a bucket counts for in a context
 END = np.uint64(0x9D39247E33776D41)
 
 
@@ -68,16 +73,97 @@ def contexts(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return before, shortest
 
 
-def slots_of(h: np.ndarray, before: np.ndarray, shortest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each decision: slots of the three tables, and the bit."""
-    code = (h >> np.uint64(64 - BITS)).astype(np.uint32)
-    one = (mix(before) >> np.uint64(32)).astype(np.uint32)
-    two = (mix(shortest ^ np.uint64(0x51ED270B)) >> np.uint64(32)).astype(np.uint32)
-    for b in range(BITS):
-        node = (np.uint32(1) << np.uint32(b)) | (code >> np.uint32(BITS - b))
-        spread = node * np.uint32(0x9E3779B1)
-        x, y = (one ^ spread) * np.uint32(0x85EBCA6B), (two ^ spread) * np.uint32(0xC2B2AE35)
-        yield node, x >> np.uint32(12), y >> np.uint32(12), (code >> np.uint32(BITS - 1 - b)) & np.uint32(1)
+def pairs_of(h: np.ndarray, before: np.ndarray, shortest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(identity, key, rest) of four pairs of each token: for both contexts, its outcome of the first
+    half of the decisions and the token itself below that outcome.
+
+    The lowest HALF bits of a key are the outcome and those above its group, a hash of the context (and
+    of the first half).  rest tells apart tokens with one outcome.
+    """
+    first, second = h >> np.uint64(64 - HALF), (h >> np.uint64(64 - BITS)) & np.uint64((1 << HALF) - 1)
+    keys, same = [], []
+    for context in (mix(before), mix(shortest ^ np.uint64(0x51ED270B))):
+        for group, outcome in ((context, first), (mix(context + (first + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), second)):
+            keys.append(group >> np.uint64(HALF) << np.uint64(HALF) | outcome)
+        same += [keys[-2], mix(keys[-1] ^ mix(h))]
+    none, rest = np.zeros(len(h), np.uint32), h.astype(np.uint32)
+    return np.concatenate(same), np.concatenate(keys), np.concatenate([none, rest, none, rest])
+
+
+class Pairs:
+    """The distinct pairs of a shard's tokens by key, in an order that its texts alone decide."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int):
+        same, key, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.order = np.argsort(same)
+        self.starts, _ = runs(same[self.order])
+        at = self.order[self.starts]
+        self.by_key = np.argsort(key[at], kind="stable")
+        at = at[self.by_key]
+        self.key, self.rest = key[at], rest[at]
+        self.bucket = ((self.key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weight[self.order], self.starts)[self.by_key]
+
+    def places(self) -> np.ndarray:
+        """Of each token's pairs, the number among the distinct ones."""
+        new = np.zeros(len(self.order), np.int32)
+        new[self.starts[1:]] = 1
+        rank = np.empty(len(self.by_key), np.int32)
+        rank[self.by_key] = np.arange(len(rank), dtype=np.int32)
+        out = np.empty(len(self.order), np.int32)
+        out[self.order] = rank[np.cumsum(new)]
+        return out
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.reshape(-1)
+
+
+def _from_planes(raw: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def pack_pairs(key: np.ndarray, rest: np.ndarray, weight: np.ndarray) -> bytes:
+    """Keys as differences; the bytes of one weight lie together."""
+    return pack(_planes(np.diff(key, prepend=np.uint64(0))), _planes(rest), _planes(weight))
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = unpack(blob, "u1")[0]
+    n = len(raw) // 20
+    return np.cumsum(_from_planes(raw[: 8 * n], np.uint64), dtype=np.uint64), _from_planes(raw[8 * n : 12 * n], np.uint32), _from_planes(raw[12 * n :], np.int64)
+
+
+def node_counts(key: np.ndarray, rest: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each pair of a bucket, given once by each shard that has it: the counts of its group, of the
+    nodes on the way to its outcome, and of itself."""
+    order = np.lexsort((rest, key))
+    key, rest = key[order], rest[order]
+    total = np.r_[0, np.cumsum(weight[order].astype(np.int64))]
+    out = np.empty((HALF + 2, len(key)), np.int64)
+    for k in range(HALF + 2):
+        node = key >> np.uint64(max(HALF - k, 0))
+        new = node[1:] != node[:-1]
+        if k > HALF:
+            new |= rest[1:] != rest[:-1]
+        at = np.r_[np.flatnonzero(np.r_[True, new]), len(key)] if len(key) else np.zeros(1, np.int64)
+        out[k, order] = np.repeat(np.diff(total[at]), np.diff(at))
+    return out
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Most counts are small: a byte of each, and the whole ones of those that exceed it."""
+    small, large = pack(np.minimum(counts, 255).astype(np.uint8)), pack(counts[counts >= 255])
+    return len(small).to_bytes(8, "little") + small + large
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(blob[:8], "little")
+    counts = unpack(blob[8:cut], "u1")[0].astype(np.int64)
+    counts[counts == 255] = unpack(blob[cut:], "i8")[0]
+    return counts.reshape(HALF + 2, -1)
 
 
 def each_slice(table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,29 +173,33 @@ def each_slice(table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.nda
 
 
 # ---------------------------------------------------------------- what is gathered from the corpus
-def token_counts_by_shard(docs: DataFrame, n: int) -> tuple[DataFrame, int, int, np.ndarray]:
-    """(shard, blob of token hashes and training counts) for the tokens of each shard; N, V and the
-    number of types in each bucket."""
+def counts_by_shard(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(shard, bucket, blob of the counts of the shard's tokens in the bucket, pairs: blob of those of its
+    pairs), each in the order of the shard's distinct ones; the number of training tokens and of types of
+    each code."""
 
     def own(group: pa.Table) -> pa.Table:
         table, shard = from_ipc(group.column("rows").to_pylist()), group.column("shard")[0].as_py()
-        held, kinds, counts = np.asarray(table.column("held")), [], []
-        for s, e, h, at, _ in each_slice(table):
+        held, kinds, counts, pairs, weights = np.asarray(table.column("held")), [], [], [], []
+        for s, e, h, at, size in each_slice(table):
             weight = np.repeat(~held[s:e], np.diff(at)).astype(np.int64)
             order = np.argsort(h)
             a, _z = runs(h[order])
             kinds.append(h[order][a])
             counts.append(np.add.reduceat(weight[order], a))
+            pairs.append(pairs_of(h, *contexts(h, at, size)))
+            weights.append(np.tile(weight, 4))
         h, c = np.concatenate(kinds), np.concatenate(counts)
         order = np.argsort(h)
         h, c = h[order], c[order]
         a, _z = runs(h)
         h, c = h[a], np.add.reduceat(c, a)
-        keys, blobs = [], []
-        for key, arrays in split_by((h % np.uint64(n)).astype(np.int32), h, c):
-            keys.append(key)
-            blobs.append(pack(*arrays))
-        return pa.table({"bucket": pa.array(keys, pa.int32()), "shard": pa.array([shard] * len(keys), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        own = Pairs(pairs, n)
+        tokens = {key: pack(*arrays) for key, arrays in split_by((h % np.uint64(n)).astype(np.int32), h, c)}
+        sent = {key: pack_pairs(*arrays) for key, arrays in split_by(own.bucket, own.key, own.rest, own.sums(np.concatenate(weights)))}
+        keys = sorted({*tokens, *sent})
+        columns = {"blob": [tokens.get(k, pack(h[:0], c[:0])) for k in keys], "pairs": [sent.get(k, pack()) for k in keys]}
+        return pa.table({"bucket": pa.array(keys, pa.int32()), "shard": pa.array([shard] * len(keys), pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in columns.items()}})
 
     def total(group: pa.Table) -> pa.Table:
         parts = [unpack(b, "u8", "i8") for b in group.column("blob").to_pylist()]
@@ -117,91 +207,63 @@ def token_counts_by_shard(docs: DataFrame, n: int) -> tuple[DataFrame, int, int,
         kinds, of = np.unique(h, return_inverse=True)
         sums = np.zeros(len(kinds), np.int64)
         np.add.at(sums, of, c)
-        at, shards, blobs, tokens, code, types = 0, [], [], [], [], []
-        for shard, (x, _) in zip(group.column("shard").to_pylist(), parts, strict=True):
-            shards.append(shard)
-            blobs.append(pack(x, sums[of[at : at + len(x)]]))
+        at, shards, blobs = 0, group.column("shard").to_pylist(), []
+        for x, _ in parts:
+            blobs.append(pack(sums[of[at : at + len(x)]]))
             at += len(x)
-        per = np.bincount((kinds[sums > 0] >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        code = np.flatnonzero(per)
-        m = len(code)
-        tokens = [0] * m
-        if m:
-            tokens[0] = int(sums.sum())
-        types = per[code]
-        k = len(shards)
+        known = sums > 0
+        per = (kinds[known] >> np.uint64(64 - BITS)).astype(np.int64)
+        code, of = np.unique(per, return_inverse=True)
+        types, tokens = np.bincount(of, minlength=len(code)), np.zeros(len(code), np.int64)
+        np.add.at(tokens, of, sums[known])
+        parts = [unpack_pairs(b) for b in group.column("pairs").to_pylist()]
+        cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+        counts = node_counts(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        k, m = len(shards), len(code)
         return pa.table(
             {
                 "shard": pa.array([*shards, *[None] * m], pa.int32()),
+                "bucket": pa.array([group.column("bucket")[0].as_py()] * (k + m), pa.int32()),
                 "blob": pa.array([*blobs, *[None] * m], pa.binary()),
+                "pairs": pa.array([*(pack_counts(counts[:, s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)), *[None] * m], pa.binary()),
                 "code": pa.array([*[None] * k, *code.tolist()], pa.int32()),
                 "types": pa.array([*[None] * k, *types.tolist()], pa.int64()),
-                "tokens": pa.array([*[None] * k, *tokens], pa.int64()),
+                "tokens": pa.array([*[None] * k, *tokens.tolist()], pa.int64()),
             }
         )
 
     marked = docs.withColumn("held", held_out())
-    counted = packed(marked, n).groupBy("shard").applyInArrow(own, "bucket int, shard int, blob binary")
-    summed = checkpoint(counted.groupBy("bucket").applyInArrow(total, "shard int, blob binary, code int, types long, tokens long"))
+    counted = packed(marked, n).groupBy("shard").applyInArrow(own, "bucket int, shard int, blob binary, pairs binary")
+    summed = checkpoint(counted.groupBy("bucket").applyInArrow(total, "shard int, bucket int, blob binary, pairs binary, code int, types long, tokens long"))
     stats = summed.filter("code is not null").groupBy("code").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 2 ** BITS rows at most
-    types = np.zeros(1 << BITS, np.int64)
+    types, tokens = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for r in stats:
-        types[r.code] = r.types
-    return summed.filter("code is null").select("shard", "blob"), sum(r.tokens for r in stats), int(types.sum()), types
-
-
-def train_tables(docs: DataFrame) -> np.ndarray:
-    """Counts of zeros and ones in every slot, over all training documents."""
-    width = (1 << BITS) + 2 * SLOTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros((2, size), np.int32) for size in (1 << BITS, SLOTS, SLOTS)]
-        for batch in batches:
-            for _, _, h, at, size in each_slice(batch):
-                for *slots, bit in slots_of(h, *contexts(h, at, size)):
-                    tables[0] += np.bincount(slots[0] + (bit << np.uint32(BITS)), minlength=2 << BITS).reshape(2, -1).astype(np.int32)
-                    for table, slot in zip(tables[1:], slots[1:], strict=True):
-                        np.add.at(table.reshape(-1), (slot + bit * np.uint32(SLOTS)).astype(np.int64), np.int32(1))
-        whole = np.concatenate(tables, axis=1)
-        if whole.any():
-            rows = [(int(p), pack(x)) for p, x in enumerate(np.array_split(whole.T.reshape(-1), _PARTS))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
-
-    def add(kind_in: str):
-        def work(group: pa.Table) -> pa.Table:
-            total = None
-            for b in group.column("blob").to_pylist():
-                x = unpack(b, kind_in)[0].astype(np.int64)
-                total = x if total is None else total + x
-            return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "blob": pa.array([pack(total)], pa.binary())})
-
-        return work
-
-    # summed in two steps, so that no group holds a row for each task
-    parts = docs.filter(~held_out()).mapInArrow(count, "part int, blob binary").withColumn("fan", F.pmod(F.xxhash64("blob"), F.lit(_FAN)))
-    summed = parts.groupBy("part", "fan").applyInArrow(add("i4"), "part int, blob binary").groupBy("part").applyInArrow(add("i8"), "part int, blob binary")
-    rows = {r.part: unpack(bytes(r.blob), "i8")[0] for r in summed.collect()}  # a fixed size: the tables
-    return np.concatenate([rows[p] for p in range(_PARTS)]).reshape(-1, 2) if rows else np.zeros((width, 2), np.int64)
+        types[r.code], tokens[r.code] = r.types, r.tokens
+    return summed.filter("code is null").select("shard", "bucket", "blob", "pairs"), tokens, types
 
 
 # ---------------------------------------------------------------- scoring
+def odds(counts: np.ndarray) -> np.ndarray:
+    """Logits of the outcomes taken, from counts of the nodes on the way."""
+    taken = counts[1:].astype(np.float32)
+    return np.log((taken + np.float32(0.4)) / ((counts[:-1] - counts[1:]).astype(np.float32) + np.float32(0.4)))
+
+
 class Mixer:
     """Logits of the predictors, and the loss of tokens as weights follow each document."""
 
-    def __init__(self, counts: np.ndarray, types: np.ndarray):
-        n0, n1 = counts[:, 0].astype(float), counts[:, 1].astype(float)
-        logit = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
-        cut = 1 << BITS
-        self.tables = [logit[:cut], logit[cut : cut + SLOTS], logit[cut + SLOTS :]]
-        low = counts[cut // 2 : cut].reshape(-1)  # the last decisions: tokens of each bucket
-        self.in_bucket = low.astype(float) + 0.5 * (types + 1)
+    def __init__(self, tokens: np.ndarray, types: np.ndarray):
+        nodes = [tokens.reshape(1 << b, -1).sum(axis=1) for b in range(BITS + 1)]
+        #: Of each bucket: logits of the decisions that lead to it, without context.
+        self.table = odds(np.stack([np.repeat(x, (1 << BITS) // len(x)) for x in nodes]))
+        self.in_bucket = tokens.astype(float) + 0.5 * (types + 1)
 
-    def code_bits(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Bits that each token's decisions take.
+    def code_bits(self, h: np.ndarray, at: np.ndarray, place: np.ndarray, logits: np.ndarray) -> np.ndarray:
+        """Bits that each token's decisions take; ``place`` has the four pairs of each token in ``logits``.
 
         Blocks of a document are read in turn, those of all documents side by side.
         """
-        counts, before_shortest = np.diff(at), contexts(h, at, size)
+        counts = np.diff(at)
         blocks = -(-counts // BLOCK)
         doc = np.repeat(np.arange(len(counts)), blocks)
         step = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -210,34 +272,39 @@ class Mixer:
         token = (at[doc] + step * BLOCK)[:, None] + np.arange(BLOCK)
         real = token < at[doc + 1][:, None]
         token[~real] = 0
+        code = (h >> np.uint64(64 - BITS)).astype(np.int64)[token]
+        pairs = [p[token] for p in place]
         x = np.empty((3, BITS, *token.shape), np.float32)
-        sign = np.empty((BITS, *token.shape), np.float32)
-        for b, (*slots, bit) in enumerate(slots_of(*(c[token] for c in (h, *before_shortest)))):
-            for k, slot in enumerate(slots):
-                np.take(self.tables[k], slot, out=x[k, b])
-            sign[b] = 1 - 2.0 * bit
-        sign *= real
+        for b in range(BITS):
+            np.take(self.table[b], code, out=x[0, b])
+            half, k = divmod(b, HALF)
+            for c in (0, 1):
+                np.take(logits[k], pairs[2 * c + half], out=x[1 + c, b])
+        x *= real
         weights = np.empty((3, BITS, len(counts)), np.float32)
         weights[:] = np.array(START, np.float32)[:, None, None]
         loss = np.empty(token.shape, np.float32)
         for a, z in zip(*runs(step), strict=True):
-            own, s, d = x[:, :, a:z], sign[:, a:z], doc[a:z]
+            own, d = x[:, :, a:z], doc[a:z]
             w = weights[:, :, d]
             logit = w[0, ..., None] * own[0]
             logit += w[1, ..., None] * own[1]
             logit += w[2, ..., None] * own[2]
-            logit *= s
+            np.negative(logit, out=logit)
             odds = np.exp(np.minimum(logit, np.float32(30), out=logit), out=logit)
             loss[a:z] = np.log1p(odds).sum(axis=0)
-            error = s * (odds / (1 + odds))  # p - bit
-            weights[:, :, d] = w - np.float32(RATE) * np.einsum("kbnj,bnj->kbn", own, error)
+            missed = odds / (1 + odds)  # 1 - what the outcome was given
+            weights[:, :, d] = w + np.float32(RATE) * np.einsum("kbnj,bnj->kbn", own, missed)
         bits = np.empty(len(h), np.float32)
         bits[token[real]] = loss[real]
         return bits / np.float32(np.log(2))
 
-    def log10(self, h: np.ndarray, at: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def log10(self, h: np.ndarray, at: np.ndarray, count: np.ndarray, place: np.ndarray, counts: np.ndarray, logits: np.ndarray) -> np.ndarray:
         code = (h >> np.uint64(64 - BITS)).astype(np.int64)
-        return np.log10((count + 0.5) / self.in_bucket[code]) - self.code_bits(h, at, size) * np.log10(2)
+        share = (count + 0.5) / self.in_bucket[code]
+        for own in (place[3], place[1]):  # tokens of the bucket in the wider context, then in that of the token before
+            share = (counts[HALF + 1, own] + PRIOR * share) / (counts[HALF, own] + PRIOR)
+        return np.log10(share) - self.code_bits(h, at, place, logits) * np.log10(2)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -245,28 +312,37 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Training documents are those that are not held out; an id that is null is not.  A null or empty
     text is its END alone.  Rows count once each, repeated ones too; without training documents every
-    token is unknown.  bits_per_byte is null where there are no bytes.  Tokens are told apart by 64-bit
-    hashes.
+    token is unknown.  bits_per_byte is null where there are no bytes.  Tokens and contexts are told apart
+    by 64-bit hashes.
     """
     docs = bare(docs)
     n = n_shards(docs)
-    counts, N, V, types = token_counts_by_shard(docs, n)
-    model = Mixer(train_tables(docs), types)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counts, tokens, types = counts_by_shard(docs, n)
+    N, V = int(tokens.sum()), int(types.sum())
+    shared = docs.sparkSession.sparkContext.broadcast(Mixer(tokens, types))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     floor = np.log10(N + 0.5 * (V + 1))
 
     def score(table: pa.Table, right: pa.Table) -> pa.Table:
         model = shared.value
-        parts = [unpack(b, "u8", "i8") for b in right.column("blob").to_pylist()]
-        h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h)
-        h, c = h[order], c[order]
         ids, held, size = ids_of(table.column("doc_id")), np.asarray(table.column("held")), np.diff(text_buffer(table.column("text"))[1])
         out: list[list] = [[], [], [], []]
-        for _, _, own, at, length in each_slice(table):
-            count = c[np.searchsorted(h, own)]
-            sums = [np.add.reduceat(x, at[:-1]) for x in ((count > 0).astype(np.int64), np.log10(count + 0.5) - floor, model.log10(own, at, length, count))]
+        read = [(own, at, pairs_of(own, *contexts(own, at, length))) for _, _, own, at, length in each_slice(table)]
+        kinds, of = np.unique(np.concatenate([r[0] for r in read]), return_inverse=True)
+        c = np.empty(len(kinds), np.int64)
+        back = dict(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        for bucket, (where,) in split_by((kinds % np.uint64(n)).astype(np.int32), np.arange(len(kinds))):
+            c[where] = unpack(back[bucket], "i8")[0]
+        pairs = Pairs([r[2] for r in read], n)
+        nodes = np.empty((HALF + 2, len(pairs.key)), np.int64)
+        back = dict(zip(right.column("bucket").to_pylist(), right.column("pairs").to_pylist(), strict=True))
+        for bucket, (where,) in split_by(pairs.bucket, np.arange(len(pairs.key))):
+            nodes[:, where] = unpack_counts(back[bucket])
+        logits, places, count, done = odds(nodes[: HALF + 1]), pairs.places(), c[of], 0
+        for own, at, _ in read:
+            place, has = places[4 * done : 4 * (done + len(own))].reshape(4, -1), count[done : done + len(own)]
+            done += len(own)
+            sums = [np.add.reduceat(x, at[:-1]) for x in ((has > 0).astype(np.int64), np.log10(has + 0.5) - floor, model.log10(own, at, has, place, nodes, logits))]
             for column, x in zip(out, (np.diff(at), *sums), strict=True):
                 column += x.tolist()
         bits = np.array(out[3]) / -np.log10(2)

@@ -5,6 +5,7 @@ import os
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from satchel.llm import mixing, toxicity
@@ -26,6 +27,55 @@ def test_lm(spark):
     assert mixing.lm_scores(frame(spark, rows).filter("doc_id > 9999")).count() == 0
 
 
+def test_lm_contexts_are_exact(spark, monkeypatch):
+    """Scores from the counts of each context by itself, over several shards."""
+    monkeypatch.setattr(mixing, "n_shards", lambda docs: 7)
+    rows = documents()
+    count, nodes, types, read = Counter(), Counter(), set(), []
+    for i, t in rows:
+        raw = lower(t or "").encode()
+        h, _, _ = mixing.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        words = raw.split()
+        assert len(h) == len(words) + 1
+        own = []
+        for k, x in enumerate(h.tolist()):
+            last = range(max(0, k - mixing.RECENT), k)
+            around = (0, words[k - 1] if k else b"", words[min(last, key=lambda j: (min(len(words[j]), 255), -j))] if k else b"")
+            path = [x >> (64 - b) for b in range(mixing.BITS + 1)]
+            own.append((x, path, [(c, w) for c, w in enumerate(around)]))
+            if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+                count[x] += 1
+                types.add(x)
+                nodes.update((c, b, p) for c in own[-1][2] for b, p in enumerate(path))
+                nodes.update((c, x) for c in own[-1][2])
+        read.append((i, own))
+    expected = []
+    for i, own in read:
+        if len(own) > mixing.BLOCK:
+            continue  # its weights change
+        score = 0.0
+        for x, path, around in own:
+            for b in range(mixing.BITS):
+                now, all_ = ([nodes[c, d, path[d]] for c in around] for d in (b + 1, b))
+                logit = sum(w * math.log((n + 0.4) / (a - n + 0.4)) for w, n, a in zip(mixing.START, now, all_, strict=True))
+                score -= math.log10(1 + math.exp(-logit))
+            code = path[-1]
+            share = (count[x] + 0.5) / (nodes[around[0], mixing.BITS, code] + 0.5 * (sum(y >> (64 - mixing.BITS) == code for y in types) + 1))
+            for c in (around[2], around[1]):
+                share = (nodes[c, x] + mixing.PRIOR * share) / (nodes[c, mixing.BITS, code] + mixing.PRIOR)
+            score += math.log10(share)
+        expected.append((str(i), len(own), score))
+    found = sorted((str(r.doc_id), r.n_tokens, r.score) for r in mixing.lm_scores(frame(spark, rows)).collect() if r.n_tokens <= mixing.BLOCK)
+    assert len(found) == len(expected) > 20
+    for a, b in zip(found, sorted(expected), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4)
+
+
+def test_lm_counts_beyond_a_byte():
+    counts = np.array([[0, 254, 255, 256, 1 << 40]] * (mixing.HALF + 2))
+    assert (mixing.unpack_counts(mixing.pack_counts(counts)) == counts).all()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_held_out_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
