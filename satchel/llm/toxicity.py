@@ -24,8 +24,6 @@ SAMPLE = 8_000
 #: Bytes of a word's beginnings that are features beside the whole word.
 STEMS = (4, 5, 6)
 DEAD = 1 << BITS  # the slot of a stem that a shorter word lacks; its weight is 0
-#: Words of a sampled document that the fit sees, those of its first sentences; scoring sees all.
-FIT_WORDS = 20_000
 #: Documents of the sample that a feature must stand in to have a weight, and how many standard
 #: errors its share among toxic documents must differ from that among all.
 LEAST_DOCS, LEAST_Z = 4, 3.5
@@ -69,39 +67,33 @@ class Model:
         return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)) if n else np.zeros(0)
 
 
-def fit_model(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 150, decay: float = 2e-4, rate: float = 0.3) -> Model:
-    """From (label, slots, sentences) of documents: screened features, then full-batch Adam on the
-    noisy-or likelihood."""
+def screened(slot: np.ndarray, present: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """The features to have a weight, from the numbers of (toxic) documents that they stand in."""
+    share = np.clip(n_toxic / n, 1 / (n + 1), 1 - 1 / (n + 1))
+    z = (toxic - present * share) / np.sqrt(np.maximum(present, 1) * share * (1 - share))
+    return np.sort(slot[(present >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)])
+
+
+def fit_model(rows: list[tuple[int, int, np.ndarray, np.ndarray]], used: np.ndarray, steps: int = 150, decay: float = 2e-4, rate: float = 0.3) -> Model:
+    """Full-batch Adam on the noisy-or likelihood, from (label, number of sentences, places in ``used`` of
+    the features kept, number of each's sentence among those that have any) of documents."""
     weights = np.zeros(DEAD + 1, np.float32)
     if not rows:
         return Model(weights, -8.0)
-    label = np.array([r[0] for r in rows], float)
-    present, toxic = np.zeros(DEAD + 1), np.zeros(DEAD + 1)
-    for y, slot, _ in rows:
-        own = np.unique(slot)
-        present[own] += 1
-        toxic[own] += y
-    present[DEAD] = 0
+    label, n_sent = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
     share = np.clip(label.mean(), 1 / (len(rows) + 1), 1 - 1 / (len(rows) + 1))
-    z = (toxic - present * share) / np.sqrt(np.maximum(present, 1) * share * (1 - share))
-    used = np.flatnonzero((present >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-    place = np.full(DEAD + 1, -1)
-    place[used] = np.arange(len(used))
-    n_sent = np.array([int(r[2][-1]) + 1 if len(r[2]) else 0 for r in rows])
-    col, row = [], []
-    for (_, slot, sentence), base in zip(rows, np.cumsum(n_sent) - n_sent, strict=True):
-        at = place[slot]
-        k, i = np.nonzero(at >= 0)
-        col.append(at[k, i])
-        row.append(sentence[i] + base)
-    col, row = np.concatenate(col), np.concatenate(row).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), n_sent)
+    n_with = np.array([int(r[3][-1]) + 1 if len(r[3]) else 0 for r in rows])
+    col = np.concatenate([r[2] for r in rows])
+    row = np.concatenate([r[3] + base for r, base in zip(rows, np.cumsum(n_with) - n_with, strict=True)]).astype(np.int64)
+    # sentences without features are alike: one with their number for each document
+    doc = np.r_[np.repeat(np.arange(len(rows)), n_with), np.arange(len(rows))]
+    times = np.r_[np.ones(n_with.sum()), n_sent - n_with]
     w, b = np.zeros(len(used)), -np.log(max(n_sent.mean(), 1.0) / share)
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
         p = np.clip(1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(doc)), -30, 30))), 1e-9, 1 - 1e-9)
-        total = np.clip(-np.expm1(np.bincount(doc, np.log1p(-p), len(rows))), 1e-9, 1)
-        g = np.where(label[doc] > 0, -p * ((1 - total) / total)[doc], p) / len(rows)
+        total = np.clip(-np.expm1(np.bincount(doc, times * np.log1p(-p), len(rows))), 1e-9, 1)
+        g = times * np.where(label[doc] > 0, -p * ((1 - total) / total)[doc], p) / len(rows)
         grad = np.r_[np.bincount(col, g[row], len(used)) + decay * w, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -111,7 +103,7 @@ def fit_model(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 150,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents that are not held out.
+    """Fit on the whole texts of at most ``sample`` labelled documents that are not held out.
 
     The ids with the smallest hashes are taken; rows without id or label are not used, several labels
     of a document count as toxic if one is.
@@ -125,26 +117,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .limit(sample)
     )
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            toxic, out = batch.column("toxic"), []
+            toxic = np.minimum(np.asarray(batch.column("toxic")), 1)
             for s, e in slices(np.diff(offsets), _SLICE):
                 words, slot, sentence, _ = instances(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
-                for a, z in zip(words.bounds[:-1], words.bounds[1:], strict=True):
-                    z = min(z, a + FIT_WORDS)
-                    out.append(pack(*slot[:, a:z], (sentence[a:z] - (sentence[a] if z > a else 0)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([toxic, pa.array(out, pa.binary())], ["toxic", "words"])
-
-    # the ids are at most ``sample``, which bounds what is broadcast and what comes to the driver
-    rows = bare(docs).join(F.broadcast(taken), "doc_id").select("toxic", "text").mapInArrow(extract, "toxic int, words binary").collect()
-    rows.sort(key=lambda r: (r.toxic, r.words))
-    arrays = []
-    while rows:
-        r = rows.pop()
-        whole = unpack(bytes(r.words), "i4")[0].reshape(len(STEMS) + 2, -1)
-        arrays.append((min(r.toxic, 1), whole[:-1], whole[-1]))
-    return fit_model(arrays)
+                for y, a, z in zip(toxic[s:e].tolist(), words.bounds[:-1], words.bounds[1:], strict=True):
+                    yield y, slot[:, a:z], sentence[a:z]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, toxic = np.zeros(DEAD + 1, np.int64), np.zeros(DEAD + 1, np.int64)
+        for y, slot, _ in each(batches):
+            own = np.unique(slot)
+            own = own[own < DEAD]
+            present[own] += 1
+            toxic[own] += y
+            present[DEAD] += 1  # all documents
+            toxic[DEAD] += y
+        has = np.flatnonzero(present)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (has, present[has], toxic[has])], ["slot", "present", "toxic"])
+
+    # the ids are at most ``sample``, which bounds what is broadcast
+    texts = bare(docs).join(F.broadcast(taken), "doc_id").select("toxic", "text")
+    sums = texts.mapInArrow(count, "slot long, present long, toxic long").groupBy("slot").agg(F.sum("present").alias("present"), F.sum("toxic").alias("toxic"))
+    slot, present, toxic = (np.asarray(c) for c in sums.filter(F.col("present") >= F.when(F.col("slot") == DEAD, 1).otherwise(LEAST_DOCS)).toArrow().columns)  # a row for each slot at most
+    every = slot == DEAD
+    if not every.any():
+        return fit_model([], slot)
+    used = screened(slot[~every], present[~every], toxic[~every], int(present[every][0]), int(toxic[every][0]))
+    shared = docs.sparkSession.sparkContext.broadcast(used)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(DEAD + 1, -1, np.int32)
+        place[shared.value] = np.arange(len(shared.value))
+        for y, slot, sentence in each(batches):
+            at = place[slot]
+            i, k = np.nonzero(at.T >= 0)
+            with_any, row = np.unique(sentence[i], return_inverse=True)
+            n = int(sentence[-1] - sentence[0]) + 1 if len(sentence) else 0
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([n], pa.int64()), pa.array([pack(at[k, i], row.astype(np.int32))], pa.binary())], ["toxic", "sentences", "features"])
+
+    # only features with a weight come to the driver
+    rows = sorted((r.toxic, r.sentences, bytes(r.features)) for r in texts.mapInArrow(extract, "toxic int, sentences long, features binary").collect())
+    return fit_model([(y, n, *unpack(features, "i4", "i4")) for y, n, features in rows], used)
 
 
 def _scored(docs: DataFrame, model: Model, schema: str, emit) -> DataFrame:

@@ -101,3 +101,11 @@ def test_toxicity_edges(spark):
     assert by[902].predicted == 1 and by[1].predicted == 1 and by[2].predicted == 0
     empty = toxicity.toxicity_query(frame(spark, rows), labels.filter("doc_id > 9999"))
     assert empty.count() == len(rows)
+
+
+def test_toxic_only_near_the_end_of_long_texts(spark):
+    filler = "fine words here. " * 7_000
+    rows = [(i, filler + ("you are a loser." if i % 2 else "you are at home.")) for i in range(80)]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.toxicity(frame(spark, [(1, "what a loser"), (2, "fine words at home"), (3, rows[1][1]), (4, rows[2][1])]).drop("score"), model).collect()}
+    assert min(score[1], score[3]) >= toxicity.THRESHOLD > max(score[2], score[4])
