@@ -20,7 +20,11 @@ TEMPLATES = {
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "cc-by-nc": ("licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"),
     "gnu-gpl": ("this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
     "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "zlib": ("in no event will the authors be held liable for any damages arising from the use of this software",),
 }
 
 _WORD_BYTES = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -100,14 +104,19 @@ class LicenseScanner:
         spans = []
         for t, found in by.items():
             label, words = self.templates[t]
-            best: list[tuple[int, int]] = []  # covered words, first word of the chain
-            for k, (i, at, size) in enumerate(found):
+            # covered words and first word of the best chain, by its end in the text and in the template;
+            # starts never go back, so ends out of reach stay so
+            best: dict[int, dict[int, tuple[int, int]]] = {}
+            for i, at, size in found:
                 covered, first = size, i
-                for j in range(max(0, k - 8), k):
-                    pi, pat, psize = found[j]
-                    if pi + psize <= i and pat + psize <= at and max(i - pi - psize, at - pat - psize) <= self.gap and best[j][0] + size > covered:
-                        covered, first = best[j][0] + size, best[j][1]
-                best.append((covered, first))
+                for end in [e for e in best if e < i - self.gap]:
+                    del best[end]
+                for end, chains in best.items():
+                    if end <= i:
+                        for place in range(at - self.gap, at + 1):
+                            if place in chains and chains[place][0] + size > covered:
+                                covered, first = chains[place][0] + size, chains[place][1]
+                best.setdefault(i + size, {})[at + size] = covered, first
                 if covered / len(words) >= self.share:
                     spans.append((label, first, i + size, covered / len(words)))
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))

@@ -107,3 +107,20 @@ def test_licenses(spark):
         assert 0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
     assert {i: out[i, len(words(t))].labels for i, t in rows if i and 800 <= i <= 803} == {800: "mit,reserved", 801: "cc-by,cc-by-nc", 802: "gpl", 803: "mit"}
     assert {(r.doc_id, r.label) for r in licenses.license_spans(frame(spark, rows)).collect()} >= {(800, "mit"), (803, "mit")}
+
+
+def test_license_chain_of_repeated_phrases():
+    """The match that a chain goes on from may be many entries back."""
+    words = " ".join(f"the right to u{k} v{k} w{k}" for k in range(12))
+    text = " zzz ".join(f"the right to zzz u{k} v{k} w{k}" for k in range(12))
+    found = licenses.LicenseScanner(templates={"own": (words,)}).scan(text.encode()).spans
+    assert ("own", 0, len(text.split()), 1.0) in found
+    none = licenses.LicenseScanner(templates={"own": (words,)}, gap=0).scan(text.encode()).spans
+    assert none == []
+
+
+def test_license_notices_have_their_own_labels():
+    scanner = licenses.LicenseScanner()
+    for label, texts in licenses.TEMPLATES.items():
+        assert all({s[0] for s in scanner.scan(t.encode()).spans} == {label} for t in texts)
+    assert {"isc", "mpl", "unlicense", "zlib"} <= set(licenses.TEMPLATES)
