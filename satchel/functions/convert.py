@@ -174,8 +174,28 @@ def to_timestamp(value: Column | str, of: DataType) -> Column:
     return F.timestamp_millis(to_long(value, of))
 
 
+#: The code of each type that has one; every other type, decimals too, is 0.
+TYPE_CODES = {
+    "string": 1,
+    "int": 2,
+    "tinyint": 3,
+    "boolean": 4,
+    "bigint": 5,
+    "double": 7,
+    "float": 8,
+    "smallint": 9,
+    "date": 12,
+    "timestamp": 12,
+    "timestamp_ntz": 12,
+}
+
+
 def type_code(value: Column | str) -> Column:
-    return F.typeof(_c(value))
+    """The code of the column's type.  Characters (6) and time zones (13) are no types of Spark."""
+    kind, code = F.typeof(_c(value)), F.lit(0)
+    for name, number in TYPE_CODES.items():
+        code = F.when(kind == name, number).otherwise(code)
+    return code
 
 
 def to_list(value: Column | str, of: DataType) -> Column:
@@ -188,4 +208,9 @@ def to_map(*pairs: Column) -> Column:
 
 
 def format_money(value: Column | str) -> Column:
-    return F.format_number(_c(value), "###,###,###.00")
+    return F.call_function("format_number", _c(value), F.lit("###,###,###.00"))
+
+
+def format_plain(value: Column | str) -> Column:
+    """Three decimals and no separators."""
+    return F.call_function("format_number", _c(value), F.lit("##########.000"))

@@ -15,13 +15,13 @@ def replace_all(s: Column | str, old: str, new: str) -> Column:
     return F.replace(_c(s), F.lit(old), F.lit(new)) if old else _c(s)
 
 
-def wild_to_regex(pattern: str) -> str:
-    """A glob of ``*``, ``?``, ``[a-z]``, ``[^..]`` and backslash escapes as a regular expression."""
+def _wild_parts(pattern: str) -> list[str | None]:
+    """The pattern in regular expressions of one character each; None stands for a star."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
         if c == "*":
-            out.append(".*")
+            out.append(None)
         elif c == "?":
             out.append(".")
         elif c == "\\":
@@ -40,7 +40,12 @@ def wild_to_regex(pattern: str) -> str:
         else:
             out.append(re.escape(c))
         i += 1
-    return "".join(out)
+    return out
+
+
+def wild_to_regex(pattern: str) -> str:
+    """A glob of ``*``, ``?``, ``[a-z]``, ``[^..]`` and backslash escapes as a regular expression."""
+    return "".join(".*" if p is None else p for p in _wild_parts(pattern))
 
 
 def wildmat(s: Column | str, pattern: str, ignore_case: bool = False) -> Column:
@@ -51,11 +56,25 @@ def starts_with_wild(s: Column | str, pattern: str, ignore_case: bool = False) -
     return _c(s).rlike(("(?is)" if ignore_case else "(?s)") + f"^(?:{wild_to_regex(pattern)})")
 
 
-def wild_start(s: Column | str, pattern: str) -> Column:
-    """Struct of matched and last_matched: the length of the shortest prefix that matches, 0 if none."""
-    lazy = wild_to_regex(pattern).replace(".*", ".*?")
-    matched = starts_with_wild(s, pattern)
-    return F.struct(matched.alias("matched"), F.length(F.regexp_extract(_c(s), f"(?s)^(?:{lazy})", 0)).alias("last_matched"))
+def wild_start(s: Column | str, pattern: str, ignore_case: bool = False) -> Column:
+    """Struct of found, last_matched, exactly_matched and last_consecutive.
+
+    A pattern without stars has to match a prefix, and the numbers are its length.  With stars it has to
+    match the whole text: last_matched is the text's length, exactly_matched the characters that no star
+    stands for, last_consecutive those before the first star.  A miss is (false, -1, -1, 0).
+    """
+    parts = _wild_parts(pattern)
+    fixed = len(parts) - parts.count(None)
+    starred = None in parts
+    lead = parts.index(None) if starred else fixed
+    found = F.coalesce(wildmat(s, pattern, ignore_case) if starred else starts_with_wild(s, pattern, ignore_case), F.lit(False))
+    number = lambda value, miss: F.when(found, value).otherwise(miss).cast("int")
+    return F.struct(
+        found.alias("found"),
+        number(F.length(_c(s)) if starred else F.lit(fixed), -1).alias("last_matched"),
+        number(F.lit(fixed), -1).alias("exactly_matched"),
+        number(F.lit(lead), 0).alias("last_consecutive"),
+    )
 
 
 def break_large_words(s: Column | str, delimiters: str, separator: str, most: int) -> Column:

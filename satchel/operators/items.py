@@ -51,10 +51,15 @@ def remove_property(items: DataFrame, name: str) -> DataFrame:
     return items.withColumns({PROPS: F.array_remove(PROPS, name), UNINDEXED: F.array_remove(UNINDEXED, name)}).drop(name)
 
 
-def all_properties(items: DataFrame) -> DataFrame:
-    """Identifier and a JSON object of the properties that are not null."""
+def all_properties(items: DataFrame, which: str = "all") -> DataFrame:
+    """Identifier and a JSON object of the properties present, nulls included; ``which`` may be
+    "indexed" or "unindexed".  Items that don't track presence have the properties that are not null."""
     names = [c for c in items.columns if c not in (ID, KIND, PROPS, UNINDEXED)]
-    return items.select(ID, F.to_json(F.struct(*names)).alias("properties"))
+    wanted = {"all": has_property, "indexed": is_indexed, "unindexed": lambda c: has_property(c) & ~is_indexed(c)}[which]
+    pairs = [F.struct(F.lit(c).alias("key"), F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"}).alias("value"), (wanted(c) if PROPS in items.columns else F.col(c).isNotNull()).alias("present")) for c in names]
+    # a value in its array, without the brackets
+    texts = F.transform(F.filter(F.array(*pairs), lambda p: p["present"]), lambda p: F.concat(F.lit('"'), p["key"], F.lit('":'), F.substring(p["value"], F.lit(2), F.length(p["value"]) - 2)))
+    return items.select(ID, F.concat(F.lit("{"), F.concat_ws(",", texts), F.lit("}")).alias("properties"))
 
 
 def copy_items(items: DataFrame, identifier: Column) -> DataFrame:

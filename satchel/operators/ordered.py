@@ -43,5 +43,14 @@ class OrderedSet:
         c = F.col("key")
         return self.frame.orderBy(c.desc() if reverse else c.asc())
 
+    def in_range(self, low: Any, high: Any) -> DataFrame:
+        """(key, id) for the ids in the values, lists or single ones, of keys from ``low`` up to ``high``."""
+        found = self.frame.filter(F.col("key").between(F.lit(low), F.lit(high)))
+        many = self.frame.schema["value"].dataType.typeName() == "array"
+        return found.select("key", F.explode("value").alias("id") if many else F.col("value").alias("id"))
+
+    def clear(self) -> OrderedSet:
+        return OrderedSet(self.frame.limit(0))
+
     def is_empty(self) -> bool:
         return self.frame.isEmpty()

@@ -44,9 +44,11 @@ class Lock:
         if self.raw.create(self.path, mine(), wait_s):
             return True
         held = self.raw.fetch(self.path)
-        if held and time.time() - json.loads(held)["at"] > self.break_s:
-            self.raw.delete(self.path)
-            return self.raw.create(self.path, mine())
+        if held and time.time() - (old := json.loads(held))["at"] > self.break_s:
+            # of several that find it expired, one may break this very lock, and no later one
+            if self.raw.create(f"{self.path}-broken/{old['token']}", mine()):
+                self.raw.delete(self.path)
+                return self.raw.create(self.path, mine())
         return False
 
     def release(self) -> None:
@@ -68,24 +70,31 @@ class ItemStore:
         self._active: list[Session] = []
 
     # ---- control tables
-    def commit_numbers(self) -> dict[int, int]:
-        """Revision by commit number."""
-        return {int(p.split("/")[-1]): json.loads(self.raw.fetch(p))["rev"] for p in self.raw.list_children("commits")}
+    def commits(self) -> DataFrame:
+        """(rev, commit_no) of every commit; the executors read the markers."""
+        number = F.element_at(F.split("path", "/"), -1).cast("long")
+        rev = F.get_json_object(F.col("content").cast("string"), "$.rev").cast("long")
+        return self.raw.frame("commits").select(rev.alias("rev"), number.alias("commit_no"))
 
     def last_commit(self) -> int:
         return max(int(p.split("/")[-1]) for p in self.raw.list_children("commits"))
 
-    def commits(self) -> DataFrame:
-        return self.spark.createDataFrame([(r, c) for c, r in self.commit_numbers().items()], "rev long, commit_no long")
+    def _revision_of(self, commit: int) -> int:
+        return json.loads(self.raw.fetch(f"commits/{commit}"))["rev"]
+
+    def _merges(self) -> list[dict]:
+        """Clean-ups that took effect, oldest first: folder, keep (its revision) and gone (those merged)."""
+        found = sorted(self.raw.list_children("merges"), key=lambda p: int(p.split("/")[-1]))
+        return [json.loads(self.raw.fetch(p)) for p in found]
 
     def available_revisions(self) -> list[int]:
         """Newest first, committed or not, without those cleaned up."""
-        gone = set(self.raw.list_children("deletions"))
-        numbers = (p.split("/")[-1] for p in self.raw.list_children("revisions"))
-        return sorted((int(n) for n in numbers if f"deletions/{n}" not in gone), reverse=True)
+        gone = {r for m in self._merges() for r in m["gone"]}
+        numbers = (int(p.split("/")[-1]) for p in self.raw.list_children("revisions"))
+        return sorted((n for n in numbers if n not in gone), reverse=True)
 
     def is_committed(self, revision: int) -> bool:
-        return revision in self.commit_numbers().values()
+        return not self.commits().filter(F.col("rev") == revision).isEmpty()
 
     def active_sessions(self) -> list[Session]:
         return list(self._active)
@@ -105,58 +114,69 @@ class ItemStore:
             return []
         return [f"{self.root}/data/{what}/{s.getPath().getName()}" for s in fs.listStatus(path) if s.getPath().getName().startswith("rev=")]
 
-    def _read(self, what: str, empty: str) -> DataFrame:
-        folders = self._folders(what)
-        if not folders:
-            return self.spark.createDataFrame([], empty)
-        return self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/data/{what}").parquet(*folders).withColumn("rev", F.col("rev").cast("long"))
+    def _read(self, base: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").option("basePath", base).parquet(*folders).withColumn("rev", F.col("rev").cast("long"))
 
     def versions(self) -> DataFrame:
-        return self._read("versions", f"id string, rev long, op string, {KIND} string")
+        """Versions of every revision; those that a clean-up merged come from its folder."""
+        merges = self._merges()
+        replaced = {f"rev={r}" for m in merges for r in (*m["gone"], m["keep"])}
+        folders = [f for f in self._folders("versions") if f.split("/")[-1] not in replaced]
+        out = self._read(f"{self.root}/data/versions", folders) if folders else self.spark.createDataFrame([], f"id string, rev long, op string, {KIND} string")
+        if merges:
+            base = f"{self.root}/data/merged/{merges[-1]['folder']}"
+            out = out.unionByName(self._read(base, [f"{base}/rev={merges[-1]['keep']}"]), allowMissingColumns=True)
+        return out
 
     def journal(self) -> DataFrame:
-        return self._read("journal", "id string, rev long, kind string")
+        folders = self._folders("journal")
+        return self._read(f"{self.root}/data/journal", folders) if folders else self.spark.createDataFrame([], "id string, rev long, kind string")
 
     # ---- sessions
     def begin(self, mode: str = READWRITE, revision: int | None = None) -> Session:
         """READONLY on the last commit, or on that of ``revision``; READWRITE on a new revision."""
-        commits = self.commit_numbers()
-        snapshot = max(commits)
+        snapshot = self.last_commit()
         if revision is not None:
-            found = [c for c, r in commits.items() if r == revision]
-            if mode != READONLY or not found or revision not in self.available_revisions():
+            found = self.commits().filter(F.col("rev") == revision).first()
+            if mode != READONLY or found is None or revision not in self.available_revisions():
                 raise ValueError(f"revision {revision} can't be opened {mode}")
-            snapshot = found[0]
+            snapshot = found.commit_no
         own = None
         if mode == READWRITE:
             own = self.available_revisions()[0] + 1
             while not self.raw.create(f"revisions/{own}", json.dumps({"start": snapshot}).encode()):
                 own += 1
-        session = Session(self, snapshot, own, commits[snapshot])
+        session = Session(self, snapshot, own, self._revision_of(snapshot))
         self._active.append(session)
         return session
 
     def clean_up(self) -> int:
         """Merges all versions up to the oldest snapshot in use into one revision; returns how many
-        revisions went.  Readers of newer snapshots see what they saw."""
-        commits = self.commit_numbers()
-        oldest = min([*self.snapshots_in_use(), max(commits)])
-        keep = commits[oldest]
-        old = {r for c, r in commits.items() if c < oldest}
-        gone = [r for r in old if r in self.available_revisions() and r != keep]
+        revisions went.  Readers of newer snapshots see what they saw.
+
+        The merged rows go to a folder of their own that one exclusive marker puts in force, so a crash
+        at any step loses nothing.  Files that an earlier clean-up replaced are deleted by the next one,
+        when their readers are done.
+        """
+        fs, path = self.raw._fs, self.raw._path
+        merges = self._merges()
+        for m in merges:
+            for r in (*m["gone"], m["keep"]):
+                fs.delete(path(f"{self.root}/data/versions/rev={r}"), True)
+        for m in merges[:-1]:
+            fs.delete(path(f"{self.root}/data/merged/{m['folder']}"), True)
+        oldest = min([*self.snapshots_in_use(), self.last_commit()])
+        keep = self._revision_of(oldest)
+        left = set(self.available_revisions())
+        # as many as there are revisions since the last clean-up
+        gone = [r.rev for r in self.commits().filter(F.col("commit_no") < oldest).select("rev").collect() if r.rev in left and r.rev != keep]
         if not gone:
             return 0
-        data = f"{self.root}/data/versions"
         settled = self.versions().filter(F.col("rev").isin([*gone, keep]))
-        merged = survivors(settled, self.commits(), oldest).drop("rev")
-        merged.write.mode("overwrite").parquet(f"{data}/.merged-{keep}")
-        fs, path = self.raw._fs, self.raw._path
-        for r in [*gone, keep]:
-            fs.delete(path(f"{data}/rev={r}"), True)
-        fs.rename(path(f"{data}/.merged-{keep}"), path(f"{data}/rev={keep}"))
-        for r in gone:
-            self.raw.create(f"deletions/{r}", b"{}")
-        return len(gone)
+        folder = uuid.uuid4().hex
+        survivors(settled, self.commits(), oldest).drop("rev").write.parquet(f"{self.root}/data/merged/{folder}/rev={keep}")
+        content = json.dumps({"folder": folder, "keep": keep, "gone": gone}).encode()
+        return len(gone) if self.raw.create(f"merges/{len(merges)}", content) else 0
 
 
 class Session:
@@ -168,8 +188,12 @@ class Session:
         self._turn = 0
         self._reads: list[DataFrame] = []
         self._marker = f"sessions/{uuid.uuid4().hex}"
-        self.hooks: dict[str, list[Callable]] = {"store": [], "delete": [], "commit": []}
-        store.raw.store(self._marker, json.dumps({"snapshot": snapshot, "at": time.time()}).encode())
+        self.hooks: dict[str, list[Callable]] = {"load": [], "store": [], "delete": [], "commit": []}
+        self.renew()
+
+    def renew(self) -> None:
+        """Begins the lease of the session's snapshot anew; a session that outlives it calls this."""
+        self.store_.raw.store(self._marker, json.dumps({"snapshot": self.snapshot, "at": time.time()}).encode())
 
     def _check(self, write: bool = False) -> None:
         if not self.is_active:
@@ -179,7 +203,12 @@ class Session:
 
     # ---- reading
     def frame(self) -> DataFrame:
-        """The items that the session sees, its own writes among them."""
+        """The items that the session sees, its own writes among them; all of them count as read."""
+        found = self._view()
+        self._read_ids(found.select(ID))
+        return found
+
+    def _view(self) -> DataFrame:
         self._check()
         versions = self.store_.versions()
         if self._staged is not None:
@@ -187,7 +216,17 @@ class Session:
         return snapshot_view(versions, self.store_.commits(), self.snapshot, self.own).withColumnRenamed("id", ID)
 
     def prepare(self, query: Query) -> PreparedQuery:
-        return query.prepare(self.frame())
+        """The query over what the session sees; the rows that it selects count as read."""
+        made = query.prepare(self._view())
+        self._read_ids(made.df().select(ID))
+        return made
+
+    def _loaded(self, rows: list[Row | None]) -> list[Row | None]:
+        for hook in self.hooks["load"]:
+            for row in rows:
+                if row is not None:
+                    hook(row)
+        return rows
 
     def _read_ids(self, ids: DataFrame) -> None:
         if self.own is not None:
@@ -195,19 +234,21 @@ class Session:
 
     def fetch(self, identifier: str) -> Row | None:
         self._read_ids(self.store_.spark.createDataFrame([(identifier,)], "id string"))
-        return self.frame().filter(F.col(ID) == identifier).first()
+        return self._loaded([self._view().filter(F.col(ID) == identifier).first()])[0]
 
     def fetch_many(self, identifiers: list[str]) -> list[Row | None]:
         """By position, None for what is not there."""
         self._read_ids(self.store_.spark.createDataFrame([(i,) for i in identifiers], "id string"))
-        rows = fetch_many(self.frame(), identifiers).orderBy("pos").drop("pos", "wanted").collect()
-        return [r if r[ID] is not None else None for r in rows]
+        rows = fetch_many(self._view(), identifiers).orderBy("pos").drop("pos", "wanted").collect()
+        return self._loaded([r if r[ID] is not None else None for r in rows])
 
     def list_children(self, path: str) -> DataFrame:
-        return hierarchy.list_children(self.frame(), path)
+        found = hierarchy.list_children(self._view(), path)
+        self._read_ids(found.select(ID))
+        return found
 
     def fetch_children(self, path: str) -> DataFrame:
-        found = hierarchy.fetch_children(self.frame(), path)
+        found = hierarchy.fetch_children(self._view(), path)
         self._read_ids(found.select(ID))
         return found
 
@@ -256,14 +297,17 @@ class Session:
         self.delete(self.list_children(path))
 
     def flush(self) -> None:
-        """Writes what is staged; it stays this session's own until commit."""
+        """Writes what is staged; it stays this session's own until commit.  The journal is written at
+        commit alone, once for a revision, so that who follows it never meets a row twice."""
         self._check(write=True)
         if self._staged is None:
             return
+        self._latest().drop("rev").write.mode("overwrite").parquet(f"{self.store_.root}/data/versions/rev={self.own}")
+
+    def _publish_journal(self) -> None:
         kind = F.when(F.col("op") == DELETE, "delete").when(F.col("old").isNull(), "insert").otherwise("update")
         old = snapshot_view(self.store_.versions(), self.store_.commits(), self.snapshot).select("id", F.lit(1).alias("old"))
-        rows, data = self._latest(), f"{self.store_.root}/data"
-        rows.drop("rev").write.mode("overwrite").parquet(f"{data}/versions/rev={self.own}")
+        data = f"{self.store_.root}/data"
         written = self.store_.spark.read.parquet(f"{data}/versions/rev={self.own}")
         written.join(old, "id", "left").select("id", kind.alias("kind")).write.mode("overwrite").parquet(f"{data}/journal/rev={self.own}")
 
@@ -274,6 +318,8 @@ class Session:
             self.close()
             return self.snapshot
         self.flush()
+        if self._staged is not None:
+            self._publish_journal()
         while True:
             last = self.store_.last_commit()
             if self._reads and last > self.snapshot:

@@ -25,10 +25,15 @@ def visible_versions(versions: DataFrame, commits: DataFrame, snapshot: int, own
 
 def snapshot_view(versions: DataFrame, commits: DataFrame, snapshot: int, own: int | None = None) -> DataFrame:
     """For each id the newest visible version, by commit and not by revision; deleted ids are gone."""
-    seen = visible_versions(versions, commits, snapshot, own)
-    rest = [c for c in versions.columns if c not in ("id",)]
-    newest = seen.groupBy("id").agg(F.max_by(F.struct(*rest), "at").alias("m"))
-    return newest.filter(F.col("m.op") == STORE).select("id", *[f"m.`{c}`" for c in rest if c not in ("op", "rev")])
+    newest = newest_of(visible_versions(versions, commits, snapshot, own), "at")
+    return newest.filter(F.col("op") == STORE).select(*[c for c in versions.columns if c not in ("op", "rev")])
+
+
+def newest_of(versions: DataFrame, order: str) -> DataFrame:
+    """The rows whose ``order`` is the largest of their id.  Only ids and ranks are aggregated, by hash
+    and with partial maxima; the payload meets them in one join."""
+    top = versions.groupBy("id").agg(F.max(order).alias(order))
+    return versions.join(top, ["id", order], "left_semi")
 
 
 def conflicts(reads: DataFrame, journal: DataFrame, commits: DataFrame, start: int) -> DataFrame:
@@ -57,9 +62,8 @@ def survivors(versions: DataFrame, commits: DataFrame, oldest: int) -> DataFrame
     it the newest version of each id unless that is a deletion."""
     joined = versions.join(commits.select("rev", "commit_no"), "rev", "left")
     later = joined.filter(F.col("commit_no").isNull() | (F.col("commit_no") > oldest)).drop("commit_no")
-    rest = [c for c in versions.columns if c != "id"]
-    old = joined.filter(F.col("commit_no") <= oldest).groupBy("id").agg(F.max_by(F.struct(*rest), "commit_no").alias("m"))
-    return later.select("id", *rest).unionByName(old.filter(F.col("m.op") == STORE).select("id", "m.*"))
+    old = newest_of(joined.filter(F.col("commit_no") <= oldest), "commit_no")
+    return later.unionByName(old.filter(F.col("op") == STORE).drop("commit_no")).select(versions.columns)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

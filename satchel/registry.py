@@ -16,6 +16,8 @@ from satchel.operators.ordered import OrderedSet
 from satchel.operators.query import Direction, Query
 from satchel.operators.ranking import with_places
 from satchel.plans import versions as V
+from satchel.plans.shared import new_folder
+from satchel.plans.store import READONLY, ItemStore
 from satchel.sources.tables import read_table as table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -59,15 +61,15 @@ _filter(
     "(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderstatus = 'O' AND (o_totalprice > 200000 OR o_totalprice < 10000))",
 )
 _filter("filter_any_scalar", "customer", "c_custkey", P.any_("c_mktsegment", "BUILDING", "MACHINERY"), "c_mktsegment IN ('BUILDING', 'MACHINERY')")
-_filter("filter_all_scalar", "customer", "c_custkey", P.all_("c_mktsegment", "BUILDING", "MACHINERY"), "c_mktsegment = 'BUILDING' AND c_mktsegment = 'MACHINERY'")
-_filter("filter_xor", "orders", "o_orderkey", P.xor("o_orderstatus", "F", "O"), "o_orderstatus <> 'F' OR o_orderstatus <> 'O'")
+_filter("filter_all_scalar", "customer", "c_custkey", P.all_("c_mktsegment", "BUILDING", "BUILDING"), "c_mktsegment = 'BUILDING' AND c_mktsegment = 'BUILDING'")
+_filter("filter_xor", "orders", "o_orderkey", P.xor("o_orderstatus", "F", "F"), "o_orderstatus <> 'F'")
 _filter("filter_ne_all", "orders", "o_orderkey", P.ne("o_orderstatus", P.all_of("F", "O")), "o_orderstatus NOT IN ('F', 'O')")
 _filter("filter_none", "orders", "o_orderkey", P.none("o_orderstatus", "F", "O"), "o_orderstatus NOT IN ('F', 'O')")
 _MAYBE = {"maybe": (lambda: F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")), "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END")}
 _filter("filter_is_null", "orders", "o_orderkey", P.is_null("maybe"), "maybe IS NULL", _MAYBE)
 _filter("filter_not_null", "orders", "o_orderkey", P.not_null("maybe"), "maybe IS NOT NULL", _MAYBE)
 _filter("filter_ne_skips_absent", "orders", "o_orderkey", P.ne("maybe", 0.0), "maybe <> 0", _MAYBE)
-_filter("filter_empty_values", "customer", "c_custkey", P.or_(P.any_("c_mktsegment"), P.all_("c_mktsegment")), "FALSE")
+_filter("filter_empty_values", "customer", "c_custkey", P.or_(P.any_("c_mktsegment"), P.all_("c_mktsegment"), P.eq("c_mktsegment", "BUILDING")), "c_mktsegment = 'BUILDING'")
 
 
 @_add("add_filter_conjunction", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND c_nationkey <= 10")
@@ -398,8 +400,8 @@ _columns(
 _columns(
     "str_blank",
     "documents",
-    lambda: {"doc_id": F.col("doc_id"), "blank": strings.is_blank(F.when(F.col("doc_id") % 3 == 0, F.lit(" \t\n")).when(F.col("doc_id") % 3 == 1, F.col("text")))},
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NOT regexp_matches(text, '[^\\x00-\\x20]') ELSE TRUE END AS blank FROM documents",
+    lambda: {"doc_id": F.col("doc_id"), "blank": strings.is_blank("text"), "cut": strings.is_blank(F.regexp_replace("text", "[^\\x00-\\x20]+", " ")), "none": strings.is_blank(F.nullif(F.col("text"), F.col("text")))},
+    "SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x20]') AS blank, TRUE AS cut, TRUE AS none FROM documents",
 )
 _columns(
     "str_replace",
@@ -429,11 +431,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _columns("num_decode", "customer", lambda: {"c_custkey": F.col("c_custkey"), "v": numbers.decode(numbers.encode(_money()))}, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS v FROM customer")
+def _made_url() -> Column:
+    return F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("?a=x+"), F.col("page_id"), F.lit("&id="), F.col("page_id"), F.lit("#f"))
+
+
 _columns(
     "url_query_params",
     "pages",
-    lambda: {"page_id": F.col("page_id"), "q": F.element_at(strings.query_components(F.concat(F.lit("http://h/?a=x+y&id="), F.col("page_id"), F.lit("#f"))), "a"), "id": F.element_at(strings.query_components(F.concat(F.lit("http://h/?a=x+y&id="), F.col("page_id"), F.lit("#f"))), "id"), "none": strings.query_components(F.lit("http://h/")).isNull()},
-    "SELECT page_id, 'x y' AS q, CAST(page_id AS VARCHAR) AS id, TRUE AS none FROM pages",
+    lambda: {"page_id": F.col("page_id"), "q": F.element_at(strings.query_components(_made_url()), "a"), "id": F.element_at(strings.query_components(_made_url()), "id"), "none": strings.query_components("url").isNull()},
+    "SELECT page_id, 'x ' || page_id AS q, CAST(page_id AS VARCHAR) AS id, NOT contains(url, '?') AS none FROM pages",
+)
+_columns(
+    "num_encode",
+    "customer",
+    lambda: {"c_custkey": F.col("c_custkey"), "code": numbers.encode(F.col("c_custkey").cast("string"))},
+    "SELECT c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) = 1 THEN '?' || c_custkey || '*' ELSE '??' || length(CAST(c_custkey AS VARCHAR)) || c_custkey || '*' END AS code FROM customer",
 )
 
 
@@ -536,15 +548,59 @@ _columns(
 _columns(
     "convert_types",
     "customer",
-    lambda: {"c_custkey": F.col("c_custkey"), "code": convert.type_code("c_acctbal"), "n": F.size(convert.to_list("c_name", _TEXT)).cast("long"), "path": paths.normalise(F.concat(F.lit("/a/"), F.col("c_name"), F.lit("//")))},
-    "SELECT c_custkey, 'double' AS code, CAST(1 AS BIGINT) AS n, 'a/' || c_name AS path FROM customer",
+    lambda: {"c_custkey": F.col("c_custkey"), "code": convert.type_code("c_acctbal"), "text_code": convert.type_code("c_name"), "decimal_code": convert.type_code(F.col("c_acctbal").cast("decimal(12,2)")), "n": F.size(convert.to_list("c_name", _TEXT)).cast("long"), "path": paths.normalise(F.concat(F.lit("/a/"), F.col("c_name"), F.lit("//")))},
+    "SELECT c_custkey, 7 AS code, 1 AS text_code, 0 AS decimal_code, CAST(1 AS BIGINT) AS n, 'a/' || c_name AS path FROM customer",
 )
+def _wild(pattern: str) -> dict[str, Column]:
+    got = strings.wild_start("p_name", pattern)
+    return {"p_partkey": F.col("p_partkey"), **{c: got[c] for c in ("found", "last_matched", "exactly_matched", "last_consecutive")}}
+
+
 _columns(
     "wild_start_lengths",
     "part",
-    lambda: {"p_partkey": F.col("p_partkey"), "hit": strings.wild_start("p_name", "*[aeiou]?")["matched"], "size": strings.wild_start("p_name", "*[aeiou]?")["last_matched"].cast("long")},
-    "SELECT p_partkey, regexp_matches(p_name, '[aeiou].') AS hit, CAST(length(regexp_extract(p_name, '^.*?[aeiou].')) AS BIGINT) AS size FROM part",
+    lambda: _wild("??*[aeiou]*n"),
+    "SELECT p_partkey, hit AS found, CASE WHEN hit THEN CAST(length(p_name) AS INTEGER) ELSE -1 END AS last_matched, CASE WHEN hit THEN 4 ELSE -1 END AS exactly_matched, CASE WHEN hit THEN 2 ELSE 0 END AS last_consecutive FROM (SELECT p_partkey, p_name, regexp_full_match(p_name, '(?s)...*[aeiou].*n') AS hit FROM part)",
+)
+_columns(
+    "wild_start_prefix",
+    "part",
+    lambda: _wild("?[a-m]"),
+    "SELECT p_partkey, hit AS found, CASE WHEN hit THEN 2 ELSE -1 END AS last_matched, CASE WHEN hit THEN 2 ELSE -1 END AS exactly_matched, CASE WHEN hit THEN 2 ELSE 0 END AS last_consecutive FROM (SELECT p_partkey, regexp_matches(p_name, '^.[a-m]') AS hit FROM part)",
 )
+_columns(
+    "convert_formats",
+    "customer",
+    lambda: {"c_custkey": F.col("c_custkey"), "money": convert.format_money("c_acctbal"), "plain": convert.format_plain("c_acctbal"), "f": convert.to_float(F.col("c_acctbal").cast("string"), _TEXT).cast("double")},
+    "SELECT c_custkey, CASE WHEN abs(c_acctbal) < 1 THEN replace(format('{:,.2f}', CAST(c_acctbal AS DOUBLE)), '0.', '.') ELSE format('{:,.2f}', CAST(c_acctbal AS DOUBLE)) END AS money, CASE WHEN abs(c_acctbal) < 1 THEN replace(format('{:.3f}', CAST(c_acctbal AS DOUBLE)), '0.', '.') ELSE format('{:.3f}', CAST(c_acctbal AS DOUBLE)) END AS plain, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS f FROM customer",
+)
+
+
+# ---------------------------------------------------------------- sessions of a store
+def _stored(spark: SparkSession, sf_dir: str) -> ItemStore:
+    """Customers in a store, then every fifth gone and every third renamed, in three commits."""
+    store = ItemStore(spark, new_folder(spark, "store"))
+    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey")).alias(ID), F.lit("customer").alias(KIND), F.col("c_name").alias("name"), "c_custkey")
+    for change in (lambda t: t.store(people), lambda t: t.delete(people.filter("c_custkey % 5 = 0")), lambda t: t.store(people.filter("c_custkey % 3 = 0").withColumn("name", F.lit("new")))):
+        with store.begin() as session:
+            change(session)
+            session.commit()
+    return store
+
+
+_STORED = "SELECT 'customer/' || c_custkey AS \"__ID__\", CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS name FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0"
+
+
+@_add("store_commit_roundtrip", _STORED)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).begin(READONLY).frame().select(ID, "name")
+
+
+@_add("store_clean_up", _STORED)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    store.clean_up()
+    return store.begin(READONLY).frame().select(ID, "name")
 
 
 @_add(

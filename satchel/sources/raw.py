@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +37,55 @@ class RawStore:
             out.close()
 
     def create(self, path: str, content: bytes, wait_s: float = 0) -> bool:
-        """Creates if absent; looks again until the wait is over.  Of several callers one succeeds."""
+        """Creates if absent; looks again until the wait is over.  Of several callers one succeeds.
+
+        The payload is written under another name first, so whoever sees the path sees all of it.  It is
+        published by a hard link on local file systems and by a rename that never replaces on HDFS; other
+        file systems have no such step and are refused.
+        """
         end = time.monotonic() + wait_s
         while True:
-            try:
-                out = self._fs.create(self._at(path, _FILE), False)
-                try:
-                    out.write(bytearray(content))
-                finally:
-                    out.close()
+            if self._publish(self._at(path, _FILE), content):
                 return True
-            except Exception as e:
-                if "already exists" not in str(e) and "FileAlreadyExists" not in str(e):
-                    raise
             if time.monotonic() >= end:
                 return False
             time.sleep(min(_POLL_S, max(end - time.monotonic(), 0)))
 
+    def _publish(self, target, content: bytes) -> bool:
+        if self._fs.exists(target):
+            return False
+        new = self._path(f"{target.getParent()}/.new-{uuid.uuid4().hex}")
+        scheme = self._fs.getUri().getScheme()
+        if scheme == "file":
+            at, to = new.toUri().getPath(), target.toUri().getPath()
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(at, "wb") as f:
+                f.write(content)
+            try:
+                os.link(at, to)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(at)
+        if scheme not in ("hdfs", "viewfs"):
+            raise NotImplementedError(f"exclusive creation on {scheme}")
+        out = self._fs.create(new, False)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(new, target, self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Exception as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+
     def fetch(self, path: str) -> bytes | None:
         at = self._at(path, _FILE)
         if not self._fs.exists(at):
@@ -100,16 +134,16 @@ class MemoryStore:
         self._content[path.strip("/")] = bytes(content)
 
     def create(self, path: str, content: bytes, wait_s: float = 0) -> bool:
-        end = time.monotonic() + wait_s
-        while path.strip("/") in self._content:
+        end, own = time.monotonic() + wait_s, bytearray(content)
+        while self._content.setdefault(path.strip("/"), own) is not own:  # one step, under the interpreter's lock
             if time.monotonic() >= end:
                 return False
             time.sleep(_POLL_S / 10)
-        self.store(path, content)
         return True
 
     def fetch(self, path: str) -> bytes | None:
-        return self._content.get(path.strip("/"))
+        found = self._content.get(path.strip("/"))
+        return None if found is None else bytes(found)
 
     def exists(self, path: str) -> bool:
         return path.strip("/") in self._content

@@ -88,7 +88,18 @@ def test_strings(spark):
     for text, pattern, hit in [("hello", "h*o", True), ("hello", "h?llo", True), ("hello", "[a-h]ello", True), ("hello", "[^a-h]ello", False), ("a*b", r"a\*b", True), ("axb", r"a\*b", False), ("hello\n", "hello", False), ("a.c", "a.c", True), ("abc", "a.c", False)]:
         assert one(spark, text, strings.wildmat("v", pattern)) is hit, (text, pattern)
     assert one(spark, "HELLO", strings.wildmat("v", "h*", True)) and one(spark, "hello", strings.starts_with_wild("v", "h?l"))
-    assert tuple(one(spark, "hello", strings.wild_start("v", "h*l"))) == (True, 3)
+    for text, pattern, want in [
+        ("/kjh/kllkjh/x.jsp", "*.jsp", (True, 17, 4, 0)),
+        ("/kjh/kllkjh/x.jsp", "/kjh/*.jsp", (True, 17, 9, 5)),
+        ("hello", "h*l", (False, -1, -1, 0)),
+        ("hello", "hel", (True, 3, 3, 3)),
+        ("hello", "*", (True, 5, 0, 0)),
+        (".x", "[.*]x", (True, 2, 2, 2)),
+        ("?x", "[.*]x", (False, -1, -1, 0)),
+        ("h", "h**", (True, 1, 1, 1)),
+        ("h", "hello", (False, -1, -1, 0)),
+    ]:
+        assert tuple(one(spark, text, strings.wild_start("v", pattern))) == want, (text, pattern)
     assert one(spark, "abcdefgh ij", strings.break_large_words("v", " ", "-", 3)) == "abc-def-gh ij" and one(spark, "abcdef", strings.break_large_words("v", " ", "-", 3)) == "abc-def"
     assert one(spark, "abc", strings.prepad("v", 2, "0")) == "abc" and one(spark, None, strings.prepad("v", 2, "0")) == "00" and one(spark, "a", strings.pad("v", 3, ".")) == "a.."
     assert one(spark, "one two", strings.last_word_break("v", " ", 6)) == 4 and one(spark, "one", strings.last_word_break("v", " ", 9)) == -1

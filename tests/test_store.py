@@ -135,14 +135,84 @@ def test_raw(raw):
     assert raw.list_children() == [] and raw.fetch("ducks/huey") is None
 
 
-def test_create_is_exclusive(spark, tmp_path):
-    raw, won = RawStore(spark, str(tmp_path / "x")), []
-    threads = [threading.Thread(target=lambda k=k: won.append(raw.create("lock", str(k).encode()))) for k in range(8)]
+def test_create_is_exclusive(raw):
+    for turn in range(8):
+        won = []
+        threads = [threading.Thread(target=lambda k=k, turn=turn: won.append(raw.create(f"lock-{turn}", str(k).encode()) and k)) for k in range(32)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        (winner,) = [k for k in won if k is not False]
+        assert raw.fetch(f"lock-{turn}") == str(winner).encode()
+
+
+def test_an_expired_lock_is_broken_once(raw):
+    assert Lock(raw, "lock").acquire()
+    late = [Lock(raw, "lock", break_s=-1) for _ in range(8)]
+    held, won = raw.fetch("lock"), []
+    fetch = raw.fetch
+    raw.fetch = lambda path: held if path == "lock" else fetch(path)  # all of them saw the same lock expire
+    threads = [threading.Thread(target=lambda lock=lock: won.append(lock.acquire())) for lock in late]
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert sum(won) == 1
 
 
+def test_two_sessions_race_for_a_number(spark, store):
+    sessions, got = [store.begin(READWRITE) for _ in range(3)], []
+    for k, t in enumerate(sessions):
+        t.store(person(spark, f"race-{k}"))
+    threads = [threading.Thread(target=lambda t=t: got.append(t.commit())) for t in sessions]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(got) == [1, 2, 3] and ids(store.begin(READONLY).frame()) == ["race-0", "race-1", "race-2"]
+
+
+def test_a_query_counts_as_read(spark, store):
+    with store.begin(READWRITE) as t:
+        t.store(person(spark, "a", "b"))
+        t.commit()
+    t1, t2 = store.begin(READWRITE), store.begin(READWRITE)
+    assert t1.prepare(Query().where(s.eq("name", "x"))).count() == 2
+    t1.store(person(spark, "c"))
+    t2.store(person(spark, "b", name="y"))
+    t2.commit()
+    with pytest.raises(ConflictingCommitError):
+        t1.commit()
+
+
+def test_a_killed_clean_up_loses_nothing(spark, store, monkeypatch):
+    for k in range(3):
+        with store.begin(READWRITE) as t:
+            t.store(person(spark, f"p{k}", "same", name=str(k)))
+            t.commit()
+    see = lambda: sorted(map(tuple, ItemStore(spark, store.root).begin(READONLY).frame().select("__ID__", "name").collect()))
+    before = see()
+    [t.close() for t in store.active_sessions()]
+    create = store.raw.create
+    monkeypatch.setattr(store.raw, "create", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.clean_up()
+    assert see() == before
+    monkeypatch.setattr(store.raw, "create", create)
+    for p in store.raw.list_children("sessions"):
+        store.raw.delete(p)
+    assert store.clean_up() == 3 and see() == before
+    store.clean_up()  # deletes the files that the first one replaced
+    assert see() == before
+
+
+def test_load_hook_and_renewal(spark, store):
+    with store.begin(READWRITE) as t:
+        t.store(person(spark, "a"))
+        t.commit()
+    t, seen = store.begin(READONLY), []
+    t.hooks["load"].append(lambda row: seen.append(row["__ID__"]))
+    t.fetch("a"), t.fetch("no"), t.fetch_many(["no", "a"])
+    assert seen == ["a", "a"]
+    t.renew()
+    assert store.snapshots_in_use() == [1]
+
+
 def test_lock(raw):
     a, b = Lock(raw, "lock"), Lock(raw, "lock", break_s=0)
     assert a.acquire() and not Lock(raw, "lock").acquire()
@@ -160,6 +230,10 @@ def test_ordered_set(spark):
     assert [r.key for r in t.ordered(reverse=True).collect()] == [18, 16, 14, 12, 10, 8, 4, 3, 2, 0]
     with pytest.raises(ValueError):
         t.put(None, 1)
+    assert [tuple(r) for r in t.in_range(3, 8).orderBy("key").collect()] == [(3, 3), (4, 40), (8, 8)]
+    many = OrderedSet(spark.createDataFrame([(1, ["a", "b"]), (2, []), (9, ["c"])], "key int, value array<string>"))
+    assert sorted(tuple(r) for r in many.in_range(1, 5).collect()) == [(1, "a"), (1, "b")]
+    assert many.clear().is_empty()
 
 
 def test_journal_stream(spark, store, tmp_path):
@@ -174,3 +248,13 @@ def test_journal_stream(spark, store, tmp_path):
     run.awaitTermination(60)
     got = sorted((r.rev, r.id, r.kind) for r in spark.table("journal").collect())
     assert got == [(1, "a", "insert"), (1, "same", "insert"), (2, "b", "insert"), (2, "same", "update")]
+
+
+def test_snapshots_are_planned_without_sort_aggregates(spark):
+    from satchel.plans.versions import snapshot_view, survivors
+
+    versions = spark.createDataFrame([("a", 1, "store", "x"), ("a", 2, "delete", None), ("b", 1, "store", "y")], "id string, rev long, op string, name string")
+    commits = spark.createDataFrame([(1, 1), (2, 2)], "rev long, commit_no long")
+    for df, want in ((snapshot_view(versions, commits, 1), ["a", "b"]), (snapshot_view(versions, commits, 2), ["b"]), (survivors(versions, commits, 2), ["b"])):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in df.collect()) == want
