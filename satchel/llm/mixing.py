@@ -1,17 +1,19 @@
 """Operator 8: language-model scores by logistic mixing of context bit predictors.
 
 A token is coded in BITS binary decisions, the top bits of its hash, and then within the bucket that
-they name.  Each decision is predicted in three contexts: none, the token before, and the shortest of
-the last tokens (which tells languages apart).  A predictor has the counts of both outcomes in its
-context at the decision's node; the logits are added with weights that the number of the decision
-selects, and the weights follow each document as it is read, block by block.  Within the bucket a
-token's share is its count there, drawn towards its counts in both contexts.
-
-Counts come from all training documents and every context has its own, keyed by 64-bit hashes: each
-shard sends the (context, token) pairs of its documents, they are counted by context, and each shard
-gets the counts of its own pairs back.  A context's tokens are counted in groups (the first half of
-the decisions, and below each outcome of those the second half), so that a frequent context is spread
-over many tasks.
+they name.  Each decision is predicted in three contexts: none, the token before (hashed, its slots grow
+with the input) and the class of the shortest of the last tokens, which tells languages apart.  A
+predictor's logit comes from the counts of both outcomes in its context at the decision's node.
+
+* Mixing: the logits are added with weights.  A gate, how often the context of the token before has been
+  seen at the node, selects where they start; from there they follow each document as it is read.
+* Refinement: by how sure the mixed logit is, it is scaled by factors that follow the document too.
+* Within the bucket a token's share is its count there, drawn towards its count after the token before.
+
+Counts come from all training documents.  Each task sends the tokens of its partition once; each shard
+sends its distinct (token before, token) pairs, which are counted in buckets by context, and gets the
+counts of its own pairs back.  Tokens so frequent that their followers would fill a bucket (a share of
+1 / MANY or more, MANY at most) are parted by the first half of the follower's decisions.
 """
 
 from __future__ import annotations
@@ -28,14 +30,22 @@ from satchel.llm.shards import by_shard, from_ipc, packed
 from satchel.plans.shared import checkpoint
 
 BITS = 12
-HALF = BITS // 2  # decisions of a context that are counted in one group
+HALF = BITS // 2
+REST = 16  # bits that tell apart tokens of one bucket after the same token
+CLASSES = 64
+MANY = 4096
 RECENT = 8
 BLOCK = 64  # tokens between two updates of a document's weights
 RATE = 0.01
-START = (0.1, 0.3, 0.7)  # weights at a document's start
+#: Weights at a document's start (no context, token before, class), by the gate: the binary digits of the
+#: count of the token before at the node, 3 at most.
+START = ((0.1, 0.3, 0.9), (0.1, 0.3, 0.8), (0.1, 0.4, 0.7), (0.1, 0.7, 0.5))
+SURE = 6  # classes of the refinement, by the size of the mixed logit
+REFINE = 0.002
 SLICE = 1 << 19
 PRIOR = 1.0  # tokens that the share within a bucket counts for in a context
 END = np.uint64(0x9D39247E33776D41)
+_SPLIT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out():
@@ -55,7 +65,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def contexts(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the token before and of the shortest of the last ones (the latest of equals)."""
+    """Hash of the token before, and class of the shortest of the last ones (the latest of equals)."""
     n = len(h)
     into = (np.arange(n) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)
     before = np.zeros(n, np.uint64)
@@ -70,51 +80,35 @@ def contexts(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     has = np.flatnonzero(best < far)
     shortest = np.zeros(n, np.uint64)
     shortest[has] = h[has - (best[has] & 15)]
-    return before, shortest
+    return before, (mix(shortest ^ np.uint64(0x51ED270B)) % np.uint64(CLASSES)).astype(np.int32)
 
 
-def pairs_of(h: np.ndarray, before: np.ndarray, shortest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(identity, key, rest) of four pairs of each token: for both contexts, its outcome of the first
-    half of the decisions and the token itself below that outcome.
+class Layout:
+    """Keys of pairs: the slot of the context, the decisions, and bits of what is left of the token.  The
+    slots are 2 ** 22 for each bucket, so that they grow with the input."""
 
-    The lowest HALF bits of a key are the outcome and those above its group, a hash of the context (and
-    of the first half).  rest tells apart tokens with one outcome.
-    """
-    first, second = h >> np.uint64(64 - HALF), (h >> np.uint64(64 - BITS)) & np.uint64((1 << HALF) - 1)
-    keys, same = [], []
-    for context in (mix(before), mix(shortest ^ np.uint64(0x51ED270B))):
-        for group, outcome in ((context, first), (mix(context + (first + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), second)):
-            keys.append(group >> np.uint64(HALF) << np.uint64(HALF) | outcome)
-        same += [keys[-2], mix(keys[-1] ^ mix(h))]
-    none, rest = np.zeros(len(h), np.uint32), h.astype(np.uint32)
-    return np.concatenate(same), np.concatenate(keys), np.concatenate([none, rest, none, rest])
-
-
-class Pairs:
-    """The distinct pairs of a shard's tokens by key, in an order that its texts alone decide."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int):
-        same, key, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.order = np.argsort(same)
-        self.starts, _ = runs(same[self.order])
-        at = self.order[self.starts]
-        self.by_key = np.argsort(key[at], kind="stable")
-        at = at[self.by_key]
-        self.key, self.rest = key[at], rest[at]
-        self.bucket = ((self.key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
-
-    def sums(self, weight: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(weight[self.order], self.starts)[self.by_key]
+    def __init__(self, n: int):
+        self.n, self.slot_bits = n, min(22 + int(n - 1).bit_length(), 36)
 
-    def places(self) -> np.ndarray:
-        """Of each token's pairs, the number among the distinct ones."""
-        new = np.zeros(len(self.order), np.int32)
-        new[self.starts[1:]] = 1
-        rank = np.empty(len(self.by_key), np.int32)
-        rank[self.by_key] = np.arange(len(rank), dtype=np.int32)
-        out = np.empty(len(self.order), np.int32)
-        out[self.order] = rank[np.cumsum(new)]
-        return out
+    def key(self, context: np.ndarray, code: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        slot = context >> np.uint64(64 - self.slot_bits)
+        return slot << np.uint64(BITS + REST) | code << np.uint64(REST) | rest
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """Rises with the key."""
+        return ((key >> np.uint64(BITS + REST)) * np.uint64(self.n) >> np.uint64(self.slot_bits)).astype(np.int32)
+
+    def pairs(self, h: np.ndarray, before: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, whether the token before is frequent).  The first len(h) keys are those of the tokens;
+        after a frequent one they have only the second half of the decisions, under a slot of its own for
+        the first half, and one more key for each such token, in order, has the first half."""
+        code = h >> np.uint64(64 - BITS)
+        first, second = code >> np.uint64(BITS - HALF), (code & np.uint64((1 << HALF) - 1)) << np.uint64(HALF)
+        context, rest = mix(before), h & np.uint64((1 << REST) - 1)
+        often = np.isin(before, frequent)
+        own = self.key(np.where(often, mix(context + (first + np.uint64(1)) * _SPLIT), context), np.where(often, second, code), rest)
+        zero = np.zeros(int(often.sum()), np.uint64)
+        return np.concatenate([own, self.key(context[often], first[often] << np.uint64(HALF), zero)]), often
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -125,45 +119,47 @@ def _from_planes(raw: np.ndarray, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
-def pack_pairs(key: np.ndarray, rest: np.ndarray, weight: np.ndarray) -> bytes:
-    """Keys as differences; the bytes of one weight lie together."""
-    return pack(_planes(np.diff(key, prepend=np.uint64(0))), _planes(rest), _planes(weight))
+def pack_pairs(key: np.ndarray, weight: np.ndarray) -> bytes:
+    """Sorted keys as differences; the bytes of one weight lie together."""
+    return pack(_planes(np.diff(key, prepend=np.uint64(0))), _planes(weight.astype(np.uint32)))
 
 
-def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = unpack(blob, "u1")[0]
-    n = len(raw) // 20
-    return np.cumsum(_from_planes(raw[: 8 * n], np.uint64), dtype=np.uint64), _from_planes(raw[8 * n : 12 * n], np.uint32), _from_planes(raw[12 * n :], np.int64)
-
-
-def node_counts(key: np.ndarray, rest: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Of each pair of a bucket, given once by each shard that has it: the counts of its group, of the
-    nodes on the way to its outcome, and of itself."""
-    order = np.lexsort((rest, key))
-    key, rest = key[order], rest[order]
-    total = np.r_[0, np.cumsum(weight[order].astype(np.int64))]
-    out = np.empty((HALF + 2, len(key)), np.int64)
-    for k in range(HALF + 2):
-        node = key >> np.uint64(max(HALF - k, 0))
-        new = node[1:] != node[:-1]
-        if k > HALF:
-            new |= rest[1:] != rest[:-1]
-        at = np.r_[np.flatnonzero(np.r_[True, new]), len(key)] if len(key) else np.zeros(1, np.int64)
+    n = len(raw) // 12
+    return np.cumsum(_from_planes(raw[: 8 * n], np.uint64), dtype=np.uint64), _from_planes(raw[8 * n :], np.uint32)
+
+
+NODES = BITS + 2  # a context, the nodes after each decision, the token
+
+
+def node_counts(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each pair of a bucket, given once by each shard that has it: the counts of its context, of the
+    nodes on the way to its bucket of tokens, and of itself."""
+    order = np.argsort(key, kind="stable")
+    key, total = key[order], np.r_[0, np.cumsum(weight[order].astype(np.int64))]
+    out = np.empty((NODES, len(key)), np.int64)
+    for k in range(NODES):
+        node = key >> np.uint64(REST + BITS - k) if k <= BITS else key
+        at = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
         out[k, order] = np.repeat(np.diff(total[at]), np.diff(at))
     return out
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Most counts are small: a byte of each, and the whole ones of those that exceed it."""
-    small, large = pack(np.minimum(counts, 255).astype(np.uint8)), pack(counts[counts >= 255])
+    """Counts along a path seldom fall: a byte for what each loses, the last count, and the whole numbers
+    where they exceed that."""
+    lost = np.concatenate([counts[:-1] - counts[1:], counts[-1:]])
+    small, large = pack(np.minimum(lost, 255).astype(np.uint8)), pack(lost[lost >= 255])
     return len(small).to_bytes(8, "little") + small + large
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     cut = 8 + int.from_bytes(blob[:8], "little")
-    counts = unpack(blob[8:cut], "u1")[0].astype(np.int64)
-    counts[counts == 255] = unpack(blob[cut:], "i8")[0]
-    return counts.reshape(HALF + 2, -1)
+    lost = unpack(blob[8:cut], "u1")[0].astype(np.int64)
+    lost[lost == 255] = unpack(blob[cut:], "i8")[0]
+    lost = lost.reshape(NODES, -1)
+    return np.cumsum(lost[::-1], axis=0)[::-1]
 
 
 def each_slice(table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,74 +168,153 @@ def each_slice(table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.nda
         yield s, e, *tokens_of(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
 
 
+def added(h: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the sums of their numbers."""
+    h, c = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.uint64), (c, np.int64)))
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    a, _ = runs(h)
+    return h[a], np.add.reduceat(c, a) if len(a) else c
+
+
 # ---------------------------------------------------------------- what is gathered from the corpus
-def counts_by_shard(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def vocabulary(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training tokens and types of each code, training tokens of each class and code, and the hashes of the
+    frequent tokens, sorted: all of bounded size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, counts, waiting = [], [], 0
+        table = np.zeros(CLASSES << BITS, np.int64)
+        for batch in batches:
+            held = np.asarray(batch.column("held"))
+            for s, e, h, at, size in each_slice(batch):
+                use = np.repeat(~held[s:e], np.diff(at))
+                _, own = contexts(h, at, size)
+                table += np.bincount(own[use] << BITS | (h[use] >> np.uint64(64 - BITS)).astype(np.int32), minlength=len(table))
+                k, c = added([h[use]], [np.ones(int(use.sum()), np.int64)])
+                kinds.append(k)
+                counts.append(c)
+                waiting += len(k)
+                if waiting > 1 << 22:
+                    k, c = added(kinds, counts)
+                    kinds, counts, waiting = [k], [c], 0
+        h, c = added(kinds, counts)
+        keys, blobs = [], []
+        for key, arrays in split_by(((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32), h, c):
+            keys.append(key)
+            blobs.append(pack(*arrays))
+        for k, row in enumerate(table.reshape(CLASSES, -1)):
+            if row.any():
+                keys.append(-1 - k)
+                blobs.append(pack(row))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    names = ("code", "types", "tokens", "frequent", "class", "blob")
+
+    def total(group: pa.Table) -> pa.Table:
+        bucket, blobs = group.column("bucket")[0].as_py(), group.column("blob").to_pylist()
+        columns: dict[str, list] = {c: [] for c in names}
+        if bucket < 0:
+            whole = np.zeros(1 << BITS, np.int64)
+            for b in blobs:
+                whole += unpack(b, "i8")[0]
+            rows = [(None, None, None, None, -1 - bucket, pack(whole))]
+        else:
+            h, c = added(*zip(*(unpack(b, "u8", "i8") for b in blobs), strict=True))
+            code = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            a, z = runs(code)
+            rows = [(int(code[i]), int(j - i), int(c[i:j].sum()), None, None, None) for i, j in zip(a, z, strict=True)]
+            often = np.flatnonzero(c * MANY >= c.sum())
+            rows += [(None, None, int(x), int(y), None, None) for x, y in zip(c[often], h.view(np.int64)[often], strict=True)]
+        for row in rows:
+            for name, v in zip(names, row, strict=True):
+                columns[name].append(v)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({c: pa.array(columns[c], k) for c, k in zip(names, kinds, strict=True)})
+
+    sent = docs.mapInArrow(count, "bucket int, blob binary").groupBy("bucket")
+    summed = checkpoint(sent.applyInArrow(total, "code int, types long, tokens long, frequent long, class int, blob binary"))
+    tokens, types, table = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros((CLASSES, 1 << BITS), np.int64)
+    for r in summed.filter("code is not null").groupBy("code").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect():  # 2 ** BITS rows at most
+        tokens[r.code], types[r.code] = r.tokens, r.types
+    for r in summed.filter("class is not null").select("class", "blob").collect():  # CLASSES rows at most
+        table[r["class"]] = unpack(bytes(r.blob), "i8")[0]
+    often = summed.filter("frequent is not null").filter(F.col("tokens") * MANY >= int(tokens.sum())).orderBy(F.desc("tokens"), "frequent").limit(MANY)
+    frequent = np.array(sorted(r.frequent for r in often.select("frequent").collect()), np.int64).view(np.uint64)
+    return tokens, types, table, np.sort(frequent)
+
+
+class Shard:
+    """The distinct tokens and pairs of a shard's texts, in an order that the texts alone decide."""
+
+    def __init__(self, table: pa.Table, layout: Layout, frequent: np.ndarray):
+        self.held = np.asarray(table.column("held"))
+        self.parts, keys, self.layout = [], [], layout
+        for s, e, h, at, size in each_slice(table):
+            before, own = contexts(h, at, size)
+            key, often = layout.pairs(h, before, frequent)
+            self.parts.append((s, e, h, at, own, often))
+            keys.append(key)
+        self.key = np.concatenate(keys)
+        self.order = np.argsort(self.key, kind="stable")
+        self.starts, _ = runs(self.key[self.order])
+        self.pairs = self.key[self.order][self.starts]
+        self.kinds, self.kind = np.unique(np.concatenate([p[2] for p in self.parts]), return_inverse=True)
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training tokens of each distinct token and of each distinct pair."""
+        own, pairs = [], []
+        for s, e, _, at, _, often in self.parts:
+            use = np.repeat(~self.held[s:e], np.diff(at))
+            own.append(use)
+            pairs += [use, use[often]]
+        return np.bincount(self.kind, np.concatenate(own), len(self.kinds)).astype(np.int64), np.add.reduceat(np.concatenate(pairs)[self.order].astype(np.int64), self.starts)
+
+    def places(self) -> np.ndarray:
+        """Of each key, the number among the distinct pairs."""
+        new = np.zeros(len(self.order), np.int32)
+        new[self.starts[1:]] = 1
+        out = np.empty(len(self.order), np.int32)
+        out[self.order] = np.cumsum(new, dtype=np.int32)
+        return out
+
+
+def counts_by_shard(docs: DataFrame, layout: Layout, frequent: np.ndarray) -> DataFrame:
     """(shard, bucket, blob of the counts of the shard's tokens in the bucket, pairs: blob of those of its
-    pairs), each in the order of the shard's distinct ones; the number of training tokens and of types of
-    each code."""
+    pairs), each in the order of the shard's distinct ones."""
+    n = layout.n
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def own(group: pa.Table) -> pa.Table:
-        table, shard = from_ipc(group.column("rows").to_pylist()), group.column("shard")[0].as_py()
-        held, kinds, counts, pairs, weights = np.asarray(table.column("held")), [], [], [], []
-        for s, e, h, at, size in each_slice(table):
-            weight = np.repeat(~held[s:e], np.diff(at)).astype(np.int64)
-            order = np.argsort(h)
-            a, _z = runs(h[order])
-            kinds.append(h[order][a])
-            counts.append(np.add.reduceat(weight[order], a))
-            pairs.append(pairs_of(h, *contexts(h, at, size)))
-            weights.append(np.tile(weight, 4))
-        h, c = np.concatenate(kinds), np.concatenate(counts)
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        a, _z = runs(h)
-        h, c = h[a], np.add.reduceat(c, a)
-        own = Pairs(pairs, n)
-        tokens = {key: pack(*arrays) for key, arrays in split_by((h % np.uint64(n)).astype(np.int32), h, c)}
-        sent = {key: pack_pairs(*arrays) for key, arrays in split_by(own.bucket, own.key, own.rest, own.sums(np.concatenate(weights)))}
-        keys = sorted({*tokens, *sent})
-        columns = {"blob": [tokens.get(k, pack(h[:0], c[:0])) for k in keys], "pairs": [sent.get(k, pack()) for k in keys]}
-        return pa.table({"bucket": pa.array(keys, pa.int32()), "shard": pa.array([shard] * len(keys), pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in columns.items()}})
+        shard, number = Shard(from_ipc(group.column("rows").to_pylist()), layout, shared.value), group.column("shard")[0].as_py()
+        c, w = shard.weights()
+        tokens = {key: pack(*arrays) for key, arrays in split_by((shard.kinds % np.uint64(n)).astype(np.int32), shard.kinds, c)}
+        pairs = {key: pack_pairs(*arrays) for key, arrays in split_by(layout.bucket(shard.pairs), shard.pairs, w)}
+        keys = sorted({*tokens, *pairs})
+        columns = {"blob": [tokens.get(k, pack(c[:0], c[:0])) for k in keys], "pairs": [pairs.get(k, pack()) for k in keys]}
+        return pa.table({"bucket": pa.array(keys, pa.int32()), "shard": pa.array([number] * len(keys), pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in columns.items()}})
 
     def total(group: pa.Table) -> pa.Table:
         parts = [unpack(b, "u8", "i8") for b in group.column("blob").to_pylist()]
         h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        kinds, of = np.unique(h, return_inverse=True)
-        sums = np.zeros(len(kinds), np.int64)
-        np.add.at(sums, of, c)
-        at, shards, blobs = 0, group.column("shard").to_pylist(), []
-        for x, _ in parts:
-            blobs.append(pack(sums[of[at : at + len(x)]]))
-            at += len(x)
-        known = sums > 0
-        per = (kinds[known] >> np.uint64(64 - BITS)).astype(np.int64)
-        code, of = np.unique(per, return_inverse=True)
-        types, tokens = np.bincount(of, minlength=len(code)), np.zeros(len(code), np.int64)
-        np.add.at(tokens, of, sums[known])
-        parts = [unpack_pairs(b) for b in group.column("pairs").to_pylist()]
-        cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        counts = node_counts(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        k, m = len(shards), len(code)
+        _, of = np.unique(h, return_inverse=True)
+        sums = np.bincount(of, c) if len(of) else np.zeros(0)
+        cuts = np.cumsum([0, *(len(x) for x, _ in parts)])
+        blobs = [pack(sums[of[s:e]].astype(np.int64)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        pairs = [unpack_pairs(b) for b in group.column("pairs").to_pylist()]
+        cuts = np.cumsum([0, *(len(p[0]) for p in pairs)])
+        counts = node_counts(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
         return pa.table(
             {
-                "shard": pa.array([*shards, *[None] * m], pa.int32()),
-                "bucket": pa.array([group.column("bucket")[0].as_py()] * (k + m), pa.int32()),
-                "blob": pa.array([*blobs, *[None] * m], pa.binary()),
-                "pairs": pa.array([*(pack_counts(counts[:, s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)), *[None] * m], pa.binary()),
-                "code": pa.array([*[None] * k, *code.tolist()], pa.int32()),
-                "types": pa.array([*[None] * k, *types.tolist()], pa.int64()),
-                "tokens": pa.array([*[None] * k, *tokens.tolist()], pa.int64()),
+                "shard": group.column("shard"),
+                "bucket": group.column("bucket"),
+                "blob": pa.array(blobs, pa.binary()),
+                "pairs": pa.array([pack_counts(counts[:, s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             }
         )
 
-    marked = docs.withColumn("held", held_out())
-    counted = packed(marked, n).groupBy("shard").applyInArrow(own, "bucket int, shard int, blob binary, pairs binary")
-    summed = checkpoint(counted.groupBy("bucket").applyInArrow(total, "shard int, bucket int, blob binary, pairs binary, code int, types long, tokens long"))
-    stats = summed.filter("code is not null").groupBy("code").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # 2 ** BITS rows at most
-    types, tokens = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for r in stats:
-        types[r.code], tokens[r.code] = r.types, r.tokens
-    return summed.filter("code is null").select("shard", "bucket", "blob", "pairs"), tokens, types
+    counted = packed(docs, n).groupBy("shard").applyInArrow(own, "bucket int, shard int, blob binary, pairs binary")
+    return counted.groupBy("bucket").applyInArrow(total, "shard int, bucket int, blob binary, pairs binary")
 
 
 # ---------------------------------------------------------------- scoring
@@ -249,19 +324,28 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return np.log((taken + np.float32(0.4)) / ((counts[:-1] - counts[1:]).astype(np.float32) + np.float32(0.4)))
 
 
+def paths(tokens: np.ndarray) -> np.ndarray:
+    """Of each code, the counts of the nodes on the way to it, along the last axis of ``tokens``."""
+    size = tokens.shape[-1]
+    nodes = [tokens.reshape(*tokens.shape[:-1], 1 << b, -1).sum(axis=-1) for b in range(BITS + 1)]
+    return np.stack([np.repeat(x, size // x.shape[-1], axis=-1) for x in nodes])
+
+
 class Mixer:
     """Logits of the predictors, and the loss of tokens as weights follow each document."""
 
-    def __init__(self, tokens: np.ndarray, types: np.ndarray):
-        nodes = [tokens.reshape(1 << b, -1).sum(axis=1) for b in range(BITS + 1)]
-        #: Of each bucket: logits of the decisions that lead to it, without context.
-        self.table = odds(np.stack([np.repeat(x, (1 << BITS) // len(x)) for x in nodes]))
+    def __init__(self, tokens: np.ndarray, types: np.ndarray, table: np.ndarray):
+        #: Of each code: logits of its decisions without context, and in each class.
+        self.table = odds(paths(tokens))
+        self.classes = odds(paths(table)).reshape(BITS, -1)
         self.in_bucket = tokens.astype(float) + 0.5 * (types + 1)
 
-    def code_bits(self, h: np.ndarray, at: np.ndarray, place: np.ndarray, logits: np.ndarray) -> np.ndarray:
-        """Bits that each token's decisions take; ``place`` has the four pairs of each token in ``logits``.
+    def code_bits(self, code: np.ndarray, at: np.ndarray, own: np.ndarray, before: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Bits that each token's decisions take.
 
-        Blocks of a document are read in turn, those of all documents side by side.
+        code, own (class): of each token; before, gate: of each decision and token, the logit after the
+        token before and the gate of its weights.  Blocks of a document are read in turn, those of all
+        documents side by side.
         """
         counts = np.diff(at)
         blocks = -(-counts // BLOCK)
@@ -272,39 +356,49 @@ class Mixer:
         token = (at[doc] + step * BLOCK)[:, None] + np.arange(BLOCK)
         real = token < at[doc + 1][:, None]
         token[~real] = 0
-        code = (h >> np.uint64(64 - BITS)).astype(np.int64)[token]
-        pairs = [p[token] for p in place]
-        x = np.empty((3, BITS, *token.shape), np.float32)
-        for b in range(BITS):
-            np.take(self.table[b], code, out=x[0, b])
-            half, k = divmod(b, HALF)
-            for c in (0, 1):
-                np.take(logits[k], pairs[2 * c + half], out=x[1 + c, b])
-        x *= real
-        weights = np.empty((3, BITS, len(counts)), np.float32)
-        weights[:] = np.array(START, np.float32)[:, None, None]
+        codes, cell = code[token], (own[token] << BITS) | code[token]
+        start = np.array(START, np.float32).T
+        drift = np.zeros((3, BITS, len(counts)), np.float32)  # of the weights, since the document's start
+        scale = np.ones((len(counts), SURE), np.float32)
         loss = np.empty(token.shape, np.float32)
         for a, z in zip(*runs(step), strict=True):
-            own, d = x[:, :, a:z], doc[a:z]
-            w = weights[:, :, d]
-            logit = w[0, ..., None] * own[0]
-            logit += w[1, ..., None] * own[1]
-            logit += w[2, ..., None] * own[2]
-            np.negative(logit, out=logit)
-            odds = np.exp(np.minimum(logit, np.float32(30), out=logit), out=logit)
+            d, at_ = doc[a:z], token[a:z]
+            x = np.stack([self.table[:, codes[a:z]], before[:, at_], self.classes[:, cell[a:z]]])
+            x *= real[a:z]
+            g = gate[:, at_]
+            logit = np.zeros(x.shape[1:], np.float32)
+            for k in range(3):
+                logit += (start[k][g] + drift[k][:, d, None]) * x[k]
+            sure = np.minimum(np.abs(logit), SURE - 1).astype(np.int64)
+            by = d[:, None] * SURE + sure
+            refined = np.clip(scale.reshape(-1)[by] * logit, -30, 30)
+            odds = np.exp(-refined)
             loss[a:z] = np.log1p(odds).sum(axis=0)
             missed = odds / (1 + odds)  # 1 - what the outcome was given
-            weights[:, :, d] = w + np.float32(RATE) * np.einsum("kbnj,bnj->kbn", own, missed)
-        bits = np.empty(len(h), np.float32)
+            np.add.at(drift, (slice(None), slice(None), d), np.float32(RATE) * np.einsum("kbnj,bnj->kbn", x, missed))
+            pull = np.bincount(by.reshape(-1), (missed * logit).reshape(-1), scale.size)
+            scale += np.float32(REFINE) * pull.reshape(scale.shape).astype(np.float32)
+            np.clip(scale, 0.25, 4, out=scale)
+        bits = np.empty(len(code), np.float32)
         bits[token[real]] = loss[real]
         return bits / np.float32(np.log(2))
 
-    def log10(self, h: np.ndarray, at: np.ndarray, count: np.ndarray, place: np.ndarray, counts: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    def log10(self, h: np.ndarray, at: np.ndarray, own: np.ndarray, often: np.ndarray, count: np.ndarray, place: np.ndarray, nodes: np.ndarray, logits: np.ndarray) -> np.ndarray:
         code = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        second = place[: len(h)]
+        first = second.copy()
+        first[often] = place[len(h) :]
+        before, gate = np.empty((BITS, len(h)), np.float32), np.empty((BITS, len(h)), np.int8)
+        for b in range(BITS):
+            if b < HALF:
+                level, at_ = b, first
+            else:  # after a frequent token the second half has a slot of its own
+                level, at_ = np.where(often, b - HALF, b), second
+            before[b] = logits[level, at_]
+            gate[b] = np.minimum(np.frexp(nodes[level, at_].astype(np.float32))[1], len(START) - 1)
         share = (count + 0.5) / self.in_bucket[code]
-        for own in (place[3], place[1]):  # tokens of the bucket in the wider context, then in that of the token before
-            share = (counts[HALF + 1, own] + PRIOR * share) / (counts[HALF, own] + PRIOR)
-        return np.log10(share) - self.code_bits(h, at, place, logits) * np.log10(2)
+        share = (nodes[BITS + 1, second] + PRIOR * share) / (nodes[BITS, second] + PRIOR)
+        return np.log10(share) - self.code_bits(code, at, own, before, gate) * np.log10(2)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -312,37 +406,35 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Training documents are those that are not held out; an id that is null is not.  A null or empty
     text is its END alone.  Rows count once each, repeated ones too; without training documents every
-    token is unknown.  bits_per_byte is null where there are no bytes.  Tokens and contexts are told apart
-    by 64-bit hashes.
+    token is unknown.  As in base_score, the tokens of a bucket that no training document has count as one
+    type.  bits_per_byte is null where there are no bytes.  Tokens are told apart by 64-bit hashes.
     """
     docs = bare(docs)
     n = n_shards(docs)
-    counts, tokens, types = counts_by_shard(docs, n)
+    layout, marked = Layout(n), docs.withColumn("held", held_out())
+    tokens, types, table, frequent = vocabulary(marked, n)
+    counts = counts_by_shard(marked, layout, frequent)
     N, V = int(tokens.sum()), int(types.sum())
-    shared = docs.sparkSession.sparkContext.broadcast(Mixer(tokens, types))
+    shared = docs.sparkSession.sparkContext.broadcast((Mixer(tokens, types, table), frequent))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     floor = np.log10(N + 0.5 * (V + 1))
 
     def score(table: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
-        ids, held, size = ids_of(table.column("doc_id")), np.asarray(table.column("held")), np.diff(text_buffer(table.column("text"))[1])
+        model, often = shared.value
+        shard, size = Shard(table, layout, often), np.diff(text_buffer(table.column("text"))[1])
         out: list[list] = [[], [], [], []]
-        read = [(own, at, pairs_of(own, *contexts(own, at, length))) for _, _, own, at, length in each_slice(table)]
-        kinds, of = np.unique(np.concatenate([r[0] for r in read]), return_inverse=True)
-        c = np.empty(len(kinds), np.int64)
+        c = np.empty(len(shard.kinds), np.int64)
         back = dict(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True))
-        for bucket, (where,) in split_by((kinds % np.uint64(n)).astype(np.int32), np.arange(len(kinds))):
+        for bucket, (where,) in split_by((shard.kinds % np.uint64(n)).astype(np.int32), np.arange(len(shard.kinds))):
             c[where] = unpack(back[bucket], "i8")[0]
-        pairs = Pairs([r[2] for r in read], n)
-        nodes = np.empty((HALF + 2, len(pairs.key)), np.int64)
         back = dict(zip(right.column("bucket").to_pylist(), right.column("pairs").to_pylist(), strict=True))
-        for bucket, (where,) in split_by(pairs.bucket, np.arange(len(pairs.key))):
-            nodes[:, where] = unpack_counts(back[bucket])
-        logits, places, count, done = odds(nodes[: HALF + 1]), pairs.places(), c[of], 0
-        for own, at, _ in read:
-            place, has = places[4 * done : 4 * (done + len(own))].reshape(4, -1), count[done : done + len(own)]
-            done += len(own)
-            sums = [np.add.reduceat(x, at[:-1]) for x in ((has > 0).astype(np.int64), np.log10(has + 0.5) - floor, model.log10(own, at, has, place, nodes, logits))]
+        nodes = np.concatenate([unpack_counts(back[bucket]) for bucket in np.unique(layout.bucket(shard.pairs)).tolist()], axis=1)
+        logits, places, count = odds(nodes[: BITS + 1]), shard.places(), c[shard.kind]
+        t = k = 0
+        for _, _, h, at, own, often in shard.parts:
+            has, place = count[t : t + len(h)], places[k : k + len(h) + int(often.sum())]
+            t, k = t + len(h), k + len(place)
+            sums = [np.add.reduceat(x, at[:-1]) for x in ((has > 0).astype(np.int64), np.log10(has + 0.5) - floor, model.log10(h, at, own, often, has, place, nodes, logits))]
             for column, x in zip(out, (np.diff(at), *sums), strict=True):
                 column += x.tolist()
         bits = np.array(out[3]) / -np.log10(2)
@@ -350,18 +442,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         n_tokens, n_known, base, total = (pa.array(x, t) for x, t in zip(out, kinds, strict=True))
         return pa.table(
             {
-                "doc_id": ids_column(ids),
-                "held_out": pa.array(held, pa.bool_()),
+                "doc_id": ids_column(ids_of(table.column("doc_id"))),
+                "held_out": pa.array(shard.held, pa.bool_()),
                 "n_tokens": n_tokens,
                 "n_known": n_known,
-                "train_tokens": pa.array(np.full(len(ids), N), pa.int64()),
+                "train_tokens": pa.array(np.full(len(size), N), pa.int64()),
                 "base_score": base,
                 "score": total,
                 "bits_per_byte": pa.array(bits / np.maximum(size, 1), pa.float64(), mask=size == 0),
             }
         )
 
-    return by_shard(docs.withColumn("held", held_out()), counts, n, score, schema)
-
-
-
+    return by_shard(marked, counts, n, score, schema)
