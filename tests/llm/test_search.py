@@ -46,10 +46,11 @@ def test_blocks_find_the_same(spark, monkeypatch):
 
 
 def exact(vectors, queries, k):
+    """Every row but the query's own; equal rows are told apart by their place in ``vectors``."""
     out = []
-    for q, a in queries:
-        found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vectors if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
+    for at, q, a in queries:
+        found = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for j, (i, b) in enumerate(vectors) if j != at)
+        out += [(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
 
@@ -57,27 +58,30 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(15)] + [(900, [0.0] * 16)]
+    # repeated ids, with equal and with other vectors; other lengths; scores beyond long
+    rows += [(100, rows[100][1]), (100, rows[7][1]), (200, []), (800, [0.5] * 20), (801, [0.25] * 3), (300, [2.0**30] * 16), (802, [2.0**39] * 16), (802, [-(2.0**41)] * 16)]
     bad = [(1000, None), (1100, [float("nan")] * 16), (1200, [None] * 16), (1300, [float("inf")] * 16), (None, rows[0][1])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows + bad], "vec_id long, embedding array<float>, score string")
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + bad], "vec_id long, embedding array<float>, score string, row int")
     whole = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]
-    expected = exact(whole, [r for r in whole if r[0] % 100 == 0], 10)
+    expected = exact(whole, [(j, *r) for j, r in enumerate(whole) if r[0] % 100 == 0], 10)
     assert sorted(map(tuple, topk.top_k_query(df).collect())) == expected
     v = topk.quantised(df)
     assert sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 100 = 0"), 10, block=50, per=2).collect())) == expected
-    assert topk.top_k_query(df.filter("vec_id = 100")).count() == 0 and topk.top_k_query(df.filter("vec_id < 0")).count() == 0
+    assert topk.top_k_query(df.filter("vec_id = 900")).count() == 0 and topk.top_k_query(df.filter("vec_id < 0")).count() == 0
 
 
 def test_stops_early_on_proof():
     rng = np.random.default_rng(5)
     grid = rng.integers(-90, 91, (3000, 8))
     grid[:20] *= 100
-    index = topk.ImpactIndex(np.arange(3000), grid)
+    index = topk.ImpactIndex(np.arange(3000), np.arange(3000), grid)
     for q, best in enumerate(index.search(grid[:40], 5, np.arange(40))):
         s = grid @ grid[q]
         assert [i for _, i in best] == [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
-    assert len(index.segments) > 1
-    # scores of the first segment alone are enough for some, by proof
-    index.segments[1:] = [(np.full_like(c, np.nan), r) for c, r in index.segments[1:]]
+    impacts = [[abs(index.value[a:z]).max() for _, a, z in segments] for segments, _ in index.levels]
+    assert len(impacts) > 5 and all(min(x) >= max(y) for x, y in zip(impacts, impacts[1:], strict=False))
+    # segments of large impact alone are enough for some, by proof
+    index.levels[-1:] = [([("no such", 0, 0)], rest) for _, rest in index.levels[-1:]]
     assert len(index.search(grid[:1], 5, np.arange(1))[0]) == 5
 
 
