@@ -5,17 +5,21 @@ cannot part documents, so the first regions come from exact filters.  Sets that
 most D elements, so of D + 1 or more classes of elements (by hash) they agree in one: documents that agree
 in a class are a group of candidates.  The parities of a set's elements in some places differ in no more
 places than the sets do: within a group, sets whose parities differ in more than D places are parted.  The
-connected components of what is left are the regions that metric pivots then join:
-
-* a pivot is linked with all inside the threshold t; those are one class, and no pair of them is
-  looked at again;
-* documents outside are compared with the inside ones whose distance to the pivot is within t of
-  their own (the triangle inequality rules out the others), and among themselves with a new pivot.
-
-Regions beyond ``limit`` are parted by several pivots into Voronoi regions, boundary documents (within
-2 t of the nearest pivot's distance) copied, and each again, until they are small.
-
-Sets are of 64-bit hashes of shingles; equal sets are joined once, as a node.
+connected components of what is left are the regions of the metric join:
+
+* A region of more than ``limit`` hashes is parted by several pivots into Voronoi regions.  A document goes
+  to its nearest pivot and, where it is within 2 t of that distance (t: the threshold), to others.  Those
+  within t of a pivot are linked with it and go no further, unless one outside may reach them.  The regions
+  are parted again until they are small.  Where windows copy more than pivots part, a region is taken in
+  pairs of blocks, which is exact and bounded at any size.
+* A small region is joined in one task.  A pivot is linked with all inside t; those are one class, and
+  no pair of them is looked at again.  Documents outside are compared with the inside ones whose distance
+  to the pivot is within t of their own (the triangle inequality rules out the others), and among
+  themselves with a new pivot.
+
+Texts are read once for what the filters need (written, with a number for each row), and once more for the
+sets of the documents in regions.  Sets are of 64-bit hashes of shingles; equal sets are joined once, as a
+node.
 """
 
 from __future__ import annotations
@@ -28,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, shard_of, slices, split_by, text_buffer, unpack
+from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
 from satchel.llm.graph import components, stars
-from satchel.llm.shards import by_shard
-from satchel.plans.shared import checkpoint
+from satchel.plans.shared import checkpoint, written
 
 SLICE = 1 << 19
 #: Hashes in a region that one task joins.
-LIMIT = 1 << 20
+LIMIT = 1 << 17
 PIVOTS = 8
+#: Nodes of a group of candidates that are compared by their parities; a larger group is a region as it is.
+GROUP = 4096
 
 
 @dataclass(frozen=True)
@@ -109,21 +114,31 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def described(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
-    """doc_id, shard, n (size of the set), node (key of the set)."""
+def _blobs(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """The values of each of n owners as bytes."""
+    order = np.argsort(owner, kind="stable")
+    offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values[order].tobytes())])
+
+
+def described(docs: DataFrame, measure: Measure) -> DataFrame:
+    """doc_id, h (hash of the text), n (size of the set), node (key of the set), its parities and signatures,
+    and rid, a number for each row; written."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, e, sets in _each_slice(batch, measure.shingle):
-                part = batch.slice(s, e - s)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.array(sets.size), pa.array(_signed(sets.key))], ["doc_id", "shard", "n", "node"])
+                part, (sig, owner) = batch.slice(s, e - s), signatures(sets, measure)
+                columns = [part.column("doc_id"), part.column("h"), pa.array(sets.size), pa.array(_signed(sets.key)), pa.array(parities(sets), pa.binary()), _blobs(sig, owner, e - s)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "node", "bits", "signatures"])
 
-    return docs.withColumn("shard", shard_of(n)).mapInArrow(describe, "doc_id long, shard int, n long, node long")
+    made = docs.withColumn("h", F.xxhash64("text")).mapInArrow(describe, "doc_id long, h long, n long, node long, bits binary, signatures binary")
+    return written(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
 def signatures(sets: Sets, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, key) of each class of elements of each set, for both size classes of a larger
-    partner.  Empty classes count only for sets that have so many of them that the others might all
+    """(signature, number of the set) of each class of elements of each set, for both size classes of a
+    larger partner.  Empty classes count only for sets that have so many of them that the others might all
     differ."""
     size = sets.size
     low, differ, parts = measure.classes(int(size.max(initial=1)))
@@ -146,7 +161,7 @@ def signatures(sets: Sets, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
         emit = filled | (n_filled <= differ[np.minimum(level, len(differ) - 1)])[of]
         label = (level[of].astype(np.uint64) << np.uint64(40)) | no.astype(np.uint64)
         out[0].append(mix(total + mix(label))[emit])
-        out[1].append(sets.key[of[emit]])
+        out[1].append(of[emit])
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
@@ -181,23 +196,22 @@ def parity_links(sizes: np.ndarray, bits: list[bytes], measure: Measure) -> list
     return links
 
 
-def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
-    """Edges (u, v) between nodes that connect all that may be linked."""
+def candidates(sets: DataFrame, nodes: DataFrame, measure: Measure, n: int, most: int = GROUP) -> DataFrame:
+    """Edges (u, v) between nodes that connect all that may be linked.  sets: as ``described``; nodes: (node,
+    rid) with one row of each node."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [signatures(sets, measure) for _, _, sets in _each_slice(batch, measure.shingle)]
-            if not parts:
-                continue
-            sig, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+            data, offsets = text_buffer(batch.column("signatures"))
+            sig, key = data.view(np.uint64), np.repeat(np.asarray(batch.column("node")), np.diff(offsets) // 8)
             keys, blobs = [], []
-            for bucket, arrays in split_by((sig % np.uint64(n)).astype(np.int32), sig, _signed(key)):
+            for bucket, arrays in split_by((sig % np.uint64(n)).astype(np.int32), sig, key):
                 keys.append(bucket)
                 blobs.append(pack(*arrays))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def groups(group: pa.Table) -> pa.Table:
-        """Each set of nodes that share a signature, once."""
+        """Each set of nodes that share a signature, once; of a large one, edges to its smallest node."""
         sig, key = (np.concatenate(x) for x in zip(*[unpack(b, "u8", "i8") for b in group.column("blob").to_pylist()], strict=True))
         order = np.argsort(sig, kind="stable")
         a, z = runs(sig[order])
@@ -215,12 +229,22 @@ def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
             label = mix(total[z] - total[a] + mix((z - a).astype(np.uint64)))
             label, first = np.unique(label, return_index=True)
             a, z = a[first], z[first]
-        return pa.table({"label": pa.array(_signed(label)), "nodes": pa.array([key[i:j] for i, j in zip(a, z, strict=True)], pa.list_(pa.int64()))})
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, sets in _each_slice(batch, measure.shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(sets.key)), pa.array(sets.size), pa.array(parities(sets), pa.binary())], ["node", "n", "bits"])
+        large = z - a > most
+        u = [key[i + 1 : j] for i, j in zip(a[large], z[large], strict=True)]
+        v = [np.full(j - i - 1, key[i]) for i, j in zip(a[large], z[large], strict=True)]
+        edges = np.concatenate([*u, np.zeros(0, np.int64)]), np.concatenate([*v, np.zeros(0, np.int64)])
+        few = ~large
+        none = pa.nulls(int(few.sum()), pa.int64())
+        lists = pa.array([key[i:j] for i, j in zip(a[few], z[few], strict=True)], pa.list_(pa.int64()))
+        k = len(edges[0])
+        return pa.table(
+            {
+                "label": pa.concat_arrays([pa.array(_signed(label[few])), pa.nulls(k, pa.int64())]),
+                "nodes": pa.concat_arrays([lists, pa.nulls(k, pa.list_(pa.int64()))]),
+                "u": pa.concat_arrays([none, pa.array(edges[0])]),
+                "v": pa.concat_arrays([none, pa.array(edges[1])]),
+            }
+        )
 
     def link(group: pa.Table) -> pa.Table:
         label, node, size = (np.asarray(group.column(c)) for c in ("label", "node", "n"))
@@ -232,11 +256,11 @@ def candidates(docs: DataFrame, measure: Measure, n: int) -> DataFrame:
         pairs = stars(np.array(out, np.int64).reshape(-1, 2))
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    shared = docs.mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(groups, "label long, nodes array<long>")
-    once = shared.groupBy("label").agg(F.first("nodes").alias("nodes"))
-    sets = docs.mapInArrow(describe, "node long, n long, bits binary").filter("n > 0").groupBy("node").agg(F.min(F.struct("n", "bits")).alias("s"))
-    members = once.select("label", F.explode("nodes").alias("node")).join(sets, "node").select("label", "node", "s.n", "s.bits")
-    return members.groupBy(F.pmod("label", F.lit(n)).alias("bucket")).applyInArrow(link, "u long, v long")
+    shared = checkpoint(sets.select("node", "signatures").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(groups, "label long, nodes array<long>, u long, v long"))
+    some = shared.filter("label is not null").select("label", F.explode("nodes").alias("node")).distinct()
+    members = some.join(nodes.select("node", "rid"), "node").join(sets.select("rid", "n", "bits"), "rid").select("label", "node", "n", "bits")
+    linked = members.groupBy(F.pmod("label", F.lit(n)).alias("bucket")).applyInArrow(link, "u long, v long")
+    return linked.union(shared.filter("u is not null").select("u", "v"))
 
 
 # ---------------------------------------------------------------- joining a region
@@ -325,34 +349,46 @@ def _part(members: DataFrame, measure: Measure, turn: int) -> tuple[DataFrame, D
     return links, left.select("region", "node", "elements")
 
 
-def jaccard_links(docs: DataFrame, described_: DataFrame, measure: Measure, n: int, limit: int = LIMIT, turns: int = 12) -> DataFrame:
+def _pairs_of_blocks(members: DataFrame, sizes: DataFrame, limit: int, turn: int) -> DataFrame:
+    """Each region as regions of two of its blocks, so that every pair of members meets."""
+    blocks = F.ceil(2 * F.col("total") / F.lit(limit)).cast("int") + 1
+    placed = members.join(sizes, "region").withColumn("k", blocks).withColumn("b", F.pmod(F.xxhash64("node", F.lit(-turn)), F.col("k")).cast("int"))
+    other = placed.withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
+    return other.select(F.xxhash64("region", F.least("b", "o"), F.greatest("b", "o"), F.lit(turn)).alias("region"), "node", "elements")
+
+
+def jaccard_links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, measure: Measure, n: int, limit: int = LIMIT) -> DataFrame:
     """Links (u, v) between nodes that connect exactly what all links connect."""
-    regions = components(candidates(docs, measure, n))
-    wanted = described_.filter("n > 0").groupBy("node").agg(F.min("shard").alias("shard")).join(regions, "node")
-    names = [c.split()[0] for c in _MEMBERS.split(", ")]
-
-    def fetch(table: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if table.num_rows and right.num_rows:
-            root = dict(zip(right.column("node").to_pylist(), right.column("root").to_pylist(), strict=True))
-            for _, _, sets in _each_slice(table, measure.shingle):
-                for i, key in enumerate(_signed(sets.key).tolist()):
-                    if (r := root.pop(key, None)) is not None:
-                        for column, v in zip(out, (r, key, sets.elements[sets.at[i] : sets.at[i + 1]].tobytes()), strict=True):
-                            column.append(v)
-        return pa.table(dict(zip(names, (pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)), strict=True)))
-
-    members = checkpoint(by_shard(docs, wanted.select("shard", "node", "root"), n, fetch, _MEMBERS))
-    links = []
-    for turn in range(turns):
+    regions = checkpoint(components(candidates(sets, nodes, measure, n)))
+    wanted = nodes.join(regions, "node").join(sets.select("rid", "doc_id", "h"), "rid").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "node", "root", "copies")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, e, own in _each_slice(batch, measure.shingle):
+                part = batch.slice(s, e - s)
+                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("node"), _blobs(own.elements, np.repeat(np.arange(e - s), own.size), e - s)], ["region", "node", "elements"])
+
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    found = keyed.join(wanted, (keyed["h"] == wanted["_h"]) & keyed["doc_id"].eqNullSafe(wanted["_id"])).select("root", "node", "text", "copies")
+    # rows that repeat id and text bring their node again; only nodes of many rows may have many of those
+    few = found.filter("copies <= 16").drop("copies").mapInArrow(fetch, _MEMBERS)
+    many = found.filter("copies > 16").dropDuplicates(["node"]).drop("copies").mapInArrow(fetch, _MEMBERS)
+    members = checkpoint(few.union(many))
+    links, turn, last = [], 0, None
+    while True:
         sizes = members.groupBy("region").agg((F.sum(F.octet_length("elements")) / 8).alias("total"))
-        large = sizes.filter(F.col("total") > limit).select("region")
-        if large.isEmpty():
+        large = checkpoint(sizes.filter(F.col("total") > limit))
+        now = large.agg(F.sum("total")).first()[0]
+        if not now:
             break
         links.append(_join_small(members.join(large, "region", "left_anti"), measure))
-        found, members = _part(members.join(large, "region", "left_semi"), measure, turn)
+        members = members.join(large.select("region"), "region", "left_semi")
+        if last is not None and now > 0.7 * last:
+            members = checkpoint(_pairs_of_blocks(members, large, limit, turn))
+            break
+        found, members = _part(members, measure, turn)
         links.append(found)
-        members = checkpoint(members)
+        members, last, turn = checkpoint(members), now, turn + 1
     links.append(_join_small(members, measure))
     out = links[0]
     for more in links[1:]:
@@ -360,6 +396,14 @@ def jaccard_links(docs: DataFrame, described_: DataFrame, measure: Measure, n: i
     return out
 
 
+def _joined(docs: DataFrame, measure: Measure, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, (node, root, least): of each node its class and the smallest doc_id of its rows)."""
+    sets = described(docs, measure)
+    nodes = checkpoint(sets.filter("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    roots = components(jaccard_links(docs, sets, nodes, measure, n_shards(docs), limit))
+    return sets, nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -368,21 +412,32 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     is its own component.  component_id is the smallest doc_id that links reach, ids that are null
     passed over (null if there is no other).  Repeated rows have equal sets and so one component.
     """
-    docs, measure = bare(docs), Measure(shingle, num, den)
-    n = n_shards(docs)
-    meta = described(docs, measure, n)
-    roots = components(jaccard_links(docs, meta, measure, n, limit))
-    least = meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))  # copies first
-    least = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets, of = _joined(bare(docs), Measure(shingle, num, den), limit)
     # written, so that the join can split the members of one large component
-    whole = checkpoint(least.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_node = least.join(whole, "root").select("node", "component_id")
-    joined = meta.join(of_node, "node", "left")
+    whole = checkpoint(of.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_node = of.join(whole, "root").select("node", "component_id")
+    joined = sets.select("doc_id", "n", "node").join(of_node, "node", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def jaccard_query(docs: DataFrame) -> DataFrame:
-    return jaccard_classes(docs, 3, 90, 100)
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, without all but one of each class.
 
+    The row with the smallest doc_id stays (a null one counts as the largest), of equal ids that whose text
+    has the smallest hash, and of rows that repeat both, one.  Rows without words stay, all of them.
+    """
+    sets, of = _joined(bare(docs), Measure(shingle, num, den), limit)
+    rows = sets.filter("n > 0").select("doc_id", "h", "node").join(of.select("node", "root"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    first = checkpoint(rows.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    keys = rows.join(first, "root").withColumn("stays", is_first).groupBy("doc_id", "h", "stays").agg(F.count(F.lit(1)).alias("times"))
+    marks = checkpoint(keys.filter("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("stays").alias("_once")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    joined = keyed.join(marks, (F.col("_text") == F.col("_h")) & F.col("_own").eqNullSafe(F.col("_id")), "left")
+    repeated = joined.filter("_once").dropDuplicates(["_own", "_text"])
+    return joined.filter("_once is null").select("row.*").union(repeated.select("row.*"))
 
 
+def jaccard_query(docs: DataFrame) -> DataFrame:
+    return jaccard_classes(docs, 3, 90, 100)

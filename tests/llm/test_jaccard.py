@@ -29,6 +29,30 @@ def test_classes(spark, monkeypatch, k, num, limit):
     assert got(jaccard.jaccard_classes(frame(spark, ROWS), k, num, 100, limit)) == sorted(classes(ROWS, k, num, 100), key=str)
 
 
+@pytest.mark.parametrize("group", [3, jaccard.GROUP])
+def test_large_groups_and_blocks(spark, monkeypatch, group):
+    """Groups of candidates beyond the most that are compared; regions that windows cannot part."""
+    whole = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a: whole(*a, most=group))
+    part = jaccard._part
+    monkeypatch.setattr(jaccard, "_part", lambda members, measure, turn: (part(members, measure, turn)[0], members))
+    assert got(jaccard.jaccard_classes(frame(spark, ROWS), 5, 80, 100, 300)) == sorted(classes(ROWS, 5, 80, 100), key=str)
+
+
+def test_one_of_each(spark):
+    rows = [*ROWS, (3, ROWS[3][1]), (901, "q w e r t y u i"), (905, "q w e r t y u i"), (905, "another text of its own here now"), (906, "z x c v b n m a"), (906, "z x c v b n m a")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, rows)).collect()), key=str)
+    by = {}
+    for (i, t), (_, n, c) in zip(rows, classes([(j, t) for j, (_, t) in enumerate(rows)], 5, 80, 100), strict=True):
+        by.setdefault(c, []).append((i, t, n))
+    assert len(kept) == len(by)
+    for group in by.values():
+        least = min((i is None, i or 0) for i, _, _ in group)
+        assert any((i is None, i or 0) == least and (i, t) in kept for i, t, _ in group)
+    assert {(905, "another text of its own here now"), (901, "q w e r t y u i"), (906, "z x c v b n m a")} <= set(kept)
+    assert jaccard.one_of_each(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
 def test_region_links_connect_what_links_connect():
     import numpy as np
 
