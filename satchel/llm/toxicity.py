@@ -103,10 +103,11 @@ def fit_model(rows: list[tuple[int, int, np.ndarray, np.ndarray]], used: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the whole texts of at most ``sample`` labelled documents that are not held out.
+    """Fit on the whole texts of at most ``sample`` labelled rows that are not held out.
 
-    The ids with the smallest hashes are taken; rows without id or label are not used, several labels
-    of a document count as toxic if one is.
+    The ids with the smallest hashes are taken, and of an id that several rows have, the row whose text
+    has the smallest hash; rows without id or label are not used, several labels of a document count as
+    toxic if one is.
     """
     taken = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -138,8 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         has = np.flatnonzero(present)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (has, present[has], toxic[has])], ["slot", "present", "toxic"])
 
-    # the ids are at most ``sample``, which bounds what is broadcast
-    texts = bare(docs).join(F.broadcast(taken), "doc_id").select("toxic", "text")
+    # the ids are at most ``sample``, which bounds what is broadcast; one row of each bounds the rows
+    labelled = bare(docs).join(F.broadcast(taken), "doc_id")
+    one = labelled.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_least"))
+    texts = labelled.join(F.broadcast(one), (labelled["doc_id"] == one["doc_id"]) & (F.xxhash64("text") == one["_least"]), "left_semi")
+    texts = texts.select("toxic", "text")
     sums = texts.mapInArrow(count, "slot long, present long, toxic long").groupBy("slot").agg(F.sum("present").alias("present"), F.sum("toxic").alias("toxic"))
     slot, present, toxic = (np.asarray(c) for c in sums.filter(F.col("present") >= F.when(F.col("slot") == DEAD, 1).otherwise(LEAST_DOCS)).toArrow().columns)  # a row for each slot at most
     every = slot == DEAD
@@ -179,7 +183,9 @@ def _scored(docs: DataFrame, model: Model, schema: str, emit) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` to the documents: 0 where a text is null or has no word."""
+    """Adds ``score`` to the documents, in place of a column of that name: 0 where a text is null or has no
+    word."""
+    docs = docs.drop("score")
 
     def emit(batch, part, words, sentence, p, doc, model):
         return batch.append_column("score", pa.array(model.documents(p, doc, batch.num_rows), pa.float64()))
@@ -188,7 +194,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxic_sentences(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
-    """The sentences whose own score reaches ``least``: doc_id, sentence, score."""
+    """The sentences whose own score reaches ``least``: doc_id, sentence, score.  Null and empty texts have
+    none; repeated rows have theirs each."""
 
     def emit(batch, part, words, sentence, p, doc, model):
         hit = np.flatnonzero(p >= least)
