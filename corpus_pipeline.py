@@ -1,46 +1,47 @@
 """The corpus pipeline: stages over ``documents``, each written and read again before the next.
 
-A stage takes (spark, docs, sf_dir) and works on every row that the one before kept.
+A stage takes (spark, docs, sf_dir) and works on every row that the one before kept.  Rows, not ids, are
+judged: ids may be null or repeat, and further columns may have any name.  Empty tables stay empty.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm.bpe import bpe_encode
 from satchel.llm.common import table
 from satchel.llm.decontaminate import without_contaminated
-from satchel.llm.jaccard import jaccard_classes
+from satchel.llm.jaccard import one_of_each
 from satchel.llm.substrings import substring_dedup
 from satchel.llm.toxicity import THRESHOLD, toxicity, train
+from satchel.plans.shared import new_folder, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold; a null text scores 0 and stays."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity(docs, model).filter(F.col("score") < THRESHOLD).select(docs.columns)
+    scored = toxicity(docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")), model)
+    return scored.filter(F.col("score") < THRESHOLD).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 0.8 over five-word shingles, the one with the smallest doc_id.
+    """Of the rows linked at 0.8 over five-word shingles, the one with the smallest doc_id (a null one is the
+    largest), then the text with the smallest hash; of rows that repeat id and text, one.
 
-    Documents without words are linked with nothing and stay.
+    Rows without words are linked with nothing and stay, all of them.
     """
-    classes = jaccard_classes(docs)
-    copies = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without stretches of 20 words that start earlier elsewhere; a text that had words and
-    has none left goes."""
-    cut = substring_dedup(docs)
+    has none left goes.  A column n_chars, if there is one, follows the text."""
+    cut = substring_dedup(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")))
     kept = cut.filter((F.col("n_removed") == 0) | (F.col("text") != ""))
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", size).select(docs.columns)
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    made = {"text": F.col("text"), "n_chars": size}
+    return kept.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,11 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet where all executors can read it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    """All stages over ``documents``, each written as Parquet where all executors can read it.  A stage's
+    table goes once the next one is written; the last one, which the result reads, stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        folder = new_folder(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
