@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,10 +21,10 @@ from satchel.llm.common import bare, default_tokenizer_path, sha256
 
 #: The public pattern that cuts a text into pre-tokens, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PIECES = regex.compile(PATTERN)
+_PIECES, _BLANK = regex.compile(PATTERN), regex.compile(r"\s+")
 #: Entries a worker keeps for pre-tokens it has met; then it begins anew.
 CACHE = 600_000
-_NEVER = 1 << 60
+_NEVER, _NONE = 1 << 60, np.int32((1 << 31) - 1)
 
 
 def merged(piece: bytes, rank: Callable[[bytes, bytes], int]) -> list[bytes]:
@@ -78,9 +80,9 @@ class PrefixCounter:
     """Exact token counts of every prefix of a text, by dynamic programming.
 
     The encoding of a prefix is the encoding of a shorter prefix and one last token; which token that
-    is follows from whether it can stand next to the shorter prefix's own last token.  So each
-    position stores the length of its last token and a count, and neither truncation nor a budget
-    needs another encoding.
+    is follows from whether it can stand next to the shorter prefix's own last token.  So each position of
+    a pre-token has the length of its last token and a count.  Counts are kept for every prefix of the
+    pre-tokens met, and a text's for every pre-token's end: truncation and budgets look them up.
     """
 
     def __init__(self, path: str):
@@ -88,48 +90,87 @@ class PrefixCounter:
             spec = json.load(f)
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        pairs = [(raw(a), raw(b)) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
+        self.ranks = {pair: i for i, pair in enumerate(pairs)}
         self.tokens = {raw(t) for t in spec["model"]["vocab"]}
         self.longest = max(map(len, self.tokens))
+        #: The merge that first makes a token: its number and parts.
+        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
+        for i, (a, b) in enumerate(pairs):
+            self.made.setdefault(a + b, (i, a, b))
         special = sorted((t["content"] for t in spec.get("added_tokens") or [] if t.get("special")), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes | tuple[int, ...]] = {}
+        self.totals: dict[str, int] = {}
 
     def rank(self, a: bytes, b: bytes) -> int:
         return self.ranks.get((a, b), _NEVER)
 
+    def alone(self, token: bytes) -> bool:
+        """Whether the encoding of the token's bytes is the token."""
+        return merged(token, self.rank) == [token]
+
     def fit(self, a: bytes, b: bytes) -> bool:
         """Whether the encoding of a + b is a, b; a is empty at the start."""
         if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) >= CACHE:
+            if len(self.fits) >= 4 * CACHE:
                 self.fits.clear()
-            known = self.fits[a, b] = merged(a + b, self.rank) == ([a, b] if a else [b])
+            known = self.fits[a, b] = self._apart(a, b) if a else self.alone(b)
         return known
 
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge joins a's end with b's beginning before both are made.
+
+        The parts that meet at the border only grow: going back from whole tokens, the one that was made
+        last is taken apart, and two neighbours must not have a merge of their own that comes before.
+        """
+        left, right = a, b
+        before = _NEVER  # the number of the merge that ended this state of the border
+        while True:
+            if self.ranks.get((left, right), _NEVER) < before:
+                return False
+            made_left, made_right = self.made.get(left), self.made.get(right)
+            if made_left is None and made_right is None:
+                return True
+            # of two equal merges the one on the left happens first
+            if made_right is None or (made_left is not None and made_left[0] > made_right[0]):
+                before, left = made_left[0], made_left[2]
+            else:
+                # a merge across the border stands left of this one and wins against an equal number
+                before, right = made_right[0] + 1, made_right[1]
+
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of a pre-token, from the empty one."""
-        last, count = [b""], [0]
+        last, count, tokens, fits = [b""], [0], self.tokens, self.fits
         for end in range(1, len(piece) + 1):
             for start in range(max(0, end - self.longest), end):
                 token = piece[start:end]
-                if token in self.tokens and self.fit(last[start], token):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+                if token in tokens:
+                    ok = fits.get((last[start], token))
+                    if ok or (ok is None and self.fit(last[start], token)):
+                        last.append(token)
+                        count.append(count[start] + 1)
+                        break
             else:
                 raise ValueError(f"no token ends at byte {end} of {piece[:40]!r}")
         return count
 
-    def count_piece(self, piece: str) -> int:
-        if (n := self.known.get(piece)) is None:
+    def counts_of(self, piece: str) -> bytes | tuple[int, ...]:
+        """``prefixes`` of a pre-token, kept."""
+        if (counts := self.known.get(piece)) is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            n = self.known[piece] = self.prefixes(piece.encode())[-1]
-        return n
+                self.totals.clear()
+            found = self.prefixes(piece.encode())
+            counts = self.known[piece] = bytes(found) if found[-1] < 256 and max(found) < 256 else tuple(found)
+            self.totals[piece] = found[-1]
+        return counts
 
-    def pieces(self, text: str) -> Iterable[str | None]:
+    def count_piece(self, piece: str) -> int:
+        return self.counts_of(piece)[-1]
+
+    def pieces(self, text: str) -> list[str | None]:
         """Pre-tokens; None stands for a special token."""
         if self.special is None or not self.special.search(text):
             return _PIECES.findall(text)
@@ -139,35 +180,52 @@ class PrefixCounter:
             at = m.end()
         return parts + _PIECES.findall(text[at:])
 
+    def running(self, pieces: list[str | None]) -> list[int]:
+        """Tokens up to the end of each pre-token."""
+        get, whole = self.totals.get, self.count_piece
+        return list(accumulate([1 if p is None else get(p) or whole(p) for p in pieces]))
+
     def count(self, text: str) -> int:
-        get, total = self.known.get, 0
-        for piece in self.pieces(text):
-            total += 1 if piece is None else get(piece) or self.count_piece(piece)
-        return total
-
-    def cut(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix, up to a pre-token or inside the one that
-        overruns, whose tokens stay within ``budget``."""
-        at = used = 0
-        for m in self._spans(text):
-            piece = m if isinstance(m, str) else None
-            n = 1 if piece is None else self.count_piece(piece)
-            size = len(piece) if piece is not None else m
-            if used + n > budget:
-                if piece is not None:
-                    counts, inside = self.prefixes(piece.encode()), 0
-                    for k in range(1, len(piece)):
-                        if used + counts[len(piece[:k].encode())] <= budget:
-                            inside = k
-                    at += inside
-                return at
-            used, at = used + n, at + size
-        return at
-
-    def _spans(self, text: str):
-        lengths = iter([len(m.group()) for m in self.special.finditer(text)] if self.special else [])
-        for piece in self.pieces(text):
-            yield next(lengths) if piece is None else piece
+        found = self.running(self.pieces(text))
+        return found[-1] if found else 0
+
+    def ends(self, text: str, pieces: list[str | None]) -> list[int]:
+        """Where each pre-token ends."""
+        special = iter([len(m.group()) for m in self.special.finditer(text)] if self.special and None in pieces else [])
+        return list(accumulate([next(special) if p is None else len(p) for p in pieces]))
+
+    def cut(self, text: str, budget: int, pieces: list[str | None] | None = None, running: list[int] | None = None) -> int:
+        """Characters of the longest prefix whose own encoding stays within ``budget``.
+
+        A prefix that ends inside a pre-token has the counts kept for that, but where the cut changes how
+        the end is parted: among blanks, and inside a contraction.  A special token is whole or not there.
+        """
+        pieces = self.pieces(text) if pieces is None else pieces
+        running = self.running(pieces) if running is None else running
+        i = bisect_right(running, budget)
+        ends = self.ends(text, pieces)
+        at = ends[i - 1] if i else 0
+        if i == len(pieces) or pieces[i] is None:
+            return at
+        piece, used, best, size = pieces[i], running[i - 1] if i else 0, 0, 0
+        if run := _BLANK.match(text, at):
+            # a prefix that ends in blanks has all of them as one pre-token
+            j = i
+            while j and pieces[j - 1] is not None and _BLANK.fullmatch(pieces[j - 1]):
+                j -= 1
+            base, start = running[j - 1] if j else 0, ends[j - 1] if j else 0
+            counts, size = self.counts_of(text[start : run.end()]), len(text[start:at].encode())
+            for k, c in enumerate(run.group(), 1):
+                size += len(c.encode())
+                if base + counts[size] <= budget:
+                    best = k
+        counts, size = self.counts_of(piece), 0
+        for k, c in enumerate(piece[:-1], 1):
+            size += len(c.encode())
+            if not _BLANK.match(c):
+                n = self.count(piece[:k]) if piece[0] == "'" else counts[size]
+                best = max(best, k) if used + n <= budget else best
+        return at + best
 
 
 @lru_cache(maxsize=2)
@@ -175,8 +233,36 @@ def _counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ends array<int>, counts array<int>: where each pre-token ends, in characters, and the exact
+    number of tokens up to there.  Written, it answers any budget (``within``) without another encoding.
+    A null or empty text has empty arrays; repeated rows have theirs each."""
+    path = path or default_tokenizer_path("byte_bpe_50k.json")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path)
+        for batch in batches:
+            ends, counts = [], []
+            for text in batch.column("text").to_pylist():
+                pieces = counter.pieces(text or "")
+                ends.append(counter.ends(text or "", pieces))
+                counts.append(counter.running(pieces))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends, kind), pa.array(counts, kind)], ["doc_id", "ends", "counts"])
+
+    return bare(docs).mapInArrow(count, "doc_id long, ends array<int>, counts array<int>")
+
+
+def within(prefixes: DataFrame, budget: int) -> DataFrame:
+    """Adds kept_tokens and kept_chars, the most whole pre-tokens that ``budget`` tokens hold, to a table of
+    ``prefix_counts``."""
+    n = F.size(F.filter("counts", lambda c: c <= budget))
+    at = lambda c: F.when(n == 0, 0).otherwise(F.get(c, n - 1))
+    return prefixes.withColumns({"kept_tokens": at("counts"), "kept_chars": at("ends")})
+
+
 def token_counts(docs: DataFrame, path: str | None = None, budget: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and kept_chars (how much of the text fits ``budget``).
+    """doc_id, n_bytes, n_tokens, over_limit and kept_chars (the longest prefix within ``budget``).
 
     A null text is empty: no bytes, no tokens.  Every row has its result, repeated rows too; a text
     of any length is counted whole.
@@ -186,11 +272,17 @@ def token_counts(docs: DataFrame, path: str | None = None, budget: int = 512) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens = [counter.count(t) for t in texts]
-            kept = [len(t) if n <= budget else counter.cut(t, budget) for t, n in zip(texts, tokens, strict=True)]
+            sizes, tokens, kept = [], [], []
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                pieces = counter.pieces(text)
+                running = counter.running(pieces)
+                n = running[-1] if running else 0
+                sizes.append(len(text.encode()))
+                tokens.append(n)
+                kept.append(len(text) if n <= budget else counter.cut(text, budget, pieces, running))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > budget for n in tokens], pa.bool_()), pa.array(kept, pa.int64())],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > budget for n in tokens], pa.bool_()), pa.array(kept, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_chars"],
             )
 
@@ -198,41 +290,38 @@ def token_counts(docs: DataFrame, path: str | None = None, budget: int = 512) ->
 
 
 # ---------------------------------------------------------------- operator 10
-def boundaries(text: str) -> list[int]:
-    """Where each pre-token ends."""
-    return [m.end() for m in _PIECES.finditer(text)]
+def chunk_pieces(chunk: str, is_last: bool) -> list[str]:
+    """A chunk's pre-tokens, but for the last two, which may change with what follows."""
+    found = _PIECES.findall(chunk)
+    return found if is_last else found[:-2]
 
 
-def stitch(text: str, chunks: list[list[int]]) -> list[str]:
-    """Pre-tokens of ``text`` from those of its overlapping chunks.
+def stitch(text: str, chunks: Iterable[tuple[int, list[str]]]) -> list[str]:
+    """Pre-tokens of ``text`` from those of its overlapping chunks, each with where it starts.
 
-    chunks: absolute ends, the last of each chunk dropped where the text goes on.  What follows a
-    boundary depends on nothing before it, so from the first boundary that two neighbours share the
-    later chunk is right; where they share none, pre-tokens are matched on until one is.
+    What follows a boundary depends on nothing before it, so from the first boundary that two neighbours
+    share the later chunk is right; where they share none, pre-tokens are matched on until one is.
     """
-    pieces, at = [], 0
-    for k, ends in enumerate(chunks):
-        known = {e: i for i, e in enumerate(ends)}
-        limit = ends[-1] if ends else 0
-        while k and at < limit and at not in known:
-            end = _PIECES.match(text, at).end()
-            pieces.append(text[at:end])
-            at = end
-        first = known[at] + 1 if at in known else 0 if not k else len(ends)
-        for end in ends[first:]:
-            pieces.append(text[at:end])
-            at = end
+    out, at = [], 0
+    for start, own in chunks:
+        end, i = start, 0
+        while end != at:
+            if end < at:
+                if i == len(own):
+                    break
+                end += len(own[i])
+                i += 1
+            else:
+                out.append(_PIECES.match(text, at).group())
+                at += len(out[-1])
+        else:
+            rest = own[i:] if i else own
+            out += rest
+            at += sum(map(len, rest))
     while at < len(text):
-        end = _PIECES.match(text, at).end()
-        pieces.append(text[at:end])
-        at = end
-    return pieces
-
-
-def chunk_ends(chunk: str, start: int, is_last: bool) -> list[int]:
-    """Absolute ends of a chunk's pre-tokens; the last two may change with what follows."""
-    ends = [start + e for e in boundaries(chunk)]
-    return ends if is_last else ends[:-2]
+        out.append(_PIECES.match(text, at).group())
+        at += len(out[-1])
+    return out
 
 
 class Encoder:
@@ -240,24 +329,78 @@ class Encoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.text_of = {r: str(r) for r in self.bytes_of}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of a pre-token, the same in decimals, and the bytes they decode to.
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        pairs = {}
+        for token, r in self.ranks.items():
+            for i in range(1, len(token)):
+                if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None:
+                    pairs[a << 32 | b] = r
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged_to = np.array([pairs[k] for k in self.pairs.tolist()], np.int32)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def rank(self, a: bytes, b: bytes) -> int:
         return self.ranks.get(a + b, _NEVER)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        if (ids := self.known.get(piece)) is None:
-            raw = piece.encode()
-            ids = (self.ranks[raw],) if raw in self.ranks else tuple(self.ranks[p] for p in merged(raw, self.rank))
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
-
-    def encode(self, pieces: Iterable[str]) -> list[int]:
-        get, whole = self.known.get, self.piece
-        return list(chain.from_iterable([get(p) or whole(p) for p in pieces]))
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.merged_to[at], _NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of many short pre-tokens, merged side by side: each turn takes the lowest rank of each,
+        leftmost of equals."""
+        size = np.array([len(p) for p in pieces])
+        width = int(size.max(initial=1))
+        ids = np.full((len(pieces), width + 1), -1, np.int32)
+        row = np.repeat(np.arange(len(pieces)), size)
+        ids[row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = self._pair_ranks(ids[:, :-1], ids[:, 1:])
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        left, cols = np.arange(len(pieces)), np.arange(width + 1)
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(left)), at]
+            done = best == _NONE
+            if done.any():
+                for i, own, n in zip(left[done].tolist(), ids[done].tolist(), size[done].tolist(), strict=True):
+                    out[i] = tuple(own[:n])
+                keep = ~done
+                left, ids, ranks, size, at, best = left[keep], ids[keep], ranks[keep], size[keep], at[keep], best[keep]
+            if not len(left):
+                return out
+            k = np.arange(len(left))
+            ids[k, at] = best
+            ids = np.take_along_axis(ids, np.minimum(cols + (cols > at[:, None]), width), axis=1)
+            ids[:, width] = -1
+            size = size - 1
+            ranks = np.take_along_axis(ranks, np.minimum(cols[:-1] + (cols[:-1] >= at[:, None]), width - 1), axis=1)
+            ranks[:, width - 1] = _NONE
+            ranks[k, at] = self._pair_ranks(best, ids[k, at + 1])
+            has = np.flatnonzero(at > 0)
+            ranks[has, at[has] - 1] = self._pair_ranks(ids[has, at[has] - 1], best[has])
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Keeps the ids of all pre-tokens of some texts."""
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        new = sorted(set().union(*texts).difference(self.known), key=len)
+        raw, found = [p.encode() for p in new], {}
+        short = []
+        for i, b in enumerate(raw):
+            if (r := self.ranks.get(b)) is not None:
+                found[i] = (r,)
+            elif len(b) <= 48:
+                short.append(i)
+            else:
+                found[i] = tuple(self.ranks[p] for p in merged(b, self.rank))
+        for s in range(0, len(short), 4096):  # of about equal length
+            part = short[s : s + 4096]
+            found.update(zip(part, self.merge_all([raw[i] for i in part]), strict=True))
+        for i, p in enumerate(new):
+            ids = found[i]
+            self.known[p] = (ids, " ".join(map(str, ids)), self.decode(ids))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -268,24 +411,29 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-Emit = Callable[[Encoder, list, list[str | None], Iterator[list[int]]], pa.RecordBatch]
+#: (encoder, doc_ids, texts, what is known of each text's pre-tokens)
+Emit = Callable[[Encoder, list, list[str | None], Iterator[list[tuple]]], pa.RecordBatch]
 #: Texts whose ids a worker holds at once.
 AT_ONCE = 256
 
 
-def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: int = 16_384, overlap: int = 256, spread_chars: int = 65_536) -> DataFrame:
-    """What ``emit`` makes of doc_ids, texts and the ids of each text.
+def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: int = 1024, overlap: int = 64, spread_chars: int = 65_536) -> DataFrame:
+    """What ``emit`` makes of doc_ids, texts and the encodings of each text's pre-tokens.
 
-    Texts of up to ``spread_chars`` are cut, stitched and encoded in one task.  Longer ones go out as
-    chunks of ``chunk_chars`` and ``overlap`` more, cut into pre-tokens wherever a task is free, and
-    are stitched and encoded per text.  A null text has no ids.  Rows that repeat doc_id and text get
+    Every text is cut into chunks of ``chunk_chars`` and ``overlap`` more, the chunks into pre-tokens, and
+    these are stitched and encoded.  The chunks of a text of more than ``spread_chars`` are cut into
+    pre-tokens wherever a task is free.  A null text has no ids.  Rows that repeat doc_id and text get
     equal results, one each.
     """
     docs = bare(docs)
     long = F.coalesce(F.length("text"), F.lit(0)) > spread_chars
+    step = chunk_chars + overlap
 
-    def cut(text: str) -> list[list[int]]:
-        return [chunk_ends(text[s : s + chunk_chars + overlap], s, s + chunk_chars + overlap >= len(text)) for s in range(0, len(text), chunk_chars)]
+    def pieces(text: str) -> list[str]:
+        n = len(text)
+        if n <= step:  # one chunk
+            return _PIECES.findall(text)
+        return stitch(text, [(s, chunk_pieces(text[s : s + step], s + step >= n)) for s in range(0, max(n - overlap, 1), chunk_chars)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -293,40 +441,61 @@ def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: i
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
                 texts = part.column("text").to_pylist()
-                ids = (encoder.encode(stitch(t, cut(t)) if len(t) > chunk_chars else _PIECES.findall(t)) for t in ((x or "") for x in texts))
-                yield emit(encoder, part.column("doc_id").to_pylist(), texts, ids)
+                cut = [pieces(t or "") for t in texts]
+                encoder.learn(cut)
+                get = encoder.known.__getitem__
+                yield emit(encoder, part.column("doc_id").to_pylist(), texts, (list(map(get, p)) for p in cut))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of long texts, a few at a time."""
+        big = chunk_chars * 16
+        for batch in batches:
+            for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                n = len(text)
+                for s in range(0, max(n - overlap, 1), big):
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "key": key, "n": n, "start": s, "chunk": text[s : s + big + overlap]}], _CHUNKS)
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("chunk").to_pylist(), batch.column("start").to_pylist(), batch.column("n").to_pylist(), strict=True)
-            ends = [chunk_ends(c, s, s + len(c) >= n) for c, s, n in rows]
-            yield batch.append_column("ends", pa.array(ends, pa.list_(pa.int32())))
+            sizes = [list(map(len, chunk_pieces(c, s + len(c) >= n))) for c, s, n in rows]
+            yield batch.append_column("sizes", pa.array(sizes, pa.list_(pa.int32())))
 
     def join(group: pa.Table) -> pa.Table:
         encoder, group = _encoder(path), group.sort_by("start")
-        starts, chunks, ends = (group.column(c).to_pylist() for c in ("start", "chunk", "ends"))
+        starts, chunks, sizes = (group.column(c).to_pylist() for c in ("start", "chunk", "sizes"))
         first = [i for i, s in enumerate(starts) if i == 0 or s != starts[i - 1]]
         text = "".join(chunks[i][: starts[j] - starts[i]] if j is not None else chunks[i] for i, j in zip(first, [*first[1:], None], strict=True))
-        ids, copies = encoder.encode(stitch(text, [ends[i] for i in first])), starts.count(0)
-        return pa.Table.from_batches([emit(encoder, [group.column("doc_id")[0].as_py()] * copies, [text] * copies, iter([ids] * copies))])
+
+        def own(i: int) -> list[str]:
+            ends = list(accumulate(sizes[i], initial=0))
+            return [chunks[i][a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+        cut = stitch(text, ((starts[i], own(i)) for i in first))
+        encoder.learn([cut])
+        found, copies = list(map(encoder.known.__getitem__, cut)), starts.count(0)
+        return pa.Table.from_batches([emit(encoder, [group.column("doc_id")[0].as_py()] * copies, [text] * copies, iter([found] * copies))])
 
     chunks = (
         docs.filter(long)
-        .select("doc_id", F.xxhash64("text").alias("key"), "text", F.length("text").alias("n"))
-        .select("*", F.explode(F.expr(f"sequence(0, n - 1, {chunk_chars})")).alias("start"))
-        .select("doc_id", "key", "n", "start", F.expr(f"substring(text, start + 1, {chunk_chars + overlap})").alias("chunk"))
+        .select("doc_id", F.xxhash64("text").alias("key"), "text")
+        .mapInArrow(spread, "doc_id long, key long, n int, start int, chunk string")
         .repartition("doc_id", "key", "start")
-        .mapInArrow(pretokenise, "doc_id long, key long, n int, start int, chunk string, ends array<int>")
+        .mapInArrow(pretokenise, "doc_id long, key long, n int, start int, chunk string, sizes array<int>")
     )
     joined = chunks.groupBy("doc_id", "key", "n").applyInArrow(join, schema)
     return docs.filter(~long).mapInArrow(encode, schema).unionByName(joined)
 
 
+_CHUNKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("chunk", pa.string())])
+
+
 def bpe_encode(docs: DataFrame, path: str | None = None, **sizes: int) -> DataFrame:
     """doc_id, text, ids array<int>: the ids of every text, as ``_encoded`` gets them."""
 
-    def emit(encoder: Encoder, doc_ids: list, texts: list, ids: Iterator[list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string()), pa.array(list(ids), pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
+    def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[tuple]]) -> pa.RecordBatch:
+        ids = [list(chain.from_iterable([k[0] for k in own])) for own in found]
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
     return _encoded(docs, path or default_tokenizer_path("byte_bpe_50k.tiktoken"), emit, "doc_id long, text string, ids array<int>", **sizes)
 
@@ -348,8 +517,8 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ids and of the bytes they decode to."""
 
-    def emit(encoder: Encoder, doc_ids: list, texts: list, ids: Iterator[list[int]]) -> pa.RecordBatch:
-        rows = [(len(x), sha256(" ".join(map(encoder.text_of.__getitem__, x)).encode()), sha256(encoder.decode(x))) for x in ids]
+    def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[tuple]]) -> pa.RecordBatch:
+        rows = [(sum([len(k[0]) for k in own]), sha256(" ".join([k[1] for k in own]).encode()), sha256(b"".join([k[2] for k in own]))) for own in found]
         kinds = (pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -31,18 +31,50 @@ def test_every_prefix():
             assert counts[len(piece[:k].encode())] == len(library.encode(piece[:k], add_special_tokens=False).ids)
 
 
+def test_pairs_stand_as_the_merges_leave_them():
+    own = bpe.PrefixCounter(JSON)
+    rng = random.Random(4)
+    tokens = sorted(t for t in own.tokens if len(t) <= 6)
+    for _ in range(20_000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if rng.random() < 0.5:
+            whole = rng.choice(tokens)
+            k = rng.randint(1, max(1, len(whole) - 1))
+            a, b = (whole[:k], whole[k:] + b) if whole[:k] in own.tokens and whole[k:] + b in own.tokens else (a, b)
+        if own.alone(a) and own.alone(b):
+            assert own.fit(a, b) == (bpe.merged(a + b, own.rank) == [a, b]), (a, b)
+
+
 def test_cut_is_the_longest_within_budget():
     library, own = Tokenizer.from_file(JSON), bpe.PrefixCounter(JSON)
-    for t in texts(80):
-        k = own.cut(t, 9)
-        assert len(library.encode(t[:k], add_special_tokens=False).ids) <= 9
-        assert k == len(t) or own.count(t) > 9
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for t in [*(x[:90] for x in texts(60)), "we're  here", "a   b", "x 's", " they'll've"]:
+        t = t.replace("<|endoftext|>", "")
+        for budget in (0, 1, 2, 9):
+            assert own.cut(t, budget) == max((k for k in range(len(t) + 1) if count(t[:k]) <= budget)), (t, budget)
+    assert own.cut("ab<|endoftext|>c", own.count("ab")) == 2
+    assert own.cut("a" * 80_000, 50) > 50
+
+
+def test_prefix_counts(spark):
+    library = Tokenizer.from_file(JSON)
+    rows = documents()[:30] + [(90, None), (91, ""), (92, "a<|endoftext|>b")]
+    made = bpe.prefix_counts(frame(spark, rows))
+    for r in made.collect():
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        assert len(r.ends) == len(r.counts) and (not r.ends or r.ends[-1] == len(text))
+        for k in range(0, len(r.ends), 7):
+            end = r.ends[k]
+            if end == len(text) or not text[end - 1].isspace():
+                assert r.counts[k] == len(library.encode(text[:end], add_special_tokens=False).ids)
+    for r in bpe.within(made, 5).collect():
+        assert r.kept_tokens <= 5 and r.kept_tokens == max([c for c in r.counts if c <= 5], default=0) and r.kept_chars == dict(zip(r.counts, r.ends, strict=True)).get(r.kept_tokens, 0)
 
 
 def test_stitching():
     for t in texts():
         for size, overlap in ((7, 3), (16, 4), (500, 50)):
-            chunks = [bpe.chunk_ends(t[s : s + size + overlap], s, s + size + overlap >= len(t)) for s in range(0, len(t), size)]
+            chunks = [(s, bpe.chunk_pieces(t[s : s + size + overlap], s + size + overlap >= len(t))) for s in range(0, len(t), size)]
             assert bpe.stitch(t, chunks) == regex.findall(bpe.PATTERN, t)
 
 
@@ -56,8 +88,15 @@ def test_round_trip(spark):
         return (i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
 
     assert got(bpe.bpe_round_trip(frame(spark, rows))) == sorted((expected(*r) for r in rows), key=str)
-    for r in bpe.bpe_decode(bpe.bpe_encode(frame(spark, rows[:20]))).collect():
-        assert bytes(r.raw) == (r.text or "").encode()
+    for r in bpe.bpe_decode(bpe.bpe_encode(frame(spark, rows[:20]), chunk_chars=20, overlap=5, spread_chars=200)).collect():
+        assert bytes(r.raw) == (r.text or "").encode() and r.ids == library.encode_ordinary(r.text or "")
+    assert got(bpe.bpe_round_trip(frame(spark, rows).filter("doc_id > 99999"))) == []
+
+
+def test_merging_side_by_side():
+    encoder, rng = bpe.Encoder(RANKS), random.Random(2)
+    pieces = sorted({bytes(rng.choice(b"abcdehint \xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(3000)}, key=len)
+    assert encoder.merge_all(pieces) == [tuple(encoder.ranks[x] for x in bpe.merged(p, encoder.rank)) for p in pieces]
 
 
 def test_count_query(spark):
