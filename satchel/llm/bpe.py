@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from satchel.llm.common import bare, default_tokenizer_path, sha256
+from satchel.llm.common import BYTE_HASH, Rolling, bare, default_tokenizer_path, sha256
 
 #: The public pattern that cuts a text into pre-tokens, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES, _BLANK = regex.compile(PATTERN), regex.compile(r"\s+")
 #: Entries a worker keeps for pre-tokens it has met; then it begins anew.
 CACHE = 600_000
+#: Texts that a worker takes at once.
+AT_ONCE = 256
 _NEVER, _NONE = 1 << 60, np.int32((1 << 31) - 1)
 
 
@@ -100,6 +102,18 @@ class PrefixCounter:
             self.made.setdefault(a + b, (i, a, b))
         special = sorted((t["content"] for t in spec.get("added_tokens") or [] if t.get("special")), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.names = sorted(self.tokens)
+        ends = np.cumsum([len(x) for x in self.names])
+        h = Rolling(BYTE_HASH[np.frombuffer(b"".join(self.names), np.uint8)]).of(np.r_[0, ends[:-1]], ends)
+        order = np.argsort(h)
+        self.hashes, self.names = h[order], [self.names[i] for i in order.tolist()]
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[(h >> np.uint64(44)).astype(np.int64)] = True
+        self.letters = np.frombuffer(b"".join(self.names), np.uint8)
+        self.sizes = np.array([len(x) for x in self.names])
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        #: Pairs of numbers of tokens, sorted, and whether they fit; the latest ones.
+        self.pairs, self.pair_fits, self.recent = np.array([-1]), np.array([False]), {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, bytes | tuple[int, ...]] = {}
         self.totals: dict[str, int] = {}
@@ -156,15 +170,91 @@ class PrefixCounter:
                 raise ValueError(f"no token ends at byte {end} of {piece[:40]!r}")
         return count
 
+    def _ends_at(self, data: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens that end at each byte of some pre-tokens: (starts in the pre-token, tokens), the longest
+        token first, and where those of each byte begin."""
+        end, first = np.arange(1, len(data) + 1), np.repeat(base, size)
+        reach = np.minimum(end - first, self.longest)
+        starts = np.repeat(end - reach, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+        ends = np.repeat(end, reach)
+        h = Rolling(BYTE_HASH[data]).of(starts, ends)
+        maybe = np.flatnonzero(self.likely[(h >> np.uint64(44)).astype(np.int64)])
+        h, starts, ends = h[maybe], starts[maybe], ends[maybe]
+        token = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero((self.hashes[token] == h) & (self.sizes[token] == ends - starts))
+        starts, ends, token = starts[hit], ends[hit], token[hit]
+        # the bytes decide
+        n = self.sizes[token]
+        into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(starts, n) + into] != self.letters[np.repeat(self.offsets[token], n) + into]
+        if differ.any():
+            same = np.ones(len(token), bool)
+            same[np.repeat(np.arange(len(token)), n)[differ]] = False
+            starts, ends, token = starts[same], ends[same], token[same]
+        return starts - first[ends - 1], token.astype(np.int64), np.searchsorted(ends, np.arange(1, len(data) + 2))
+
+    def _fit_all(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``fit`` of many pairs of numbers of tokens, -1 for the start."""
+        key = (before + 1) << 32 | token
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        ok, new = self.pair_fits[at], np.flatnonzero(self.pairs[at] != key)
+        if len(new):
+            kinds, of = np.unique(key[new], return_inverse=True)
+            known, names = self.recent, self.names
+            for k in kinds.tolist():
+                if k not in known:
+                    known[k] = self.fit(names[(k >> 32) - 1] if k >> 32 else b"", names[k & 0xFFFFFFFF])
+            ok[new] = np.array([known[k] for k in kinds.tolist()])[of]
+            if len(known) > 4096:
+                keys = np.r_[self.pairs, np.fromiter(known, np.int64, len(known))]
+                order = np.argsort(keys, kind="stable")
+                self.pairs, self.pair_fits = keys[order], np.r_[self.pair_fits, np.fromiter(known.values(), bool, len(known))][order]
+                known.clear()
+                if len(self.pairs) > 4 * CACHE:
+                    self.pairs, self.pair_fits = self.pairs[:1], self.pair_fits[:1]
+        return ok
+
+    def all_prefixes(self, pieces: list[bytes]) -> list[list[int]]:
+        """``prefixes`` of many short pre-tokens, position by position side by side."""
+        size = np.array([len(p) for p in pieces])
+        base, width = np.cumsum(size) - size, int(size.max(initial=0))
+        starts, token, cuts = self._ends_at(np.frombuffer(b"".join(pieces), np.uint8), base, size)
+        last, count = np.full((len(pieces), width + 1), -1, np.int64), np.zeros((len(pieces), width + 1), np.int64)
+        for end in range(1, width + 1):
+            todo = np.flatnonzero(size >= end)
+            at, stop = cuts[base[todo] + end - 1], cuts[base[todo] + end]
+            while len(todo):
+                if (at >= stop).any():
+                    raise ValueError(f"no token ends at byte {end} of {pieces[int(todo[np.argmax(at >= stop)])]!r}")
+                start, own = starts[at], token[at]
+                ok = self._fit_all(last[todo, start], own)
+                row = todo[ok]
+                last[row, end], count[row, end] = own[ok], count[row, start[ok]] + 1
+                todo, at, stop = todo[~ok], at[~ok] + 1, stop[~ok]
+        return [c[: n + 1] for c, n in zip(count.tolist(), size.tolist(), strict=True)]
+
+    def _keep(self, piece: str, counts: list[int]) -> bytes | tuple[int, ...]:
+        kept = self.known[piece] = bytes(counts) if max(counts) < 256 else tuple(counts)
+        self.totals[piece] = counts[-1]
+        return kept
+
+    def learn(self, texts: list[list[str | None]]) -> None:
+        """Keeps the counts of all pre-tokens of some texts."""
+        if len(self.known) >= CACHE:
+            self.known.clear()
+            self.totals.clear()
+        new = sorted(set().union(*texts).difference(self.known) - {None}, key=len)
+        raw = [p.encode() for p in new]
+        short = [i for i, b in enumerate(raw) if len(b) <= 48]
+        for s in range(0, len(short), 2048):
+            part = short[s : s + 2048]
+            for i, counts in zip(part, self.all_prefixes([raw[i] for i in part]), strict=True):
+                self._keep(new[i], counts)
+
     def counts_of(self, piece: str) -> bytes | tuple[int, ...]:
         """``prefixes`` of a pre-token, kept."""
         if (counts := self.known.get(piece)) is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-                self.totals.clear()
-            found = self.prefixes(piece.encode())
-            counts = self.known[piece] = bytes(found) if found[-1] < 256 and max(found) < 256 else tuple(found)
-            self.totals[piece] = found[-1]
+            counts = self._keep(piece, self.prefixes(piece.encode()))
         return counts
 
     def count_piece(self, piece: str) -> int:
@@ -180,6 +270,14 @@ class PrefixCounter:
             at = m.end()
         return parts + _PIECES.findall(text[at:])
 
+    def each(self, texts: list[str | None]) -> Iterator[tuple[str, list[str | None]]]:
+        """Texts and their pre-tokens, whose counts are known then; a null text is empty."""
+        for s in range(0, len(texts), AT_ONCE):
+            part = [t or "" for t in texts[s : s + AT_ONCE]]
+            cut = [self.pieces(t) for t in part]
+            self.learn(cut)
+            yield from zip(part, cut, strict=True)
+
     def running(self, pieces: list[str | None]) -> list[int]:
         """Tokens up to the end of each pre-token."""
         get, whole = self.totals.get, self.count_piece
@@ -243,9 +341,8 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         counter = _counter(path)
         for batch in batches:
             ends, counts = [], []
-            for text in batch.column("text").to_pylist():
-                pieces = counter.pieces(text or "")
-                ends.append(counter.ends(text or "", pieces))
+            for text, pieces in counter.each(batch.column("text").to_pylist()):
+                ends.append(counter.ends(text, pieces))
                 counts.append(counter.running(pieces))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends, kind), pa.array(counts, kind)], ["doc_id", "ends", "counts"])
@@ -273,9 +370,7 @@ def token_counts(docs: DataFrame, path: str | None = None, budget: int = 512) ->
         counter = _counter(path)
         for batch in batches:
             sizes, tokens, kept = [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                pieces = counter.pieces(text)
+            for text, pieces in counter.each(batch.column("text").to_pylist()):
                 running = counter.running(pieces)
                 n = running[-1] if running else 0
                 sizes.append(len(text.encode()))
@@ -413,9 +508,6 @@ def _encoder(path: str) -> Encoder:
 
 #: (encoder, doc_ids, texts, what is known of each text's pre-tokens)
 Emit = Callable[[Encoder, list, list[str | None], Iterator[list[tuple]]], pa.RecordBatch]
-#: Texts whose ids a worker holds at once.
-AT_ONCE = 256
-
 
 def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: int = 1024, overlap: int = 64, spread_chars: int = 65_536) -> DataFrame:
     """What ``emit`` makes of doc_ids, texts and the encodings of each text's pre-tokens.

@@ -23,6 +23,14 @@ def test_counts_are_the_librarys():
         assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids)
 
 
+def test_prefixes_of_many():
+    own, rng = bpe.PrefixCounter(JSON), random.Random(3)
+    pieces = [bytes(rng.choice(b"abcdehint \xc3\xa9\xff") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    assert own.all_prefixes(pieces) == [own.prefixes(p) for p in pieces]
+    own.learn([["a\u00e9 b", None, "x" * 400, "abc"]])
+    assert {"a\u00e9 b", "abc"} <= set(own.known) and own.counts_of("x" * 400)[-1] == own.totals["x" * 400]
+
+
 def test_every_prefix():
     library, own = Tokenizer.from_file(JSON), bpe.PrefixCounter(JSON)
     for piece in [" thanonntandly", "aaaaaaaaaaaa", "!!!!???", "日本"]:
