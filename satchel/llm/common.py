@@ -31,6 +31,11 @@ def bare(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def whole_row(docs: DataFrame):
+    """All columns as one, so that names of any kind clash with none."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+
+
 def n_shards(docs: DataFrame, column: str = "text", per: int = SHARD_BYTES) -> int:
     """How many groups of about ``per`` bytes the texts make."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
+from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack, whole_row
 from satchel.llm.graph import components, stars
 from satchel.plans.shared import checkpoint, written
 
@@ -433,7 +433,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
     is_first = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
     keys = rows.join(first, "root").withColumn("stays", is_first).groupBy("doc_id", "h", "stays").agg(F.count(F.lit(1)).alias("times"))
     marks = checkpoint(keys.filter("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("stays").alias("_once")))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     joined = keyed.join(marks, (F.col("_text") == F.col("_h")) & F.col("_own").eqNullSafe(F.col("_id")), "left")
     repeated = joined.filter("_once").dropDuplicates(["_own", "_text"])
     return joined.filter("_once is null").select("row.*").union(repeated.select("row.*"))

@@ -4,16 +4,20 @@ Of the k-symbol stretches in a window, the one with the smallest hash (the leftm
 anchor, so equal windows have equal anchors at equal offsets.  Each document's windows fall into runs
 that share an anchor; a run's hull is the text of all its windows.
 
-1. Hashes of anchors and hulls are gathered by anchor.  An anchor that stands once settles its run:
-   nothing there repeats.  Runs with equal hulls are copies of each other.
-2. What is left are anchors with several hulls, the edges of copied passages.  One run of each hull
-   is sent, as text, to the anchor's bucket, where the operator's own method (a suffix automaton, a
-   suffix array) finds the windows that repeat.  An anchor with more than ``hot`` hulls sends hashes
-   of single windows instead, which spread over all buckets, one of each kind from a shard.
-3. Spans found go back to their documents.
-
-Only runs whose anchor repeats send text, and no group is larger than ``hot`` runs; step 1 holds 20
-bytes for each run of an anchor.  Places are ordered by (doc_id, hash of the text, start).
+1. Routing: hashes of anchors are gathered by anchor.  A run whose anchor stands once has no repeated
+   window.  The other runs' anchors go back to the shards that have them.
+2. Each shard takes the hulls of those runs.  Of hulls that are equal, by their bytes, it sends one, with
+   its first place, to the anchor's bucket.  That is a reference shard: its hulls, in the order of
+   their places, are what the operator's own method (a suffix automaton, a suffix array) is made of, and
+   all of them are read against it.  Hulls that are equal across shards, by their bytes, are read once.
+3. An anchor with more than ``hot`` different hulls is parted: its runs are taken window by window.  Hashes
+   of the windows route once more, and of those that stand in several shards each shard sends one text to
+   the bucket of that window.
+4. Spans found go back to their documents.
+
+Hashes only choose where texts meet; texts decide.  A bucket gets at most one hull of a kind from a
+shard.  Places are ordered by (doc_id, hash of the text, start); rows that repeat id and text are one
+document.
 """
 
 from __future__ import annotations
@@ -23,28 +27,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import BYTE_HASH, NULL_ID, Rolling, Words, bare, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
+from satchel.llm.common import BYTE_HASH, Rolling, Words, bare, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
 from satchel.llm.shards import by_shard, shard_of
+from satchel.plans.shared import checkpoint
 
 _PLACE = 24  # bits of a position within a slice
-_POS = 40  # bits of a position within a document
 SLICE = 1 << 19
+#: Groups in which the hashes of a bucket are put together before they meet.
+FAN = 8
+#: Symbols of the hulls that one automaton or suffix array is made of, about.
+TOGETHER = 1 << 18
 
 
 @dataclass(frozen=True)
 class Task:
     """words: whether symbols are words or bytes; keep: "first" (later windows repeat) or "none" (all
-    that stand in several places do); find(payloads, places, W) -> for each payload, a mask of starts."""
+    that stand in several places do); find(hulls, W) -> for each of some different hulls, masks of the
+    windows that an earlier hull has too, and of those that a later one has."""
 
     words: bool
     window: int
     anchor: int
     keep: str
-    find: Callable[[list[bytes], np.ndarray, "Task"], list[np.ndarray]]
-    hot: int = 256
+    find: Callable[[list[bytes], int], list[tuple[np.ndarray, np.ndarray]]]
+    hot: int = 4096
 
 
 @dataclass
@@ -52,6 +63,7 @@ class Slice:
     """Some neighbouring documents of a table."""
 
     ids: np.ndarray
+    tags: np.ndarray  # a hash of each text
     data: np.ndarray  # bytes
     bounds: np.ndarray  # of the documents, in symbols
     starts: np.ndarray | None  # of words, in bytes
@@ -62,8 +74,7 @@ class Slice:
         """Symbols a up to z; words are joined by one space."""
         if self.starts is None:
             return self.data[a:z].tobytes()
-        raw, s, e = self.data, self.starts, self.ends
-        return b" ".join([raw[s[i] : e[i]].tobytes() for i in range(a, z)])
+        return b" ".join(self.data[self.starts[a] : self.ends[z - 1]].tobytes().split())
 
 
 def sliced(table: pa.Table | pa.RecordBatch, words: bool) -> Iterator[Slice]:
@@ -71,11 +82,13 @@ def sliced(table: pa.Table | pa.RecordBatch, words: bool) -> Iterator[Slice]:
     ids = ids_of(table.column("doc_id"))
     for s, e in slices(np.diff(offsets), SLICE):
         part, off = data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]
+        letters = BYTE_HASH[part]
+        tags = Rolling(letters).of(off[:-1], off[1:])
         if words:
             w = Words(part, off)
-            yield Slice(ids[s:e], part, w.bounds, w.starts, w.ends, w.hash)
+            yield Slice(ids[s:e], tags, part, w.bounds, w.starts, w.ends, w.hash)
         else:
-            yield Slice(ids[s:e], part, off, None, None, BYTE_HASH[part])
+            yield Slice(ids[s:e], tags, part, off, None, None, letters)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,18 +107,13 @@ class Runs:
     hi: np.ndarray  # last window
     anchor: np.ndarray
     hull: np.ndarray
-    place: np.ndarray  # tag of the text and position of lo in the document
-
-
-def tags(s: Slice, roll: Rolling) -> np.ndarray:
-    return (roll.of(s.bounds[:-1], s.bounds[1:]) & np.uint64(0x3FFFFF)).astype(np.int64) << _POS
 
 
 def runs_of(s: Slice, window: int, anchor: int) -> tuple[Runs, Rolling]:
     roll = Rolling(s.symbols)
     n = len(s.symbols)
     empty = np.zeros(0, np.int64)
-    out = Runs(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty)
+    out = Runs(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
     if n < window:
         return out, roll
     h = roll.fixed(anchor)
@@ -124,196 +132,295 @@ def runs_of(s: Slice, window: int, anchor: int) -> tuple[Runs, Rolling]:
     lo, hi, at = valid[a], valid[z - 1], owner[valid[a]]
     own = doc[lo].astype(np.int64)
     hull = mix(roll.of(lo, hi + window) + (at - lo).astype(np.uint64))
-    return Runs(own, lo, hi, h[at], hull, tags(s, roll)[own] | (lo - s.bounds[own])), roll
-
-
-# states of a run whose anchor repeats
-COPY, FIRST, MIXED, HOT = 1, 2, 4, 8
+    return Runs(own, lo, hi, h[at], hull), roll
 
 
 def _emit(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
 def gather(docs: DataFrame, task: Task, n: int) -> DataFrame:
-    """(shard, blob): for each shard, (doc_id, place, state) of the runs whose anchor repeats."""
+    """(shard, blob): for each shard, the anchors of its runs that stand in several places, and whether they
+    are hot."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() % FAN
         for batch in batches:
             shard, parts, base = np.asarray(batch.column("_shard")), [], 0
             for s in sliced(batch, task.words):
                 r, _ = runs_of(s, task.window, task.anchor)
-                parts.append((r.anchor, r.hull, s.ids[r.doc], r.place, shard[base + r.doc]))
+                parts.append((r.anchor, r.hull, shard[base + r.doc]))
                 base += len(s.ids)
             if not parts:
                 continue
-            anchor, hull, doc, place, shard = (np.concatenate(x) for x in zip(*parts, strict=True))
+            anchor, hull, shard = (np.concatenate(x) for x in zip(*parts, strict=True))
             keys, blobs = [], []
-            for key, arrays in split_by((anchor % np.uint64(n)).astype(np.int32), (anchor // np.uint64(n)).astype(np.uint32), hull, doc, place, shard.astype(np.int32)):
+            for key, arrays in split_by((anchor % np.uint64(n)).astype(np.int32), anchor // np.uint64(n), hull.astype(np.uint32), shard.astype(np.int32)):
                 keys.append(key)
-                blobs.append(pack(*arrays))
-            yield _emit({"bucket": (keys, pa.int32()), "blob": (blobs, pa.binary())})
+                blobs.append(pack(*arrays, np.ones(len(arrays[0]), np.uint8)))
+            yield _emit({"bucket": (keys, pa.int32()), "salt": ([salt] * len(keys), pa.int32()), "blob": (blobs, pa.binary())})
+
+    def counted(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        """anchor, hull, shard, times (2 stands for more) of the different ones, by anchor.  Of an anchor's hulls
+        no more than tell that it is hot are told apart."""
+        anchor, hull, shard, times = (np.concatenate(x) for x in zip(*[unpack(b, "u8", "u4", "i4", "u1") for b in blobs], strict=True))
+        order = np.lexsort((hull, anchor))
+        anchor, hull, shard, times = anchor[order], hull[order], shard[order], times[order]
+        no = np.cumsum(_changes(anchor, hull))
+        a, z = runs(anchor)
+        no -= np.repeat(no[a], z - a)  # number of the hull among its anchor's
+        hull = np.where(no > task.hot, np.uint32(0xFFFFFFFF), hull)
+        order = np.lexsort((shard, hull, anchor))
+        anchor, hull, shard, times = anchor[order], hull[order], shard[order], times[order]
+        first = np.flatnonzero(_changes(anchor, hull, shard))
+        total = np.minimum(np.add.reduceat(times.astype(np.int64), first), 2) if len(first) else times
+        return anchor[first], hull[first], shard[first], total.astype(np.uint8)
+
+    def combine(group: pa.Table) -> pa.Table:
+        return pa.table({"bucket": group.column("bucket").slice(0, 1), "blob": pa.array([pack(*counted(group.column("blob").to_pylist()))], pa.binary())})
 
     def settle(group: pa.Table) -> pa.Table:
-        parts = [unpack(b, "u4", "u8", "i8", "i8", "i4") for b in group.column("blob").to_pylist()]
-        anchor, hull, doc, place, shard = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(anchor, kind="stable")
-        sizes = np.diff(np.r_[runs(anchor[order])[0], len(order)])
-        order = order[np.repeat(sizes > 1, sizes)]
-        anchor, hull, doc, place, shard = anchor[order], hull[order], doc[order], place[order], shard[order]
-        order = np.lexsort((place, doc, hull, anchor))
-        anchor, hull, doc, place, shard = anchor[order], hull[order], doc[order], place[order], shard[order]
-        if len(order):
-            # rows that repeat a document count once
-            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (hull[1:] != hull[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
-            shards_of_repeats = np.flatnonzero(~new)
-            keep = new | np.r_[False, shard[1:] != shard[:-1]]
-            first_hull = np.r_[True, (anchor[1:] != anchor[:-1]) | (hull[1:] != hull[:-1])]
-            hs = np.flatnonzero(first_hull)
-            copies = np.add.reduceat(new.astype(np.int64), hs)
-            hull_no = np.cumsum(first_hull) - 1
-            starts, ends = runs(anchor)
-            hulls = np.repeat(hull_no[ends - 1] - hull_no[starts] + 1, ends - starts)
-            # the first place of a hull may have several rows
-            leader = (doc == doc[hs][hull_no]) & (place == place[hs][hull_no])
-            state = COPY * (copies[hull_no] > 1) + FIRST * leader + MIXED * (hulls > 1) + HOT * (hulls > task.hot)
-            keep &= (copies[hull_no] > 1) | (hulls > 1)
-            doc, place, shard, state = doc[keep], place[keep], shard[keep], state[keep].astype(np.uint8)
-            del shards_of_repeats
+        bucket = group.column("bucket")[0].as_py()
+        anchor, hull, shard, times = counted(group.column("blob").to_pylist())
+        a, z = runs(anchor)
+        if len(a):
+            several = np.add.reduceat(times.astype(np.int64), a) > 1
+            hulls = np.add.reduceat(_changes(anchor, hull).astype(np.int64), a)
+            keep = np.repeat(several, z - a)
+            hot = np.repeat(hulls > task.hot, z - a)
+            anchor, shard, hot = anchor[keep], shard[keep], hot[keep]
         else:
-            state = np.zeros(0, np.uint8)
+            hot = np.zeros(0, bool)
+        order = np.lexsort((anchor, shard))
+        kept = order[_changes(shard[order], anchor[order])]
         keys, blobs = [], []
-        for key, arrays in split_by(shard, doc, place, state):
+        for key, arrays in split_by(shard[kept], anchor[kept] * np.uint64(n) + np.uint64(bucket), hot[kept].astype(np.uint8)):
             keys.append(key)
             blobs.append(pack(*arrays))
         return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    found = docs.withColumn("_shard", shard_of(n)).mapInArrow(hashes, "bucket int, blob binary")
-    return found.groupBy("bucket").applyInArrow(settle, "shard int, blob binary")
-
-
-def _lookup(doc: np.ndarray, place: np.ndarray, want_doc: np.ndarray, want_place: np.ndarray) -> np.ndarray:
-    """Index in (doc, place) of each wanted pair, -1 for none."""
-    if not len(doc) or not len(want_doc):
-        return np.full(len(want_doc), -1)
-    pair = np.dtype([("d", "i8"), ("p", "i8")])
-    have, want = np.empty(len(doc), pair), np.empty(len(want_doc), pair)
-    have["d"], have["p"], want["d"], want["p"] = doc, place, want_doc, want_place
-    both = np.concatenate([have, want])
-    order = np.lexsort((np.r_[np.zeros(len(have), np.int8), np.ones(len(want), np.int8)], both["p"], both["d"]))
-    of, last = np.full(len(want), -1), np.where(order < len(have), np.arange(len(order)), -1)
-    last = np.maximum.accumulate(last)
-    for_want = order >= len(have)
-    at = last[for_want]
-    hit = order[np.maximum(at, 0)]
-    same = (at >= 0) & (both[hit] == both[order[for_want]])
-    of[order[for_want] - len(have)] = np.where(same, hit, -1)
-    return of
-
-
-_ROWS = "bucket int, kind int, shard int, doc_id long, place long, asks boolean, anchor long, payload binary"
+    found = docs.withColumn("_shard", shard_of(n)).mapInArrow(hashes, "bucket int, salt int, blob binary")
+    return found.groupBy("bucket", "salt").applyInArrow(combine, "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, "shard int, blob binary")
+
+
+# ---------------------------------------------------------------- what a shard sends
+_ROWS = "bucket int, kind int, shard int, blob binary, texts binary"
 _SPAN, _TEXT, _WINDOWS = 0, 1, 2
 
 
+class Hulls:
+    """Texts of a shard by the key that routes them, each with all its places."""
+
+    def __init__(self, task: Task, n: int):
+        self.task, self.n, self.places = task, n, {}
+
+    def add(self, key: int, text: bytes, place: tuple[int, int, int]) -> None:
+        self.places.setdefault((key, text), []).append(place)
+
+    def rows(self, shard: int) -> Iterator[tuple[int, int, int, bytes, bytes | None]]:
+        """Of each text one, to the bucket of its key; spans that are known already stay with the shard."""
+        task, spans, sent = self.task, [], []
+        for (key, text), places in self.places.items():
+            first, several = min(places), len(places) > 1
+            size = (text.count(b" ") + 1 if task.words else len(text)) if text else 0
+            if several:  # equal texts of this shard
+                spans += [(*p, size) for p in places if task.keep == "none" or p != first]
+            sent.append((key % self.n, key, *first, not (several and task.keep == "none"), several, text))
+        if spans:
+            yield shard, _SPAN, shard, pack_spans(*(np.array(x, t) for x, t in zip(zip(*spans, strict=True), _SPAN_TYPES, strict=True))), None
+        sent.sort(key=lambda r: r[:5])
+        for s, e in zip(*runs(np.array([r[0] for r in sent])), strict=True):
+            part = sent[s:e]
+            key, doc, tag, pos, asks, several = (np.array([r[k] for r in part], t) for k, t in ((1, np.uint64), (2, np.int64), (3, np.uint64), (4, np.int64), (5, np.uint8), (6, np.uint8)))
+            size = np.array([len(r[7]) for r in part], np.int32)
+            yield part[0][0], _TEXT, shard, pack(key, doc, tag, pos, asks, several, size), zstandard.ZstdCompressor(level=3).compress(b"".join([r[7] for r in part]))
+
+
+_SPAN_TYPES = (np.int64, np.uint64, np.int64, np.int64)
+
+
+def pack_spans(*columns: np.ndarray) -> bytes:
+    return pack(*(c.astype(t) for c, t in zip(columns, _SPAN_TYPES, strict=True)))
+
+
+def unpack_spans(blobs: list[bytes]) -> list[np.ndarray]:
+    """doc_id, tag, position, size of spans."""
+    if not blobs:
+        return [np.zeros(0, t) for t in _SPAN_TYPES]
+    return [np.concatenate(x) for x in zip(*[unpack(b, "i8", "u8", "i8", "i8") for b in blobs], strict=True)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({c.split()[0]: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(_ROWS.split(", "), kinds, strict=True))})
+
+
+def each_run(table: pa.Table, anchors: np.ndarray, hot: np.ndarray, task: Task) -> Iterator[tuple[Slice, Runs, Rolling, np.ndarray, np.ndarray]]:
+    """Of each slice: its runs whose anchor is among ``anchors`` and whether that is hot; rows that repeat a
+    document are passed over."""
+    seen: set[tuple[int, int]] = set()
+    order = np.argsort(anchors)
+    anchors, hot = anchors[order], hot[order]
+    for s in sliced(table, task.words):
+        new = np.zeros(len(s.ids), bool)
+        for i, key in enumerate(zip(s.ids.tolist(), s.tags.tolist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                new[i] = True
+        r, roll = runs_of(s, task.window, task.anchor)
+        at = np.minimum(np.searchsorted(anchors, r.anchor), max(len(anchors) - 1, 0))
+        hit = np.flatnonzero((anchors[at] == r.anchor) & new[r.doc]) if len(anchors) and len(r.doc) else np.zeros(0, np.int64)
+        yield s, r, roll, hit, hot[at[hit]] > 0 if len(hit) else np.zeros(0, bool)
+
+
+def _known(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    blobs = right.column("blob").to_pylist() if right.num_rows else []
+    return tuple(np.concatenate(x) for x in zip(*[unpack(b, "u8", "u1") for b in blobs], strict=True)) if blobs else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
 def select(docs: DataFrame, states: DataFrame, task: Task, n: int) -> DataFrame:
-    """Spans that are settled, and the runs or windows that are not, by bucket."""
-    W, all_ = task.window, task.keep == "none"
+    """Hulls by the bucket of their anchor, hashes of the windows of hot ones by theirs, spans by shard."""
+    W = task.window
 
     def work(table: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c.split()[0]: [] for c in _ROWS.split(", ")}
-
-        def row(**x):
-            for k, v in out.items():
-                v.append(x.get(k))
-
-        known = [unpack(b, "i8", "i8", "u1") for b in right.column("blob").to_pylist()] if right.num_rows else []
-        if known and table.num_rows:
-            shard = right.column("shard")[0].as_py()
-            kd, kp, ks = (np.concatenate(x) for x in zip(*known, strict=True))
-            spans, windows, sent = [], [], set()
-            for s in sliced(table, task.words):
-                r, roll = runs_of(s, W, task.anchor)
-                at = _lookup(kd, kp, s.ids[r.doc], r.place)
-                hit = np.flatnonzero(at >= 0)
-                state = ks[at[hit]]
-                settled = (state & COPY > 0) & (all_ | (state & FIRST == 0))
-                for i in hit[settled]:
-                    spans.append((s.ids[r.doc[i]], r.place[i], r.hi[i] - r.lo[i] + W))
-                open_ = (state & MIXED > 0) & (state & FIRST > 0)
-                for i, st, done in zip(hit[open_], state[open_], settled[open_], strict=True):
-                    doc, place = int(s.ids[r.doc[i]]), int(r.place[i])
-                    if st & HOT:
-                        w = np.arange(r.lo[i], r.hi[i] + 1)
-                        windows.append((roll.of(w, w + W), np.full(len(w), doc), place + w - r.lo[i], np.full(len(w), bool(done))))
-                    elif (doc, place) not in sent:
-                        sent.add((doc, place))
-                        a = int(r.anchor[i])
-                        row(bucket=a // n % n, kind=_TEXT, shard=shard, doc_id=doc, place=place, asks=not done, anchor=a - (1 << 63), payload=s.text(int(r.lo[i]), int(r.hi[i]) + W))
-            if windows:
-                h, d, p, done = (np.concatenate(x) for x in zip(*windows, strict=True))
-                order = np.lexsort((p, d, h))
-                h, d, p, done = h[order], d[order], p[order], done[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])]
-                h, d, p, done = h[new], d[new], p[new], done[new]
-                a, z = runs(h)
-                several = z - a > 1
-                inside = np.repeat(several, z - a)  # settled here: all, or all but the first
-                if not all_:
-                    inside[a] = False
-                spans += [(x, y, W) for x, y in zip(d[inside], p[inside], strict=True)]
-                for bucket, arrays in split_by((h[a] % np.uint64(n)).astype(np.int32), h[a], d[a], p[a], (several | done[a]).astype(np.uint8)):
-                    row(bucket=bucket, kind=_WINDOWS, shard=shard, payload=pack(*arrays))
-            if spans:
-                d, p, e = (np.array(x, np.int64) for x in zip(*spans, strict=True))
-                row(bucket=shard, kind=_SPAN, shard=shard, payload=pack(d, p, e))
-        types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], types[c.split()[1]]) for c in _ROWS.split(", ")})
+        anchors, hot = _known(right)
+        if not len(anchors) or not table.num_rows:
+            return _table([])
+        hulls, windows = Hulls(task, n), []
+        for s, r, roll, hit, is_hot in each_run(table, anchors, hot, task):
+            for i, warm in zip(hit.tolist(), is_hot.tolist(), strict=True):
+                d, lo, hi = int(r.doc[i]), int(r.lo[i]), int(r.hi[i])
+                if warm:
+                    w = np.arange(lo, hi + 1)
+                    windows.append(roll.of(w, w + W))
+                else:
+                    hulls.add(int(r.anchor[i]), s.text(lo, hi + W), (int(s.ids[d]), int(s.tags[d]), lo - int(s.bounds[d])))
+        shard = right.column("shard")[0].as_py()
+        rows = list(hulls.rows(shard))
+        if windows:
+            h, times = np.unique(np.concatenate(windows), return_counts=True)
+            for bucket, arrays in split_by((h % np.uint64(n)).astype(np.int32), h, np.minimum(times, 2).astype(np.uint8)):
+                rows.append((bucket, _WINDOWS, shard, pack(*arrays), None))
+        return _table(rows)
 
     return by_shard(docs, states, n, work, _ROWS)
 
 
+def parted(docs: DataFrame, states: DataFrame, rows: DataFrame, task: Task, n: int) -> DataFrame:
+    """The windows of hot runs that stand in several places, as texts by the bucket of their hash."""
+    W = task.window
+
+    def settle(group: pa.Table) -> pa.Table:
+        shards, parts = group.column("shard").to_pylist(), [unpack(b, "u8", "u1") for b in group.column("blob").to_pylist()]
+        h, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        shard = np.repeat(np.array(shards, np.int32), [len(p[0]) for p in parts])
+        order = np.argsort(h, kind="stable")
+        h, times, shard = h[order], times[order], shard[order]
+        a, z = runs(h)
+        keep = np.repeat(np.add.reduceat(times.astype(np.int64), a) > 1, z - a) if len(a) else np.zeros(0, bool)
+        keys, blobs = [], []
+        for key, (own,) in split_by(shard[keep], h[keep]):
+            keys.append(key)
+            blobs.append(pack(own))
+        return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array([None] * len(keys), pa.binary()), "windows": pa.array(blobs, pa.binary())})
+
+    several = rows.filter(F.col("kind") == _WINDOWS).groupBy("bucket").applyInArrow(settle, "shard int, blob binary, windows binary")
+
+    def work(table: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = [unpack(b, "u8")[0] for b in right.column("windows").to_pylist() if b] if right.num_rows else []
+        if not wanted or not table.num_rows:
+            return _table([])
+        wanted = np.sort(np.concatenate(wanted))
+        known = [unpack(b, "u8", "u1") for b in right.column("blob").to_pylist() if b]
+        anchors, hot = (np.concatenate(x) for x in zip(*known, strict=True))
+        hulls = Hulls(task, n)
+        for s, r, roll, hit, is_hot in each_run(table, anchors[hot > 0], hot[hot > 0], task):
+            for i in hit[is_hot].tolist():
+                d, w = int(r.doc[i]), np.arange(r.lo[i], r.hi[i] + 1)
+                h = roll.of(w, w + W)
+                for j in np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h).tolist():
+                    at = int(w[j])
+                    hulls.add(int(h[j]), s.text(at, at + W), (int(s.ids[d]), int(s.tags[d]), at - int(s.bounds[d])))
+        return _table(list(hulls.rows(right.column("shard")[0].as_py())))
+
+    both = states.withColumn("windows", F.lit(None).cast("binary")).unionByName(several)
+    return by_shard(docs, both, n, work, _ROWS)
+
+
+# ---------------------------------------------------------------- what a bucket finds
 def verify(rows: DataFrame, task: Task) -> DataFrame:
-    """(shard, blob): spans (doc_id, place, size), from the settled ones and from each bucket's own."""
+    """(shard, blob): spans, from the settled ones and from each bucket's own."""
     W, all_ = task.window, task.keep == "none"
 
     def work(group: pa.Table) -> pa.Table:
-        kind = np.asarray(group.column("kind"))
-        shard = np.asarray(group.column("shard"))
+        kind, shard = np.asarray(group.column("kind")), np.asarray(group.column("shard"))
+        blobs, packed = group.column("blob").to_pylist(), group.column("texts").to_pylist()
         keys = [int(shard[i]) for i in np.flatnonzero(kind == _SPAN)]
-        blobs = [group.column("payload")[int(i)].as_py() for i in np.flatnonzero(kind == _SPAN)]
-        found: list[tuple[np.ndarray, ...]] = []
-        texts = group.filter(pa.array(kind == _TEXT)).select(["shard", "doc_id", "place", "asks", "anchor", "payload"])
-        if texts.num_rows:
-            texts = texts.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
-            doc, place, home, asks = (np.asarray(texts.column(c)) for c in ("doc_id", "place", "shard", "asks"))
-            payloads = texts.column("payload").to_pylist()
-            places = np.stack([doc, place], axis=1)
-            for s, e in zip(*runs(np.asarray(texts.column("anchor"))), strict=True):
-                for i, mask in zip(range(s, e), task.find(payloads[s:e], places[s:e], task), strict=True):
-                    if asks[i] and mask.any():
-                        at = np.flatnonzero(mask)
-                        found.append((np.full(len(at), home[i]), np.full(len(at), doc[i]), place[i] + at, np.full(len(at), W)))
-        windows = [(int(shard[i]), *unpack(group.column("payload")[int(i)].as_py(), "u8", "i8", "i8", "u1")) for i in np.flatnonzero(kind == _WINDOWS)]
-        if windows:
-            h, d, p, several = (np.concatenate(x) for x in list(zip(*windows, strict=True))[1:])
-            home = np.concatenate([np.full(len(w[1]), w[0]) for w in windows])
-            order = np.lexsort((p, d, h))
-            h, d, p, several, home = h[order], d[order], p[order], several[order], home[order]
-            a, z = runs(h)
-            if all_:
-                repeated = np.repeat((z - a > 1) | (np.add.reduceat(several, a) > 0), z - a)
-            else:
-                repeated = np.ones(len(h), bool)
-                repeated[a] = False
-            found.append((home[repeated], d[repeated], p[repeated], np.full(repeated.sum(), W)))
-        if found:
-            home, d, p, size = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-            for key, arrays in split_by(home, d, p, size):
-                keys.append(key)
-                blobs.append(pack(*arrays))
-        return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    return rows.groupBy("bucket").applyInArrow(work, "shard int, blob binary")
+        out = [blobs[i] for i in np.flatnonzero(kind == _SPAN)]
+        at = np.flatnonzero(kind == _TEXT).tolist()
+        if at:
+            parts = [unpack(blobs[i], "u8", "i8", "u8", "i8", "u1", "u1", "i4") for i in at]
+            key, doc, tag, pos, asks, several, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            home, texts = np.repeat(shard[at], [len(p[0]) for p in parts]), []
+            for i, p in zip(at, parts, strict=True):
+                raw, ends = zstandard.ZstdDecompressor().decompress(packed[i]), np.cumsum(p[6]).tolist()
+                texts += [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+            order = np.lexsort((pos, tag, doc, key))
+            found = []
+            for group_ in _batches(key[order], size[order]):
+                own = order[group_]
+                # different texts, in the order of their places within a key
+                number: dict[tuple[int, bytes], int] = {}
+                of = [number.setdefault((int(key[i]), texts[i]), len(number)) for i in own.tolist()]
+                times = np.bincount(of, 1 + several[own].astype(np.int64), len(number))
+                first = np.zeros(len(own), bool)
+                first[np.unique(of, return_index=True)[1]] = True
+                of_key = np.array([k for k, _ in number], np.uint64)
+                a, z = runs(of_key)
+                open_ = np.repeat(z - a > 1, z - a)  # keys with several texts
+                hulls = [t for (_, t), o in zip(number, open_.tolist(), strict=True) if o]
+                masks = dict(zip(np.flatnonzero(open_).tolist(), task.find(hulls, W), strict=True)) if hulls else {}
+                for j, i in enumerate(own.tolist()):
+                    if not asks[i]:
+                        continue
+                    k = of[j]
+                    if (times[k] > 1) if all_ else not first[j]:
+                        length = texts[i].count(b" ") + 1 if task.words else len(texts[i])
+                        found.append((home[i], doc[i], tag[i], pos[i], length))
+                    elif k in masks:
+                        earlier, later = masks[k]
+                        mask = earlier | later if all_ else earlier
+                        if mask.any():
+                            for x, y in zip(*_stretches(mask), strict=True):
+                                found.append((home[i], doc[i], tag[i], pos[i] + x, y - x + W - 1))
+            if found:
+                home, *spans = (np.array(x) for x in zip(*found, strict=True))
+                for k, arrays in split_by(home.astype(np.int32), *(x.astype(t) for x, t in zip(spans, _SPAN_TYPES, strict=True))):
+                    keys.append(k)
+                    out.append(pack_spans(*arrays))
+        return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    return rows.filter(F.col("kind") != _WINDOWS).groupBy("bucket").applyInArrow(work, "shard int, blob binary")
+
+
+def _batches(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Whole groups of equal keys, about TOGETHER bytes at a time."""
+    a, z = runs(key)
+    total = np.add.reduceat(size.astype(np.int64), a)
+    for s, e in slices(total, TOGETHER):
+        yield np.arange(a[s], z[e - 1])
+
+
+def _stretches(mask: np.ndarray) -> tuple[list[int], list[int]]:
+    edge = np.flatnonzero(np.diff(np.r_[False, mask, False]))
+    return edge[::2].tolist(), edge[1::2].tolist()
 
 
 def apply_spans(docs: DataFrame, spans: DataFrame, task: Task, n: int, emit: Callable[[pa.Table, list[tuple[int, Slice, np.ndarray]]], pa.Table], schema: str) -> DataFrame:
@@ -322,23 +429,19 @@ def apply_spans(docs: DataFrame, spans: DataFrame, task: Task, n: int, emit: Cal
     def work(table: pa.Table, right: pa.Table) -> pa.Table:
         if not table.num_rows:
             return emit(table, [])
-        known = [unpack(b, "i8", "i8", "i8") for b in right.column("blob").to_pylist()] if right.num_rows else []
-        d, p, e = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((p, d))
-        d, p, e = d[order], p[order], e[order]
-        low = (np.int64(1) << _POS) - 1
-        tag = p & ~low
-        new = np.r_[True, (d[1:] != d[:-1]) | (tag[1:] != tag[:-1])] if len(d) else np.zeros(0, bool)
-        first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(d)] if len(d) else np.zeros(0, np.int64)
+        d, tag, p, e = unpack_spans(right.column("blob").to_pylist() if right.num_rows else [])
+        order = np.lexsort((tag, d))
+        d, tag, p, e = d[order], tag[order], p[order], e[order]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (tag[1:] != tag[:-1])]) if len(d) else np.zeros(0, np.int64)
+        of = {key: (a, z) for key, a, z in zip(zip(d[first].tolist(), tag[first].tolist(), strict=True), first.tolist(), [*first[1:].tolist(), len(d)], strict=True)}
         parts, base = [], 0
         for s in sliced(table, task.words):
             removed = np.zeros(len(s.symbols) + 1, np.int32)
-            mine = _lookup(d[first], tag[first], s.ids, tags(s, Rolling(s.symbols))) if len(d) else np.full(len(s.ids), -1)
-            for i in np.flatnonzero(mine >= 0):
-                k = slice(first[mine[i]], last[mine[i]])
-                start = s.bounds[i] + (p[k] & low)
-                np.add.at(removed, start, np.int32(1))
-                np.add.at(removed, start + e[k], np.int32(-1))
+            for i, key in enumerate(zip(s.ids.tolist(), s.tags.tolist(), strict=True)):
+                if (k := of.get(key)) is not None:
+                    start = s.bounds[i] + p[k[0] : k[1]]
+                    np.add.at(removed, start, np.int32(1))
+                    np.add.at(removed, start + e[k[0] : k[1]], np.int32(-1))
             parts.append((base, s, np.cumsum(removed)[:-1] > 0))
             base += len(s.ids)
         return emit(table, parts)
@@ -350,9 +453,11 @@ def remove_repeats(docs: DataFrame, task: Task, emit, schema: str) -> DataFrame:
     """Find the repeated windows of ``docs`` (doc_id, text and more) and let ``emit`` make the result."""
     own = bare(docs)
     n = n_shards(own)
-    states = gather(own, task, n)
-    spans = verify(select(own, states, task, n), task)
-    return apply_spans(docs, spans, task, n, emit, schema)
+    states = checkpoint(gather(own, task, n))
+    rows = checkpoint(select(own, states, task, n))
+    if not rows.filter(F.col("kind") == _WINDOWS).isEmpty():
+        rows = rows.union(parted(own, states, rows, task, n))
+    return apply_spans(docs, verify(rows, task), task, n, emit, schema)
 
 
-__all__ = ["NULL_ID", "Slice", "Task", "remove_repeats", "F"]
+__all__ = ["Slice", "Task", "remove_repeats"]

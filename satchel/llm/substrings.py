@@ -6,38 +6,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from satchel.llm.automaton import SuffixAutomaton
-from satchel.llm.common import bare, ids_column, runs, sha256
+from satchel.llm.common import bare, ids_column, runs, sha256, whole_row
 from satchel.llm.repeats import Slice, Task, remove_repeats
 
 WORDS, BYTES = 20, 200
 
 
 # ---------------------------------------------------------------- operator 1
-def earlier_by_automaton(payloads: list[bytes], places: np.ndarray, task: Task) -> list[np.ndarray]:
-    """Starts of windows that stand earlier in the same reference shard.
+def earlier_by_automaton(hulls: list[bytes], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows that an earlier one of some different texts has too.
 
-    The shard's runs, in order of place, make one suffix automaton whose states know where they first
-    end; each run is then streamed against it, and wherever its matching statistic reaches the window
-    the first occurrence is looked up.
+    The texts, in order of place, make the suffix automaton of a reference shard, whose states know where
+    they first end; each text is then streamed against it, and wherever its matching statistic reaches the
+    window the first occurrence is looked up.
     """
-    texts = [p.split(b" ") for p in payloads]
-    base = np.cumsum([0, *map(len, texts)]).tolist()
-    automaton = SuffixAutomaton()
-    owner: list[int] = []
+    texts = [h.split(b" ") for h in hulls]
+    automaton, owner = SuffixAutomaton(), []
     for k, words in enumerate(texts):
-        automaton.add(words, base[k])
+        automaton.add(words, len(owner))
         owner += [k] * len(words)
-    at = [(d, p) for d, p in places.tolist()]
     out = []
     for k, words in enumerate(texts):
-        mask = np.zeros(len(words), bool)
-        for i, end in automaton.statistics(words, task.window):
-            j = owner[end]
-            doc, place = at[j]
-            mask[i - task.window + 1] = (doc, place + end - base[j]) < (at[k][0], at[k][1] + i)
-        out.append(mask)
+        mask = np.zeros(len(words) - window + 1, bool)
+        for i, end in automaton.statistics(words, window):
+            mask[i - window + 1] = owner[end] < k
+        out.append((mask, np.zeros(len(mask), bool)))
     return out
 
 
@@ -56,14 +52,16 @@ def _kept_words(s: Slice, i: int, removed: np.ndarray) -> bytes:
 
 def substring_dedup(docs: DataFrame, window: int = WORDS) -> DataFrame:
     """All rows with ``text`` without the words of windows that start earlier elsewhere, and
-    ``n_removed``.
+    ``n_removed``, in place of a column of that name.
 
     Kept words are joined by one space where any was removed; other texts stay as they are, null too.
     Earlier means a smaller doc_id, or the same document and an earlier start; rows that repeat doc_id
     and words are one document.  A text of fewer than ``window`` words loses nothing.
     """
     docs = docs.drop("n_removed")
-    names = docs.columns
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole_row(docs))
+    names = ["doc_id", "text", "row"]
+    schema = StructType([*inner.schema.fields, StructField("n_removed", LongType())])
 
     def emit(table: pa.Table, parts: list) -> pa.Table:
         texts, counts = [], []
@@ -76,8 +74,8 @@ def substring_dedup(docs: DataFrame, window: int = WORDS) -> DataFrame:
         kept = {"text": pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64())}
         return pa.table({c: kept.get(c) if c in kept else table.column(c) if table.num_rows else pa.nulls(0) for c in [*names, "n_removed"]})
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_removed long"
-    return remove_repeats(docs, word_task(window), emit, schema)
+    found = remove_repeats(inner, word_task(window), emit, schema)
+    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "n_removed")
 
 
 def substring_dedup_query(docs: DataFrame) -> DataFrame:
@@ -97,22 +95,39 @@ def substring_dedup_query(docs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- operator 6
-def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
-    """Rank, by their first ``size`` bytes, of the suffixes that have that many: prefix doubling."""
-    n = len(data)
-    width = 1
-    while width * 2 <= min(size, 8):
-        width *= 2
-    word = np.zeros(n - width + 1, np.uint64)
-    for j in range(width):
-        word = word << np.uint64(8) | data[j : n - width + 1 + j]
-    rank = _ranked(word)
-    while width < size:
-        step = min(width, size - width)
-        m = len(rank) - step
-        rank = _ranked(rank[:m].astype(np.uint64) * np.uint64(int(rank.max(initial=0)) + 1) + rank[step:].astype(np.uint64))
-        width += step
-    return rank
+class Suffixes:
+    """The suffixes of some bytes, told apart by their first ``size`` bytes: prefix doubling.
+
+    levels: (width, a number for each suffix, equal where the first ``width`` bytes are); order is that of
+    the last one.
+    """
+
+    def __init__(self, data: np.ndarray, size: int):
+        n, self.size = len(data), size
+        value = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
+        self.levels: list[tuple[int, np.ndarray]] = [(1, value[:n])]
+        width = 1
+        while width * 2 <= min(size, 8):
+            wide = np.r_[self.levels[-1][1], np.zeros(width, np.uint64)]
+            self.levels.append((width * 2, wide[:n] << np.uint64(8 * width) | wide[width : n + width]))
+            width *= 2
+        rank = _ranked(self.levels[-1][1])
+        while width < size:
+            step = min(width, size - width)
+            after = np.r_[rank[step:] + 1, np.zeros(min(step, n), np.int64)][:n]
+            rank = _ranked(rank.astype(np.uint64) * np.uint64(int(rank.max(initial=0)) + 2) + after.astype(np.uint64))
+            width += step
+            self.levels.append((width, rank))
+        self.rank = rank
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of suffixes that have ``size`` bytes, ``size`` at most."""
+        size = np.zeros(len(i), np.int64)
+        for width, number in reversed(self.levels):
+            fits = size + width <= self.size
+            a, b = np.where(fits, i + size, 0), np.where(fits, j + size, 0)
+            size += width * (fits & (number[a] == number[b]))
+        return size
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
@@ -122,41 +137,49 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def previous_factors(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix has a match of full length at a smaller and at a larger place.
+def nearest_smaller(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each element the nearest smaller ones before and after it, -1 for none."""
+
+    def before(x: np.ndarray) -> np.ndarray:
+        at = np.arange(-1, len(x) - 1)
+        open_ = np.arange(len(x))
+        while len(open_):
+            # what lies between an element and its candidate is larger; so is what lies before that up to its own
+            open_ = open_[at[open_] >= 0]
+            open_ = open_[x[at[open_]] >= x[open_]]
+            at[open_] = at[at[open_]]
+        return at
+
+    after = before(x[::-1])[::-1]
+    return before(x), np.where(after < 0, -1, len(x) - 1 - after)
 
-    In suffix order the neighbours whose common prefix reaches the length stand together; a suffix's
-    longest previous factor is that long if the previous or next smaller place is among them.
+
+def longest_previous_factors(suffixes: Suffixes, starts: np.ndarray, mirrored: bool = False) -> np.ndarray:
+    """For each of ``starts`` the length, up to the suffixes' size, of its longest match at an earlier start
+    (mirrored: at a later one).
+
+    In suffix order the longest match that begins earlier is with the previous or the next suffix whose
+    position is smaller.
     """
-    n = len(rank)
-    order = np.lexsort((np.arange(n), rank))
-    r, p = rank[order], place[order]
-    if not n:
-        return np.zeros(0, bool), np.zeros(0, bool)
-    far = np.int64(n + 1)
-    _, dense = np.unique(p, return_inverse=True)
-    left = np.minimum.accumulate(dense - r * far)  # starts anew in each run, as ranks rise
-    right = np.minimum.accumulate((dense + r * far)[::-1])[::-1]
-    smallest = np.minimum(left + r * far, right - r * far)
-    left = np.maximum.accumulate(dense + r * far)
-    right = np.maximum.accumulate((dense - r * far)[::-1])[::-1]
-    largest = np.maximum(left - r * far, right + r * far)
-    earlier, later = np.empty(n, bool), np.empty(n, bool)
-    earlier[order], later[order] = smallest < dense, largest > dense
-    return earlier, later
-
-
-def repeated_by_suffix_array(payloads: list[bytes], places: np.ndarray, task: Task) -> list[np.ndarray]:
-    """Starts of windows with an earlier match, or with any for keep="none"."""
-    sizes = np.array([len(p) for p in payloads])
+    order = np.lexsort((starts, suffixes.rank[starts]))
+    place = starts[order]
+    out = np.zeros(len(starts), np.int64)
+    for near in nearest_smaller(-place if mirrored else place):
+        has = np.flatnonzero(near >= 0)
+        out[order[has]] = np.maximum(out[order[has]], suffixes.common(place[has], place[near[has]]))
+    return out
+
+
+def repeated_by_suffix_array(hulls: list[bytes], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of some different texts, in order of place, that have a match at an earlier and at a later one."""
+    sizes = np.array([len(h) for h in hulls])
     base = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(payloads), np.uint8)
-    rank = suffix_ranks(data, task.window)
-    starts = np.concatenate([np.arange(b, b + n - task.window + 1) for b, n in zip(base, sizes, strict=True)])
-    # payloads come in the order of their places and own their windows, so positions keep that order
-    earlier, later = previous_factors(rank[starts], starts)
-    hit = earlier | later if task.keep == "none" else earlier
-    return np.split(hit, np.cumsum(sizes - task.window + 1)[:-1])
+    counts = sizes - window + 1
+    starts = np.repeat(base, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    suffixes = Suffixes(np.frombuffer(b"".join(hulls), np.uint8), window)
+    cuts = np.cumsum(counts)[:-1]
+    earlier, later = (np.split(longest_previous_factors(suffixes, starts, m) >= window, cuts) for m in (False, True))
+    return list(zip(earlier, later, strict=True))
 
 
 def byte_task(window: int = BYTES, keep: str = "none") -> Task:

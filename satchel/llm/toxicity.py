@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, mix, pack, slices, text_buffer, unpack
+from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, mix, pack, slices, text_buffer, unpack, whole_row
 
 BITS = 18
 #: Labelled documents that a model is fitted on at most, chosen by a hash of their ids.
@@ -186,11 +186,12 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` to the documents, in place of a column of that name: 0 where a text is null or has no
     word."""
     docs = docs.drop("score")
+    inner = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs))
 
     def emit(batch, part, words, sentence, p, doc, model):
         return batch.append_column("score", pa.array(model.documents(p, doc, batch.num_rows), pa.float64()))
 
-    return _scored(docs, model, StructType([*docs.schema.fields, StructField("score", DoubleType())]), emit)
+    return _scored(inner, model, StructType([*inner.schema.fields, StructField("score", DoubleType())]), emit).select("row.*", "score")
 
 
 def toxic_sentences(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
