@@ -5,9 +5,9 @@ they name.  Each decision is predicted in three contexts: none, the token before
 with the input) and the class of the shortest of the last tokens, which tells languages apart.  A
 predictor's logit comes from the counts of both outcomes in its context at the decision's node.
 
-* Mixing: the logits are added with weights.  A gate, how often the context of the token before has been
-  seen at the node, selects where they start; from there they follow each document as it is read.
-* Refinement: by how sure the mixed logit is, it is scaled by factors that follow the document too.
+* Mixing: the logits are added with weights.  A gate, how often the token before has been seen, selects
+  where they start; from there they follow each document as it is read.
+* Refinement: the mixed logit of each decision is scaled by a factor that follows the document too.
 * Within the bucket a token's share is its count there, drawn towards its count after the token before.
 
 Counts come from all training documents.  Each task sends the tokens of its partition once; each shard
@@ -37,10 +37,11 @@ MANY = 4096
 RECENT = 8
 BLOCK = 64  # tokens between two updates of a document's weights
 RATE = 0.01
-#: Weights at a document's start (no context, token before, class), by the gate: the binary digits of the
-#: count of the token before at the node, 3 at most.
-START = ((0.1, 0.3, 0.9), (0.1, 0.3, 0.8), (0.1, 0.4, 0.7), (0.1, 0.7, 0.5))
-SURE = 6  # classes of the refinement, by the size of the mixed logit
+STEP = 0.4  # of the logits that go back to the shards
+#: Weights at a document's start (no context, token before, class), by the gate: how many of GATES the
+#: count of the token before reaches.
+GATES = np.array([1, 4, 64])
+START = ((0.1, 0.0, 0.9), (0.1, 0.3, 0.8), (0.1, 0.4, 0.7), (0.1, 0.7, 0.5))
 REFINE = 0.002
 SLICE = 1 << 19
 PRIOR = 1.0  # tokens that the share within a bucket counts for in a context
@@ -146,20 +147,30 @@ def node_counts(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts along a path seldom fall: a byte for what each loses, the last count, and the whole numbers
-    where they exceed that."""
-    lost = np.concatenate([counts[:-1] - counts[1:], counts[-1:]])
-    small, large = pack(np.minimum(lost, 255).astype(np.uint8)), pack(lost[lost >= 255])
-    return len(small).to_bytes(8, "little") + small + large
+def odds(counts: np.ndarray) -> np.ndarray:
+    """Logits of the outcomes taken, from counts of the nodes on the way."""
+    taken = counts[1:].astype(np.float32)
+    return np.log((taken + np.float32(0.4)) / ((counts[:-1] - counts[1:]).astype(np.float32) + np.float32(0.4)))
 
 
-def unpack_counts(blob: bytes) -> np.ndarray:
+def pack_counts(counts: np.ndarray) -> bytes:
+    """What a shard gets of its pairs: the logits of the decisions in steps of STEP (rounding is the same for
+    either outcome, so they still add up to 1), the gate, and the counts of the bucket and of the token,
+    a byte each and whole where they exceed it."""
+    logits = np.clip(np.round(odds(counts[: BITS + 1]) / np.float32(STEP)), -127, 127).astype(np.int8)
+    gate = np.searchsorted(GATES, counts[:1], "right").astype(np.uint8)
+    last = counts[BITS:]
+    small = pack(np.concatenate([logits.view(np.uint8), gate, np.minimum(last, 255).astype(np.uint8)]))
+    return len(small).to_bytes(8, "little") + small + pack(last[last >= 255])
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits in steps, gates, counts of bucket and token)"""
     cut = 8 + int.from_bytes(blob[:8], "little")
-    lost = unpack(blob[8:cut], "u1")[0].astype(np.int64)
-    lost[lost == 255] = unpack(blob[cut:], "i8")[0]
-    lost = lost.reshape(NODES, -1)
-    return np.cumsum(lost[::-1], axis=0)[::-1]
+    rows = unpack(blob[8:cut], "u1")[0].reshape(BITS + 3, -1)
+    last = rows[BITS + 1 :].astype(np.int64)
+    last[last == 255] = unpack(blob[cut:], "i8")[0]
+    return rows[:BITS].view(np.int8), rows[BITS], last
 
 
 def each_slice(table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -318,12 +329,6 @@ def counts_by_shard(docs: DataFrame, layout: Layout, frequent: np.ndarray) -> Da
 
 
 # ---------------------------------------------------------------- scoring
-def odds(counts: np.ndarray) -> np.ndarray:
-    """Logits of the outcomes taken, from counts of the nodes on the way."""
-    taken = counts[1:].astype(np.float32)
-    return np.log((taken + np.float32(0.4)) / ((counts[:-1] - counts[1:]).astype(np.float32) + np.float32(0.4)))
-
-
 def paths(tokens: np.ndarray) -> np.ndarray:
     """Of each code, the counts of the nodes on the way to it, along the last axis of ``tokens``."""
     size = tokens.shape[-1]
@@ -343,9 +348,8 @@ class Mixer:
     def code_bits(self, code: np.ndarray, at: np.ndarray, own: np.ndarray, before: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Bits that each token's decisions take.
 
-        code, own (class): of each token; before, gate: of each decision and token, the logit after the
-        token before and the gate of its weights.  Blocks of a document are read in turn, those of all
-        documents side by side.
+        code, own (class), gate: of each token; before: of each decision and token, the logit after the
+        token before, in steps.  Blocks of a document are read in turn, those of all documents side by side.
         """
         counts = np.diff(at)
         blocks = -(-counts // BLOCK)
@@ -356,49 +360,45 @@ class Mixer:
         token = (at[doc] + step * BLOCK)[:, None] + np.arange(BLOCK)
         real = token < at[doc + 1][:, None]
         token[~real] = 0
-        codes, cell = code[token], (own[token] << BITS) | code[token]
-        start = np.array(START, np.float32).T
+        codes, cell, start = code[token], (own[token] << BITS) | code[token], np.array(START, np.float32).T[:, gate[token]]
+        x = np.empty((3, BITS, *token.shape), np.float32)
+        for b in range(BITS):
+            np.take(self.table[b], codes, out=x[0, b])
+            x[1, b] = before[b][token]
+            np.take(self.classes[b], cell, out=x[2, b])
+        x[1] *= np.float32(STEP)
+        x *= real
         drift = np.zeros((3, BITS, len(counts)), np.float32)  # of the weights, since the document's start
-        scale = np.ones((len(counts), SURE), np.float32)
+        scale = np.ones((BITS, len(counts)), np.float32)
         loss = np.empty(token.shape, np.float32)
         for a, z in zip(*runs(step), strict=True):
-            d, at_ = doc[a:z], token[a:z]
-            x = np.stack([self.table[:, codes[a:z]], before[:, at_], self.classes[:, cell[a:z]]])
-            x *= real[a:z]
-            g = gate[:, at_]
-            logit = np.zeros(x.shape[1:], np.float32)
-            for k in range(3):
-                logit += (start[k][g] + drift[k][:, d, None]) * x[k]
-            sure = np.minimum(np.abs(logit), SURE - 1).astype(np.int64)
-            by = d[:, None] * SURE + sure
-            refined = np.clip(scale.reshape(-1)[by] * logit, -30, 30)
-            odds = np.exp(-refined)
+            own_x, d = x[:, :, a:z], doc[a:z]
+            w = drift[:, :, d]
+            mixed = (start[0, a:z] + w[0, ..., None]) * own_x[0]
+            for k in (1, 2):
+                mixed += (start[k, a:z] + w[k, ..., None]) * own_x[k]
+            s = scale[:, d]
+            odds = mixed * -s[..., None]
+            np.exp(np.minimum(odds, np.float32(30), out=odds), out=odds)
             loss[a:z] = np.log1p(odds).sum(axis=0)
-            missed = odds / (1 + odds)  # 1 - what the outcome was given
-            np.add.at(drift, (slice(None), slice(None), d), np.float32(RATE) * np.einsum("kbnj,bnj->kbn", x, missed))
-            pull = np.bincount(by.reshape(-1), (missed * logit).reshape(-1), scale.size)
-            scale += np.float32(REFINE) * pull.reshape(scale.shape).astype(np.float32)
-            np.clip(scale, 0.25, 4, out=scale)
+            odds /= 1 + odds  # 1 - what the outcome was given
+            drift[:, :, d] = w + np.float32(RATE) * np.einsum("kbnj,bnj->kbn", own_x, odds)
+            scale[:, d] = np.clip(s + np.float32(REFINE) * np.einsum("bnj,bnj->bn", mixed, odds), 0.25, 4)
         bits = np.empty(len(code), np.float32)
         bits[token[real]] = loss[real]
         return bits / np.float32(np.log(2))
 
-    def log10(self, h: np.ndarray, at: np.ndarray, own: np.ndarray, often: np.ndarray, count: np.ndarray, place: np.ndarray, nodes: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    def log10(self, h: np.ndarray, at: np.ndarray, own: np.ndarray, often: np.ndarray, count: np.ndarray, place: np.ndarray, logits: np.ndarray, gate: np.ndarray, last: np.ndarray) -> np.ndarray:
         code = (h >> np.uint64(64 - BITS)).astype(np.int64)
         second = place[: len(h)]
         first = second.copy()
         first[often] = place[len(h) :]
-        before, gate = np.empty((BITS, len(h)), np.float32), np.empty((BITS, len(h)), np.int8)
-        for b in range(BITS):
-            if b < HALF:
-                level, at_ = b, first
-            else:  # after a frequent token the second half has a slot of its own
-                level, at_ = np.where(often, b - HALF, b), second
-            before[b] = logits[level, at_]
-            gate[b] = np.minimum(np.frexp(nodes[level, at_].astype(np.float32))[1], len(START) - 1)
+        before = np.concatenate([logits[:HALF, first], logits[HALF:, second]])
+        # after a frequent token the second half has a slot of its own
+        before[HALF:, often] = logits[:HALF, second[often]]
         share = (count + 0.5) / self.in_bucket[code]
-        share = (nodes[BITS + 1, second] + PRIOR * share) / (nodes[BITS, second] + PRIOR)
-        return np.log10(share) - self.code_bits(code, at, own, before, gate) * np.log10(2)
+        share = (last[1, second] + PRIOR * share) / (last[0, second] + PRIOR)
+        return np.log10(share) - self.code_bits(code, at, own, before, gate[first]) * np.log10(2)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -428,13 +428,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         for bucket, (where,) in split_by((shard.kinds % np.uint64(n)).astype(np.int32), np.arange(len(shard.kinds))):
             c[where] = unpack(back[bucket], "i8")[0]
         back = dict(zip(right.column("bucket").to_pylist(), right.column("pairs").to_pylist(), strict=True))
-        nodes = np.concatenate([unpack_counts(back[bucket]) for bucket in np.unique(layout.bucket(shard.pairs)).tolist()], axis=1)
-        logits, places, count = odds(nodes[: BITS + 1]), shard.places(), c[shard.kind]
+        got = [unpack_counts(back[bucket]) for bucket in np.unique(layout.bucket(shard.pairs)).tolist()]
+        model_of = [np.concatenate(x, axis=-1) for x in zip(*got, strict=True)]
+        places, count = shard.places(), c[shard.kind]
         t = k = 0
         for _, _, h, at, own, often in shard.parts:
             has, place = count[t : t + len(h)], places[k : k + len(h) + int(often.sum())]
             t, k = t + len(h), k + len(place)
-            sums = [np.add.reduceat(x, at[:-1]) for x in ((has > 0).astype(np.int64), np.log10(has + 0.5) - floor, model.log10(h, at, own, often, has, place, nodes, logits))]
+            sums = [np.add.reduceat(x, at[:-1]) for x in ((has > 0).astype(np.int64), np.log10(has + 0.5) - floor, model.log10(h, at, own, often, has, place, *model_of))]
             for column, x in zip(out, (np.diff(at), *sums), strict=True):
                 column += x.tolist()
         bits = np.array(out[3]) / -np.log10(2)

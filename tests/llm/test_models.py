@@ -27,22 +27,27 @@ def test_lm(spark):
     assert mixing.lm_scores(frame(spark, rows).filter("doc_id > 9999")).count() == 0
 
 
-def test_lm_contexts_are_exact(spark, monkeypatch):
-    """Scores from the counts of each context by itself, over several shards."""
+@pytest.mark.parametrize("many", [mixing.MANY, 30])
+def test_lm_contexts_are_exact(spark, monkeypatch, many):
+    """Scores from the counts of each context by itself, over several shards, parted or not."""
     monkeypatch.setattr(mixing, "n_shards", lambda docs: 7)
+    monkeypatch.setattr(mixing, "MANY", many)
     rows = documents()
     count, nodes, types, read = Counter(), Counter(), set(), []
     for i, t in rows:
         raw = lower(t or "").encode()
-        h, _, _ = mixing.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        h, at, size = mixing.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         words = raw.split()
         assert len(h) == len(words) + 1
-        own = []
+        of = {}
+        for k, x in enumerate(words):
+            of[x] = int(h[k])
+        own, number = [], lambda x: int(mixing.mix(np.array([x], np.uint64) ^ np.uint64(0x51ED270B))[0]) % mixing.CLASSES
         for k, x in enumerate(h.tolist()):
             last = range(max(0, k - mixing.RECENT), k)
-            around = (0, words[k - 1] if k else b"", words[min(last, key=lambda j: (min(len(words[j]), 255), -j))] if k else b"")
+            around = ("", words[k - 1] if k else b"", number(of[words[min(last, key=lambda j: (min(len(words[j]), 255), -j))]] if k else 0))
             path = [x >> (64 - b) for b in range(mixing.BITS + 1)]
-            own.append((x, path, [(c, w) for c, w in enumerate(around)]))
+            own.append((x, path, list(enumerate(around))))
             if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
                 count[x] += 1
                 types.add(x)
@@ -55,15 +60,14 @@ def test_lm_contexts_are_exact(spark, monkeypatch):
             continue  # its weights change
         score = 0.0
         for x, path, around in own:
+            weights = mixing.START[sum(nodes[around[1], 0, 0] >= g for g in mixing.GATES)]
             for b in range(mixing.BITS):
-                now, all_ = ([nodes[c, d, path[d]] for c in around] for d in (b + 1, b))
-                logit = sum(w * math.log((n + 0.4) / (a - n + 0.4)) for w, n, a in zip(mixing.START, now, all_, strict=True))
-                score -= math.log10(1 + math.exp(-logit))
+                logits = [math.log((nodes[c, b + 1, path[b + 1]] + 0.4) / (nodes[c, b, path[b]] - nodes[c, b + 1, path[b + 1]] + 0.4)) for c in around]
+                logits[1] = round(logits[1] / mixing.STEP) * mixing.STEP
+                score -= math.log10(1 + math.exp(-sum(w * z for w, z in zip(weights, logits, strict=True))))
             code = path[-1]
             share = (count[x] + 0.5) / (nodes[around[0], mixing.BITS, code] + 0.5 * (sum(y >> (64 - mixing.BITS) == code for y in types) + 1))
-            for c in (around[2], around[1]):
-                share = (nodes[c, x] + mixing.PRIOR * share) / (nodes[c, mixing.BITS, code] + mixing.PRIOR)
-            score += math.log10(share)
+            score += math.log10((nodes[around[1], x] + mixing.PRIOR * share) / (nodes[around[1], mixing.BITS, code] + mixing.PRIOR))
         expected.append((str(i), len(own), score))
     found = sorted((str(r.doc_id), r.n_tokens, r.score) for r in mixing.lm_scores(frame(spark, rows)).collect() if r.n_tokens <= mixing.BLOCK)
     assert len(found) == len(expected) > 20
@@ -72,8 +76,21 @@ def test_lm_contexts_are_exact(spark, monkeypatch):
 
 
 def test_lm_counts_beyond_a_byte():
-    counts = np.array([[0, 254, 255, 256, 1 << 40]] * (mixing.HALF + 2))
-    assert (mixing.unpack_counts(mixing.pack_counts(counts)) == counts).all()
+    counts = np.cumsum(np.array([[0, 254, 255, 256, 1 << 40]] * mixing.NODES), axis=0)[::-1]
+    logits, gate, last = mixing.unpack_counts(mixing.pack_counts(counts))
+    assert (last == counts[mixing.BITS :]).all() and gate.tolist() == [0, 3, 3, 3, 3]
+    assert np.abs(logits * mixing.STEP - mixing.odds(counts[: mixing.BITS + 1])).max() <= mixing.STEP / 2 + 1e-3
+
+
+def test_lm_decisions_add_up_to_one():
+    rng = np.random.default_rng(8)
+    codes = np.arange(1 << mixing.BITS)
+    some = lambda *size: rng.integers(0, 9, size) * (rng.random(size) < 0.3)
+    model = mixing.Mixer(some(len(codes)), some(len(codes)), some(mixing.CLASSES, len(codes)))
+    key = mixing.Layout(5).key(np.zeros(len(codes), np.uint64), codes.astype(np.uint64), np.zeros(len(codes), np.uint64))
+    logits, gate, _ = mixing.unpack_counts(mixing.pack_counts(mixing.node_counts(key, some(len(codes)))))
+    bits = model.code_bits(codes, np.arange(len(codes) + 1), np.full(len(codes), 3), logits, gate)
+    assert (2.0 ** -bits.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
