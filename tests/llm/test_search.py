@@ -128,3 +128,14 @@ def test_license_notices_have_their_own_labels():
     for label, texts in licenses.TEMPLATES.items():
         assert all({s[0] for s in scanner.scan(t.encode()).spans} == {label} for t in texts)
     assert {"isc", "mpl", "unlicense", "zlib"} <= set(licenses.TEMPLATES)
+    # a whole licence with some words changed and its notice left out
+    words = licenses.TEXTS["isc"].split()[30:]
+    words[10] = words[40] = "changed"
+    assert {s[0] for s in scanner.scan(" ".join(words).encode()).spans} == set()
+    words = licenses.TEXTS["zlib"].replace("held liable", "held in any way liable").split()
+    words[60] = "changed"
+    assert {s[0] for s in scanner.scan(" ".join(words).encode()).spans} == {"zlib"}
+
+
+def test_license_scan_of_nothing(spark):
+    assert got(licenses.license_scan(frame(spark, [(1, "x")]).filter("doc_id > 1"))) == []
