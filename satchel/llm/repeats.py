@@ -10,9 +10,9 @@ that share an anchor; a run's hull is the text of all its windows.
    its first place, to the anchor's bucket.  That is a reference shard: its hulls, in the order of
    their places, are what the operator's own method (a suffix automaton, a suffix array) is made of, and
    all of them are read against it.  Hulls that are equal across shards, by their bytes, are read once.
-3. An anchor with more than ``hot`` different hulls is parted: its runs are taken window by window.  Hashes
-   of the windows route once more, and of those that stand in several shards each shard sends one text to
-   the bucket of that window.
+3. An anchor with more than ``hot`` different hulls is parted before step 2: its runs are taken window by
+   window.  Hashes of the windows route once more, and of those that stand in several places each shard
+   sends one text to the bucket of that window.
 4. Spans found go back to their documents.
 
 Hashes only choose where texts meet; texts decide.  A bucket gets at most one hull of a kind from a
@@ -28,7 +28,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +37,8 @@ from satchel.plans.shared import checkpoint
 
 _PLACE = 24  # bits of a position within a slice
 SLICE = 1 << 19
-#: Groups in which the hashes of a bucket are put together before they meet.
-FAN = 8
+#: Places of a filter that tells which anchors may be hot.
+FILTER = 1 << 24
 #: Symbols of the hulls that one automaton or suffix array is made of, about.
 TOGETHER = 1 << 18
 
@@ -146,80 +145,109 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def gather(docs: DataFrame, task: Task, n: int) -> DataFrame:
-    """(shard, blob): for each shard, the anchors of its runs that stand in several places, and whether they
-    are hot."""
+def routes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash as its bucket of n, in the upper half, and 32 bits more."""
+    return (h % np.uint64(n)) << np.uint64(32) | (h // np.uint64(n)) & np.uint64(0xFFFFFFFF)
+
+
+def _route_table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(bucket, blob) of routes, with a number and the shard of each; equal ones once, times 2 for more."""
+    route, hull, shard = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((shard, hull, route))
+    route, hull, shard = route[order], hull[order], shard[order]
+    first = np.flatnonzero(_changes(route, hull, shard))
+    times = np.minimum(np.diff(np.r_[first, len(route)]), 2).astype(np.uint8)
+    keys, blobs = [], []
+    for key, arrays in split_by((route[first] >> np.uint64(32)).astype(np.int32), route[first].astype(np.uint32), hull[first], shard[first], times):
+        keys.append(key)
+        blobs.append(pack(*arrays))
+    return _emit({"bucket": (keys, pa.int32()), "blob": (blobs, pa.binary())})
+
+
+def gather(docs: DataFrame, task: Task, n: int, by_window: Callable | None = None) -> DataFrame:
+    """(shard, blob): for each shard, the routes of its anchors that stand in several places, and whether they
+    are hot; those that are, once more for shard -1.  by_window: a filter of anchors, of which the windows are
+    taken in the place of anchors."""
+    W = task.window
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = TaskContext.get().partitionId() % FAN
         for batch in batches:
-            shard, parts, base = np.asarray(batch.column("_shard")), [], 0
+            shard, parts, base = np.asarray(batch.column("_shard")).astype(np.int32), [], 0
             for s in sliced(batch, task.words):
-                r, _ = runs_of(s, task.window, task.anchor)
-                parts.append((r.anchor, r.hull, shard[base + r.doc]))
+                r, roll = runs_of(s, W, task.anchor)
+                if by_window is None:
+                    parts.append((routes(r.anchor, n), r.hull.astype(np.uint32), shard[base + r.doc]))
+                else:
+                    i = np.flatnonzero(by_window(routes(r.anchor, n)))
+                    w = _ranges(r.lo[i], r.hi[i] + 1)
+                    parts.append((routes(roll.of(w, w + W), n), np.zeros(len(w), np.uint32), shard[base + np.repeat(r.doc[i], r.hi[i] + 1 - r.lo[i])]))
                 base += len(s.ids)
-            if not parts:
-                continue
-            anchor, hull, shard = (np.concatenate(x) for x in zip(*parts, strict=True))
-            keys, blobs = [], []
-            for key, arrays in split_by((anchor % np.uint64(n)).astype(np.int32), anchor // np.uint64(n), hull.astype(np.uint32), shard.astype(np.int32)):
-                keys.append(key)
-                blobs.append(pack(*arrays, np.ones(len(arrays[0]), np.uint8)))
-            yield _emit({"bucket": (keys, pa.int32()), "salt": ([salt] * len(keys), pa.int32()), "blob": (blobs, pa.binary())})
-
-    def counted(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-        """anchor, hull, shard, times (2 stands for more) of the different ones, by anchor.  Of an anchor's hulls
-        no more than tell that it is hot are told apart."""
-        anchor, hull, shard, times = (np.concatenate(x) for x in zip(*[unpack(b, "u8", "u4", "i4", "u1") for b in blobs], strict=True))
-        order = np.lexsort((hull, anchor))
-        anchor, hull, shard, times = anchor[order], hull[order], shard[order], times[order]
-        no = np.cumsum(_changes(anchor, hull))
-        a, z = runs(anchor)
-        no -= np.repeat(no[a], z - a)  # number of the hull among its anchor's
-        hull = np.where(no > task.hot, np.uint32(0xFFFFFFFF), hull)
-        order = np.lexsort((shard, hull, anchor))
-        anchor, hull, shard, times = anchor[order], hull[order], shard[order], times[order]
-        first = np.flatnonzero(_changes(anchor, hull, shard))
-        total = np.minimum(np.add.reduceat(times.astype(np.int64), first), 2) if len(first) else times
-        return anchor[first], hull[first], shard[first], total.astype(np.uint8)
-
-    def combine(group: pa.Table) -> pa.Table:
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "blob": pa.array([pack(*counted(group.column("blob").to_pylist()))], pa.binary())})
+            if parts:
+                yield _route_table(parts)
 
     def settle(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        anchor, hull, shard, times = counted(group.column("blob").to_pylist())
-        a, z = runs(anchor)
-        if len(a):
-            several = np.add.reduceat(times.astype(np.int64), a) > 1
-            hulls = np.add.reduceat(_changes(anchor, hull).astype(np.int64), a)
-            keep = np.repeat(several, z - a)
-            hot = np.repeat(hulls > task.hot, z - a)
-            anchor, shard, hot = anchor[keep], shard[keep], hot[keep]
-        else:
-            hot = np.zeros(0, bool)
-        order = np.lexsort((anchor, shard))
-        kept = order[_changes(shard[order], anchor[order])]
+        bucket = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(32)
+        route, hull, shard, times = (np.concatenate(x) for x in zip(*[unpack(b, "u4", "u4", "i4", "u1") for b in group.column("blob").to_pylist()], strict=True))
+        order = np.lexsort((hull, route))
+        route, hull, shard, times = route[order], hull[order], shard[order], times[order]
+        a, z = runs(route)
+        several = np.add.reduceat(times.astype(np.int64), a) > 1
+        hot = np.add.reduceat(_changes(route, hull).astype(np.int64), a) > task.hot
+        keep, is_hot = np.repeat(several, z - a), np.repeat(hot, z - a)
+        route, shard, is_hot = route[keep], shard[keep], is_hot[keep]
+        order = np.lexsort((route, shard))
+        kept = order[_changes(shard[order], route[order])]
         keys, blobs = [], []
-        for key, arrays in split_by(shard[kept], anchor[kept] * np.uint64(n) + np.uint64(bucket), hot[kept].astype(np.uint8)):
+        for key, arrays in split_by(shard[kept], route[kept] | bucket, is_hot[kept].astype(np.uint8)):
             keys.append(key)
             blobs.append(pack(*arrays))
+        if hot.any():
+            of_hot = np.unique(route[is_hot]) | bucket
+            keys.append(-1)
+            blobs.append(pack(of_hot, np.ones(len(of_hot), np.uint8)))
         return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    found = docs.withColumn("_shard", shard_of(n)).mapInArrow(hashes, "bucket int, salt int, blob binary")
-    return found.groupBy("bucket", "salt").applyInArrow(combine, "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, "shard int, blob binary")
+    found = docs.withColumn("_shard", shard_of(n)).mapInArrow(hashes, "bucket int, blob binary")
+    return found.groupBy("bucket").applyInArrow(settle, "shard int, blob binary")
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    return np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def hot_filter(states: DataFrame) -> Callable | None:
+    """Whether routes may be those of hot anchors: a bit map of FILTER places; None if no anchor is hot."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array((mix(unpack(blob, "u8", "u1")[0]) % np.uint64(FILTER)).astype(np.int64))], ["place"])
+
+    found = np.asarray(states.filter("shard < 0").mapInArrow(places, "place long").distinct().toArrow().column("place"))  # FILTER of them at most
+    if not len(found):
+        return None
+    bits = np.zeros(FILTER, bool)
+    bits[found] = True
+    shared = states.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def likely(route: np.ndarray) -> np.ndarray:
+        at = (mix(route) % np.uint64(FILTER)).astype(np.int64)
+        return shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+    return likely
 
 
 # ---------------------------------------------------------------- what a shard sends
 _ROWS = "bucket int, kind int, shard int, blob binary, texts binary"
-_SPAN, _TEXT, _WINDOWS = 0, 1, 2
+_SPAN, _TEXT = 0, 1
 
 
 class Hulls:
     """Texts of a shard by the key that routes them, each with all its places."""
 
-    def __init__(self, task: Task, n: int):
-        self.task, self.n, self.places = task, n, {}
+    def __init__(self, task: Task):
+        self.task, self.places = task, {}
 
     def add(self, key: int, text: bytes, place: tuple[int, int, int]) -> None:
         self.places.setdefault((key, text), []).append(place)
@@ -232,7 +260,7 @@ class Hulls:
             size = (text.count(b" ") + 1 if task.words else len(text)) if text else 0
             if several:  # equal texts of this shard
                 spans += [(*p, size) for p in places if task.keep == "none" or p != first]
-            sent.append((key % self.n, key, *first, not (several and task.keep == "none"), several, text))
+            sent.append((key >> 32, key, *first, not (several and task.keep == "none"), several, text))
         if spans:
             yield shard, _SPAN, shard, pack_spans(*(np.array(x, t) for x, t in zip(zip(*spans, strict=True), _SPAN_TYPES, strict=True))), None
         sent.sort(key=lambda r: r[:5])
@@ -262,96 +290,57 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({c.split()[0]: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(_ROWS.split(", "), kinds, strict=True))})
 
 
-def each_run(table: pa.Table, anchors: np.ndarray, hot: np.ndarray, task: Task) -> Iterator[tuple[Slice, Runs, Rolling, np.ndarray, np.ndarray]]:
-    """Of each slice: its runs whose anchor is among ``anchors`` and whether that is hot; rows that repeat a
-    document are passed over."""
-    seen: set[tuple[int, int]] = set()
-    order = np.argsort(anchors)
-    anchors, hot = anchors[order], hot[order]
-    for s in sliced(table, task.words):
-        new = np.zeros(len(s.ids), bool)
-        for i, key in enumerate(zip(s.ids.tolist(), s.tags.tolist(), strict=True)):
-            if key not in seen:
-                seen.add(key)
-                new[i] = True
-        r, roll = runs_of(s, task.window, task.anchor)
-        at = np.minimum(np.searchsorted(anchors, r.anchor), max(len(anchors) - 1, 0))
-        hit = np.flatnonzero((anchors[at] == r.anchor) & new[r.doc]) if len(anchors) and len(r.doc) else np.zeros(0, np.int64)
-        yield s, r, roll, hit, hot[at[hit]] > 0 if len(hit) else np.zeros(0, bool)
-
+def _among(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in sorted ``known``, -1 for nowhere."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
 
-def _known(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    blobs = right.column("blob").to_pylist() if right.num_rows else []
-    return tuple(np.concatenate(x) for x in zip(*[unpack(b, "u8", "u1") for b in blobs], strict=True)) if blobs else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
 
-
-def select(docs: DataFrame, states: DataFrame, task: Task, n: int) -> DataFrame:
-    """Hulls by the bucket of their anchor, hashes of the windows of hot ones by theirs, spans by shard."""
+def select(docs: DataFrame, states: DataFrame, windows: DataFrame | None, task: Task, n: int) -> DataFrame:
+    """Hulls by the bucket of their anchor, windows of hot ones by theirs, and spans by shard."""
     W = task.window
+    known = states.filter("shard >= 0").withColumn("kind", F.lit(0))
+    if windows is not None:
+        known = known.union(windows.filter("shard >= 0").withColumn("kind", F.lit(1)))
 
-    def work(table: pa.Table, right: pa.Table) -> pa.Table:
-        anchors, hot = _known(right)
-        if not len(anchors) or not table.num_rows:
-            return _table([])
-        hulls, windows = Hulls(task, n), []
-        for s, r, roll, hit, is_hot in each_run(table, anchors, hot, task):
-            for i, warm in zip(hit.tolist(), is_hot.tolist(), strict=True):
-                d, lo, hi = int(r.doc[i]), int(r.lo[i]), int(r.hi[i])
-                if warm:
-                    w = np.arange(lo, hi + 1)
-                    windows.append(roll.of(w, w + W))
-                else:
-                    hulls.add(int(r.anchor[i]), s.text(lo, hi + W), (int(s.ids[d]), int(s.tags[d]), lo - int(s.bounds[d])))
-        shard = right.column("shard")[0].as_py()
-        rows = list(hulls.rows(shard))
-        if windows:
-            h, times = np.unique(np.concatenate(windows), return_counts=True)
-            for bucket, arrays in split_by((h % np.uint64(n)).astype(np.int32), h, np.minimum(times, 2).astype(np.uint8)):
-                rows.append((bucket, _WINDOWS, shard, pack(*arrays), None))
-        return _table(rows)
-
-    return by_shard(docs, states, n, work, _ROWS)
-
-
-def parted(docs: DataFrame, states: DataFrame, rows: DataFrame, task: Task, n: int) -> DataFrame:
-    """The windows of hot runs that stand in several places, as texts by the bucket of their hash."""
-    W = task.window
-
-    def settle(group: pa.Table) -> pa.Table:
-        shards, parts = group.column("shard").to_pylist(), [unpack(b, "u8", "u1") for b in group.column("blob").to_pylist()]
-        h, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        shard = np.repeat(np.array(shards, np.int32), [len(p[0]) for p in parts])
-        order = np.argsort(h, kind="stable")
-        h, times, shard = h[order], times[order], shard[order]
-        a, z = runs(h)
-        keep = np.repeat(np.add.reduceat(times.astype(np.int64), a) > 1, z - a) if len(a) else np.zeros(0, bool)
-        keys, blobs = [], []
-        for key, (own,) in split_by(shard[keep], h[keep]):
-            keys.append(key)
-            blobs.append(pack(own))
-        return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array([None] * len(keys), pa.binary()), "windows": pa.array(blobs, pa.binary())})
-
-    several = rows.filter(F.col("kind") == _WINDOWS).groupBy("bucket").applyInArrow(settle, "shard int, blob binary, windows binary")
+    def routes_of(right: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = zip(right.column("blob").to_pylist(), right.column("kind").to_pylist(), strict=True) if right.num_rows else ()
+        parts = [unpack(b, "u8", "u1") for b, k in rows if k == kind]
+        route, hot = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        order = np.argsort(route)
+        return route[order], hot[order] > 0
 
     def work(table: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = [unpack(b, "u8")[0] for b in right.column("windows").to_pylist() if b] if right.num_rows else []
-        if not wanted or not table.num_rows:
+        anchors, hot = routes_of(right, 0)
+        wanted, _ = routes_of(right, 1)
+        if not len(anchors) or not table.num_rows:
             return _table([])
-        wanted = np.sort(np.concatenate(wanted))
-        known = [unpack(b, "u8", "u1") for b in right.column("blob").to_pylist() if b]
-        anchors, hot = (np.concatenate(x) for x in zip(*known, strict=True))
-        hulls = Hulls(task, n)
-        for s, r, roll, hit, is_hot in each_run(table, anchors[hot > 0], hot[hot > 0], task):
-            for i in hit[is_hot].tolist():
-                d, w = int(r.doc[i]), np.arange(r.lo[i], r.hi[i] + 1)
-                h = roll.of(w, w + W)
-                for j in np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h).tolist():
-                    at = int(w[j])
-                    hulls.add(int(h[j]), s.text(at, at + W), (int(s.ids[d]), int(s.tags[d]), at - int(s.bounds[d])))
+        hulls, seen = Hulls(task), set()
+        for s in sliced(table, task.words):
+            new = np.zeros(len(s.ids), bool)  # rows that repeat a document are passed over
+            for i, key in enumerate(zip(s.ids.tolist(), s.tags.tolist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new[i] = True
+            r, roll = runs_of(s, W, task.anchor)
+            route = routes(r.anchor, n)
+            at = _among(anchors, route)
+            hit = np.flatnonzero((at >= 0) & new[r.doc]) if len(at) else at
+            ids, tags, bounds = s.ids.tolist(), s.tags.tolist(), s.bounds.tolist()
+            rows = zip(hit.tolist(), route[hit].tolist(), r.doc[hit].tolist(), r.lo[hit].tolist(), r.hi[hit].tolist(), hot[at[hit]].tolist(), strict=True)
+            for _, key, d, lo, hi, warm in rows:
+                if not warm:
+                    hulls.add(key, s.text(lo, hi + W), (ids[d], tags[d], lo - bounds[d]))
+                    continue
+                w = np.arange(lo, hi + 1)
+                h = routes(roll.of(w, w + W), n)
+                for j in np.flatnonzero(_among(wanted, h) >= 0).tolist():
+                    hulls.add(int(h[j]), s.text(lo + j, lo + j + W), (ids[d], tags[d], lo + j - bounds[d]))
         return _table(list(hulls.rows(right.column("shard")[0].as_py())))
 
-    both = states.withColumn("windows", F.lit(None).cast("binary")).unionByName(several)
-    return by_shard(docs, both, n, work, _ROWS)
+    return by_shard(docs, known, n, work, _ROWS)
 
 
 # ---------------------------------------------------------------- what a bucket finds
@@ -407,7 +396,7 @@ def verify(rows: DataFrame, task: Task) -> DataFrame:
                     out.append(pack_spans(*arrays))
         return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
 
-    return rows.filter(F.col("kind") != _WINDOWS).groupBy("bucket").applyInArrow(work, "shard int, blob binary")
+    return rows.groupBy("bucket").applyInArrow(work, "shard int, blob binary")
 
 
 def _batches(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -454,10 +443,9 @@ def remove_repeats(docs: DataFrame, task: Task, emit, schema: str) -> DataFrame:
     own = bare(docs)
     n = n_shards(own)
     states = checkpoint(gather(own, task, n))
-    rows = checkpoint(select(own, states, task, n))
-    if not rows.filter(F.col("kind") == _WINDOWS).isEmpty():
-        rows = rows.union(parted(own, states, rows, task, n))
-    return apply_spans(docs, verify(rows, task), task, n, emit, schema)
+    hot = hot_filter(states)
+    windows = gather(own, task, n, hot) if hot else None
+    return apply_spans(docs, verify(select(own, states, windows, task, n), task), task, n, emit, schema)
 
 
 __all__ = ["Slice", "Task", "remove_repeats"]
