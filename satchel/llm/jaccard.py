@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Rolling, Words, bare, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack, whole_row
+from satchel.llm.common import Rolling, Words, bare, columns_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack, whole_row
 from satchel.llm.graph import components, stars
 from satchel.plans.shared import checkpoint, written
 
@@ -289,7 +289,8 @@ def region_links(sets: list[np.ndarray], measure: Measure) -> list[tuple[int, in
         inside = measure.linked(both, size[rest], size[pivot])
         links += [(pivot, int(i)) for i in rest[inside]]
         near, d_near = rest[inside], distance[inside]
-        for y, d in zip(rest[~inside], distance[~inside], strict=True):
+        reached = ~inside & (distance <= d_near.max(initial=-1) + measure.reach)  # the others' windows are empty
+        for y, d in zip(rest[reached], distance[reached], strict=True):
             window = near[d_near >= d - measure.reach]
             window = window[(measure.den * np.minimum(size[window], size[y]) >= measure.num * np.maximum(size[window], size[y]))]
             if len(window):
@@ -318,6 +319,12 @@ def _join_small(members: DataFrame, measure: Measure) -> DataFrame:
     return members.groupBy("region").applyInArrow(work, "u long, v long")
 
 
+def _salted(left: DataFrame, by_region: DataFrame, salts: int = 16) -> DataFrame:
+    """Join with a table of one row a region; a large region is spread over several tasks."""
+    copies = by_region.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(copies, ["region", "_salt"]).drop("_salt")
+
+
 def _part(members: DataFrame, measure: Measure, turn: int) -> tuple[DataFrame, DataFrame]:
     """Voronoi regions of several pivots: links found, and members of the regions that are left."""
     luck = F.xxhash64("node", F.lit(turn))
@@ -340,12 +347,12 @@ def _part(members: DataFrame, measure: Measure, turn: int) -> tuple[DataFrame, D
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["elements"], pa.binary()), pa.array(out["pivot"], pa.int64()), pa.array(out["distance"], pa.float64()), pa.array(out["inside"], pa.bool_())], list(out))
 
-    placed = members.join(pivots, "region").mapInArrow(place, "region long, node long, elements binary, pivot long, distance double, inside boolean")
+    placed = _salted(members, pivots).select("region", "node", "elements", "pivots").mapInArrow(place, "region long, node long, elements binary, pivot long, distance double, inside boolean")
     placed = checkpoint(placed.withColumn("region", F.xxhash64("region", "pivot", F.lit(turn))))
     links = placed.filter("inside and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     outside = placed.filter("not inside").groupBy("region").agg(F.min("distance").alias("edge"))
     # inside ones that no outside one can reach are done
-    left = placed.join(outside, "region").filter(f"not inside or distance >= edge - {measure.reach!r}")
+    left = _salted(placed, outside).filter(f"not inside or distance >= edge - {measure.reach!r}")
     return links, left.select("region", "node", "elements")
 
 
@@ -436,7 +443,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
     keyed = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     joined = keyed.join(marks, (F.col("_text") == F.col("_h")) & F.col("_own").eqNullSafe(F.col("_id")), "left")
     repeated = joined.filter("_once").dropDuplicates(["_own", "_text"])
-    return joined.filter("_once is null").select("row.*").union(repeated.select("row.*"))
+    return joined.filter("_once is null").union(repeated).select(*columns_of(docs, {}))
 
 
 def jaccard_query(docs: DataFrame) -> DataFrame:
