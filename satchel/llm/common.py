@@ -31,9 +31,14 @@ def bare(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def whole_row(docs: DataFrame):
+def whole_row(docs: DataFrame, without: tuple[str, ...] = ()):
     """All columns as one, so that names of any kind clash with none."""
-    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in without]).alias("row")
+
+
+def columns_of(docs: DataFrame, made: dict) -> list:
+    """The columns of ``docs`` from its ``row``, but for those that are ``made`` anew."""
+    return [(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns]
 
 
 def n_shards(docs: DataFrame, column: str = "text", per: int = SHARD_BYTES) -> int:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import LOWER, Rolling, Words, bare, slices, text_buffer, whole_row
+from satchel.llm.common import LOWER, Rolling, Words, bare, columns_of, slices, text_buffer, whole_row
 
 #: Items of a block, which is what a pass over the documents gets broadcast at most.
 ITEMS = 50_000
@@ -162,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int =
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    docs = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs))
+    whole, docs = docs, docs.select(F.col("text").cast("string").alias("text"), whole_row(docs, ("text",)))
     for s in blocks(benchmark, k, num, den):
         shared = docs.sparkSession.sparkContext.broadcast(s)
 
@@ -173,4 +173,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num:
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs.select("row.*")
+    return docs.select(*columns_of(whole, {"text": F.col("text")}))

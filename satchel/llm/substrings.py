@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from satchel.llm.automaton import SuffixAutomaton
-from satchel.llm.common import bare, ids_column, runs, sha256, whole_row
+from satchel.llm.common import bare, columns_of, ids_column, runs, sha256, whole_row
 from satchel.llm.repeats import Slice, Task, remove_repeats
 
 WORDS, BYTES = 20, 200
@@ -50,16 +50,16 @@ def _kept_words(s: Slice, i: int, removed: np.ndarray) -> bytes:
     return b" ".join(raw) if not gone.any() else b" ".join([w for w, g in zip(raw, gone.tolist(), strict=True) if not g])
 
 
-def substring_dedup(docs: DataFrame, window: int = WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WORDS, count: str = "n_removed") -> DataFrame:
     """All rows with ``text`` without the words of windows that start earlier elsewhere, and
-    ``n_removed``, in place of a column of that name.
+    ``n_removed`` (``count`` may give it another name), in place of a column of that name.
 
     Kept words are joined by one space where any was removed; other texts stay as they are, null too.
     Earlier means a smaller doc_id, or the same document and an earlier start; rows that repeat doc_id
     and words are one document.  A text of fewer than ``window`` words loses nothing.
     """
-    docs = docs.drop("n_removed")
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole_row(docs))
+    docs = docs.drop(count)
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole_row(docs, ("text",)))
     names = ["doc_id", "text", "row"]
     schema = StructType([*inner.schema.fields, StructField("n_removed", LongType())])
 
@@ -75,7 +75,7 @@ def substring_dedup(docs: DataFrame, window: int = WORDS) -> DataFrame:
         return pa.table({c: kept.get(c) if c in kept else table.column(c) if table.num_rows else pa.nulls(0) for c in [*names, "n_removed"]})
 
     found = remove_repeats(inner, word_task(window), emit, schema)
-    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "n_removed")
+    return found.select(*columns_of(docs, {"text": F.col("text")}), F.col("n_removed").alias(count))
 
 
 def substring_dedup_query(docs: DataFrame) -> DataFrame:

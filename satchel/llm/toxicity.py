@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, mix, pack, slices, text_buffer, unpack, whole_row
+from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, columns_of, mix, pack, slices, text_buffer, unpack, whole_row
 
 BITS = 18
 #: Labelled documents that a model is fitted on at most, chosen by a hash of their ids.
@@ -182,16 +182,26 @@ def _scored(docs: DataFrame, model: Model, schema: str, emit) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
+def _with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """text, row (the other columns) and _score of each row."""
+    inner = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs, ("text",)))
+
+    def emit(batch, part, words, sentence, p, doc, model):
+        return batch.append_column("_score", pa.array(model.documents(p, doc, batch.num_rows), pa.float64()))
+
+    return _scored(inner, model, StructType([*inner.schema.fields, StructField("_score", DoubleType())]), emit)
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` to the documents, in place of a column of that name: 0 where a text is null or has no
     word."""
     docs = docs.drop("score")
-    inner = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs))
+    return _with_scores(docs, model).select(*columns_of(docs, {"text": F.col("text")}), F.col("_score").alias("score"))
 
-    def emit(batch, part, words, sentence, p, doc, model):
-        return batch.append_column("score", pa.array(model.documents(p, doc, batch.num_rows), pa.float64()))
 
-    return _scored(inner, model, StructType([*inner.schema.fields, StructField("score", DoubleType())]), emit).select("row.*", "score")
+def non_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score stays under the threshold."""
+    return _with_scores(docs, model).filter(F.col("_score") < threshold).select(*columns_of(docs, {"text": F.col("text")}))
 
 
 def toxic_sentences(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
