@@ -10,19 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm.bpe import bpe_encode
-from satchel.llm.common import table, whole_row
+from satchel.llm.common import table
 from satchel.llm.decontaminate import without_contaminated
 from satchel.llm.jaccard import one_of_each
 from satchel.llm.substrings import substring_dedup
-from satchel.llm.toxicity import THRESHOLD, toxicity, train
+from satchel.llm.toxicity import non_toxic, train
 from satchel.plans.shared import new_folder, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold; a null text scores 0 and stays."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity(docs.select("text", whole_row(docs)), model)
-    return scored.filter(F.col("score") < THRESHOLD).select("row.*")
+    return non_toxic(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +36,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without stretches of 20 words that start earlier elsewhere; a text that had words and
     has none left goes.  A column n_chars, if there is one, follows the text."""
-    cut = substring_dedup(docs.select("doc_id", "text", whole_row(docs)))
-    kept = cut.filter((F.col("n_removed") == 0) | (F.col("text") != ""))
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
-    made = {"text": F.col("text"), "n_chars": size}
-    return kept.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    count = next(c for k in range(len(docs.columns) + 1) if (c := f"_n_removed_{k}") not in docs.columns)
+    cut = substring_dedup(docs, count=count)
+    kept = cut.filter((F.col(count) == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.drop(count)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
