@@ -23,7 +23,7 @@ from satchel.llm.common import BYTE_HASH, Rolling, bare, default_tokenizer_path,
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES, _BLANK = regex.compile(PATTERN), regex.compile(r"\s+")
 #: Entries a worker keeps for pre-tokens it has met; then it begins anew.
-CACHE = 600_000
+CACHE = 300_000
 #: Texts that a worker takes at once.
 AT_ONCE = 256
 _NEVER, _NONE = 1 << 60, np.int32((1 << 31) - 1)
@@ -424,8 +424,9 @@ class Encoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        #: Ids of a pre-token, the same in decimals, and the bytes they decode to.
-        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        #: Number of ids of a pre-token, the same in decimals, and the bytes they decode to.
+        self.forms: dict[str, tuple[int, str, bytes]] = {}
         pairs = {}
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -493,9 +494,15 @@ class Encoder:
         for s in range(0, len(short), 4096):  # of about equal length
             part = short[s : s + 4096]
             found.update(zip(part, self.merge_all([raw[i] for i in part]), strict=True))
-        for i, p in enumerate(new):
-            ids = found[i]
-            self.known[p] = (ids, " ".join(map(str, ids)), self.decode(ids))
+        self.known.update((p, found[i]) for i, p in enumerate(new))
+
+    def form(self, piece: str) -> tuple[int, str, bytes]:
+        if (known := self.forms.get(piece)) is None:
+            if len(self.forms) >= CACHE:
+                self.forms.clear()
+            ids = self.known[piece]
+            known = self.forms[piece] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        return known
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -506,11 +513,11 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-#: (encoder, doc_ids, texts, what is known of each text's pre-tokens)
-Emit = Callable[[Encoder, list, list[str | None], Iterator[list[tuple]]], pa.RecordBatch]
+#: (encoder, doc_ids, texts, pre-tokens of each text)
+Emit = Callable[[Encoder, list, list[str | None], Iterator[list[str]]], pa.RecordBatch]
 
 def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: int = 1024, overlap: int = 64, spread_chars: int = 65_536) -> DataFrame:
-    """What ``emit`` makes of doc_ids, texts and the encodings of each text's pre-tokens.
+    """What ``emit`` makes of doc_ids, texts and each text's pre-tokens, whose ids are known then.
 
     Every text is cut into chunks of ``chunk_chars`` and ``overlap`` more, the chunks into pre-tokens, and
     these are stitched and encoded.  The chunks of a text of more than ``spread_chars`` are cut into
@@ -535,8 +542,7 @@ def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: i
                 texts = part.column("text").to_pylist()
                 cut = [pieces(t or "") for t in texts]
                 encoder.learn(cut)
-                get = encoder.known.__getitem__
-                yield emit(encoder, part.column("doc_id").to_pylist(), texts, (list(map(get, p)) for p in cut))
+                yield emit(encoder, part.column("doc_id").to_pylist(), texts, iter(cut))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The chunks of long texts, a few at a time."""
@@ -565,8 +571,8 @@ def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: i
 
         cut = stitch(text, ((starts[i], own(i)) for i in first))
         encoder.learn([cut])
-        found, copies = list(map(encoder.known.__getitem__, cut)), starts.count(0)
-        return pa.Table.from_batches([emit(encoder, [group.column("doc_id")[0].as_py()] * copies, [text] * copies, iter([found] * copies))])
+        copies = starts.count(0)
+        return pa.Table.from_batches([emit(encoder, [group.column("doc_id")[0].as_py()] * copies, [text] * copies, iter([cut] * copies))])
 
     chunks = (
         docs.filter(long)
@@ -585,8 +591,9 @@ _CHUNKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32
 def bpe_encode(docs: DataFrame, path: str | None = None, **sizes: int) -> DataFrame:
     """doc_id, text, ids array<int>: the ids of every text, as ``_encoded`` gets them."""
 
-    def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[tuple]]) -> pa.RecordBatch:
-        ids = [list(chain.from_iterable([k[0] for k in own])) for own in found]
+    def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[str]]) -> pa.RecordBatch:
+        get = encoder.known.__getitem__
+        ids = [np.fromiter(chain.from_iterable(map(get, own)), np.int32) for own in found]
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
     return _encoded(docs, path or default_tokenizer_path("byte_bpe_50k.tiktoken"), emit, "doc_id long, text string, ids array<int>", **sizes)
@@ -609,8 +616,11 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ids and of the bytes they decode to."""
 
-    def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[tuple]]) -> pa.RecordBatch:
-        rows = [(sum([len(k[0]) for k in own]), sha256(" ".join([k[1] for k in own]).encode()), sha256(b"".join([k[2] for k in own]))) for own in found]
+    def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[str]]) -> pa.RecordBatch:
+        rows, get, form = [], encoder.forms.get, encoder.form
+        for cut in found:
+            own = [get(p) or form(p) for p in cut]
+            rows.append((sum([k[0] for k in own]), sha256(" ".join([k[1] for k in own]).encode()), sha256(b"".join([k[2] for k in own]))))
         kinds = (pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, columns_of, mix, pack, slices, text_buffer, unpack, whole_row
+from satchel.plans.shared import checkpoint
 
 BITS = 18
 #: Labelled documents that a model is fitted on at most, chosen by a hash of their ids.
@@ -139,11 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         has = np.flatnonzero(present)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (has, present[has], toxic[has])], ["slot", "present", "toxic"])
 
-    # the ids are at most ``sample``, which bounds what is broadcast; one row of each bounds the rows
+    # the ids are at most ``sample``, which bounds what is broadcast; one text of each bounds what is kept
     labelled = bare(docs).join(F.broadcast(taken), "doc_id")
-    one = labelled.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_least"))
-    texts = labelled.join(F.broadcast(one), (labelled["doc_id"] == one["doc_id"]) & (F.xxhash64("text") == one["_least"]), "left_semi")
-    texts = texts.select("toxic", "text")
+    texts = checkpoint(labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text"))
     sums = texts.mapInArrow(count, "slot long, present long, toxic long").groupBy("slot").agg(F.sum("present").alias("present"), F.sum("toxic").alias("toxic"))
     slot, present, toxic = (np.asarray(c) for c in sums.filter(F.col("present") >= F.when(F.col("slot") == DEAD, 1).otherwise(LEAST_DOCS)).toArrow().columns)  # a row for each slot at most
     every = slot == DEAD
