@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from satchel.llm.common import BYTE_HASH, Rolling, bare, default_tokenizer_path, sha256
+from satchel.llm.common import BYTE_HASH, Rolling, bare, default_tokenizer_path, sha256, tidy, tidy_group
 
 #: The public pattern that cuts a text into pre-tokens, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -347,7 +347,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends, kind), pa.array(counts, kind)], ["doc_id", "ends", "counts"])
 
-    return bare(docs).mapInArrow(count, "doc_id long, ends array<int>, counts array<int>")
+    return bare(docs).mapInArrow(tidy(count), "doc_id long, ends array<int>, counts array<int>")
 
 
 def within(prefixes: DataFrame, budget: int) -> DataFrame:
@@ -381,7 +381,7 @@ def token_counts(docs: DataFrame, path: str | None = None, budget: int = 512) ->
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_chars"],
             )
 
-    return bare(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
+    return bare(docs).mapInArrow(tidy(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 # ---------------------------------------------------------------- operator 10
@@ -577,12 +577,12 @@ def _encoded(docs: DataFrame, path: str, emit: Emit, schema: str, chunk_chars: i
     chunks = (
         docs.filter(long)
         .select("doc_id", F.xxhash64("text").alias("key"), "text")
-        .mapInArrow(spread, "doc_id long, key long, n int, start int, chunk string")
+        .mapInArrow(tidy(spread), "doc_id long, key long, n int, start int, chunk string")
         .repartition("doc_id", "key", "start")
-        .mapInArrow(pretokenise, "doc_id long, key long, n int, start int, chunk string, sizes array<int>")
+        .mapInArrow(tidy(pretokenise), "doc_id long, key long, n int, start int, chunk string, sizes array<int>")
     )
-    joined = chunks.groupBy("doc_id", "key", "n").applyInArrow(join, schema)
-    return docs.filter(~long).mapInArrow(encode, schema).unionByName(joined)
+    joined = chunks.groupBy("doc_id", "key", "n").applyInArrow(tidy_group(join), schema)
+    return docs.filter(~long).mapInArrow(tidy(encode), schema).unionByName(joined)
 
 
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("chunk", pa.string())])
@@ -610,7 +610,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             raw = [encoder.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
             yield batch.append_column("raw", pa.array(raw, pa.binary()))
 
-    return encoded.mapInArrow(decode, schema)
+    return encoded.mapInArrow(tidy(decode), schema)
 
 
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

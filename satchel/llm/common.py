@@ -7,9 +7,10 @@ otherwise.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,48 @@ def shard_of(n: int):
     return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
 
 
+# ---------------------------------------------------------------- memory of workers
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others give back by themselves
+#: Bytes of groups after which a worker gives back what it has freed.
+GIVE_BACK = 16 << 20
+_done = 0
+
+
+def give_back(done: int = GIVE_BACK) -> None:
+    """What this process has freed goes back to the system, once ``done`` bytes of groups add up.  Workers live
+    on between tasks and stages, several beside one JVM, and would each keep the most that they ever needed."""
+    global _done
+    _done += done
+    if _done >= GIVE_BACK:
+        _done = 0
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` for mapInArrow that gives memory back at its end."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_group(work: Callable[[pa.Table], pa.Table]):
+    """``work`` for applyInArrow that gives memory back after every ``GIVE_BACK`` bytes of groups."""
+
+    def run(group):
+        found = work(group)
+        give_back(group.nbytes)
+        return found
+
+    return run
+
+
 # ---------------------------------------------------------------- arrays in binary columns
 _LEVEL = 1
 

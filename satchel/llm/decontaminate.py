@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import LOWER, Rolling, Words, bare, columns_of, slices, text_buffer, whole_row
+from satchel.llm.common import LOWER, Rolling, Words, bare, columns_of, slices, text_buffer, tidy, whole_row
 
 #: Items of a block, which is what a pass over the documents gets broadcast at most.
 ITEMS = 50_000
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int =
                     ["doc_id", "item_id", "n_item", "n_shared", "containment"],
                 )
 
-        out = out.union(docs.mapInArrow(find, schema))
+        out = out.union(docs.mapInArrow(tidy(find), schema))
     return out
 
 
@@ -172,5 +172,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num:
                 clean[[r[0] for r in matches(shared.value, batch.column("text"))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs.select(*columns_of(whole, {"text": F.col("text")}))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Rolling, Words, bare, columns_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack, whole_row
+from satchel.llm.common import Rolling, Words, bare, columns_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, tidy, tidy_group, unpack, whole_row
 from satchel.llm.graph import components, stars
 from satchel.plans.shared import checkpoint, written
 
@@ -132,7 +132,7 @@ def described(docs: DataFrame, measure: Measure) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("h"), pa.array(sets.size), pa.array(_signed(sets.key)), pa.array(parities(sets), pa.binary()), _blobs(sig, owner, e - s)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "node", "bits", "signatures"])
 
-    made = docs.withColumn("h", F.xxhash64("text")).mapInArrow(describe, "doc_id long, h long, n long, node long, bits binary, signatures binary")
+    made = docs.withColumn("h", F.xxhash64("text")).mapInArrow(tidy(describe), "doc_id long, h long, n long, node long, bits binary, signatures binary")
     return written(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
@@ -256,7 +256,7 @@ def candidates(sets: DataFrame, nodes: DataFrame, measure: Measure, n: int, most
         pairs = stars(np.array(out, np.int64).reshape(-1, 2))
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    shared = checkpoint(sets.select("node", "signatures").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(groups, "label long, nodes array<long>, u long, v long"))
+    shared = checkpoint(sets.select("node", "signatures").mapInArrow(tidy(emit), "bucket int, blob binary").groupBy("bucket").applyInArrow(tidy_group(groups), "label long, nodes array<long>, u long, v long"))
     some = shared.filter("label is not null").select("label", F.explode("nodes").alias("node")).distinct()
     members = some.join(nodes.select("node", "rid"), "node").join(sets.select("rid", "n", "bits"), "rid").select("label", "node", "n", "bits")
     linked = members.groupBy(F.pmod("label", F.lit(n)).alias("bucket")).applyInArrow(link, "u long, v long")
@@ -316,7 +316,7 @@ def _join_small(members: DataFrame, measure: Measure) -> DataFrame:
         pairs = stars(node[first][np.array(links, np.int64).reshape(-1, 2)])
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
-    return members.groupBy("region").applyInArrow(work, "u long, v long")
+    return members.groupBy("region").applyInArrow(tidy_group(work), "u long, v long")
 
 
 def _salted(left: DataFrame, by_region: DataFrame, salts: int = 16) -> DataFrame:
@@ -347,7 +347,7 @@ def _part(members: DataFrame, measure: Measure, turn: int) -> tuple[DataFrame, D
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["elements"], pa.binary()), pa.array(out["pivot"], pa.int64()), pa.array(out["distance"], pa.float64()), pa.array(out["inside"], pa.bool_())], list(out))
 
-    placed = _salted(members, pivots).select("region", "node", "elements", "pivots").mapInArrow(place, "region long, node long, elements binary, pivot long, distance double, inside boolean")
+    placed = _salted(members, pivots).select("region", "node", "elements", "pivots").mapInArrow(tidy(place), "region long, node long, elements binary, pivot long, distance double, inside boolean")
     placed = checkpoint(placed.withColumn("region", F.xxhash64("region", "pivot", F.lit(turn))))
     links = placed.filter("inside and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     outside = placed.filter("not inside").groupBy("region").agg(F.min("distance").alias("edge"))
@@ -378,8 +378,8 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, measure: M
     keyed = docs.withColumn("h", F.xxhash64("text"))
     found = keyed.join(wanted, (keyed["h"] == wanted["_h"]) & keyed["doc_id"].eqNullSafe(wanted["_id"])).select("root", "node", "text", "copies")
     # rows that repeat id and text bring their node again; only nodes of many rows may have many of those
-    few = found.filter("copies <= 16").drop("copies").mapInArrow(fetch, _MEMBERS)
-    many = found.filter("copies > 16").dropDuplicates(["node"]).drop("copies").mapInArrow(fetch, _MEMBERS)
+    few = found.filter("copies <= 16").drop("copies").mapInArrow(tidy(fetch), _MEMBERS)
+    many = found.filter("copies > 16").dropDuplicates(["node"]).drop("copies").mapInArrow(tidy(fetch), _MEMBERS)
     members = checkpoint(few.union(many))
     links, turn, last = [], 0, None
     while True:

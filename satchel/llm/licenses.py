@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from satchel.llm.automaton import SuffixAutomaton
-from satchel.llm.common import bare
+from satchel.llm.common import bare, tidy
 
 #: Fixed values of the contract: phrase and label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -179,7 +179,7 @@ def license_spans(docs: DataFrame, **options) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "label", "first_word", "end_word", "share"])
 
-    return bare(docs).mapInArrow(scan, "doc_id long, label string, first_word long, end_word long, share double")
+    return bare(docs).mapInArrow(tidy(scan), "doc_id long, label string, first_word long, end_word long, share double")
 
 
 def license_scan(docs: DataFrame, **options) -> DataFrame:
@@ -211,4 +211,4 @@ def license_scan(docs: DataFrame, **options) -> DataFrame:
                 [c.split()[0] for c in schema.split(", ")],
             )
 
-    return bare(docs).mapInArrow(scan, schema)
+    return bare(docs).mapInArrow(tidy(scan), schema)

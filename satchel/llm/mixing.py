@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import Words, bare, ids_column, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
+from satchel.llm.common import Words, bare, ids_column, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, tidy, tidy_group, unpack
 from satchel.llm.shards import by_shard, from_ipc, packed
 from satchel.plans.shared import checkpoint
 
@@ -243,8 +243,8 @@ def vocabulary(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.table({c: pa.array(columns[c], k) for c, k in zip(names, kinds, strict=True)})
 
-    sent = docs.mapInArrow(count, "bucket int, blob binary").groupBy("bucket")
-    summed = checkpoint(sent.applyInArrow(total, "code int, types long, tokens long, frequent long, class int, blob binary"))
+    sent = docs.mapInArrow(tidy(count), "bucket int, blob binary").groupBy("bucket")
+    summed = checkpoint(sent.applyInArrow(tidy_group(total), "code int, types long, tokens long, frequent long, class int, blob binary"))
     tokens, types, table = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros((CLASSES, 1 << BITS), np.int64)
     for r in summed.filter("code is not null").groupBy("code").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect():  # 2 ** BITS rows at most
         tokens[r.code], types[r.code] = r.tokens, r.types
@@ -324,8 +324,8 @@ def counts_by_shard(docs: DataFrame, layout: Layout, frequent: np.ndarray) -> Da
             }
         )
 
-    counted = packed(docs, n).groupBy("shard").applyInArrow(own, "bucket int, shard int, blob binary, pairs binary")
-    return counted.groupBy("bucket").applyInArrow(total, "shard int, bucket int, blob binary, pairs binary")
+    counted = packed(docs, n).groupBy("shard").applyInArrow(tidy_group(own), "bucket int, shard int, blob binary, pairs binary")
+    return counted.groupBy("bucket").applyInArrow(tidy_group(total), "shard int, bucket int, blob binary, pairs binary")
 
 
 # ---------------------------------------------------------------- scoring

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import BYTE_HASH, Rolling, Words, bare, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, unpack
+from satchel.llm.common import BYTE_HASH, Rolling, Words, bare, ids_of, mix, n_shards, pack, runs, slices, split_by, text_buffer, tidy, tidy_group, unpack
 from satchel.llm.shards import by_shard, shard_of
 from satchel.plans.shared import checkpoint
 
@@ -207,8 +207,8 @@ def gather(docs: DataFrame, task: Task, n: int, by_window: Callable | None = Non
             blobs.append(pack(of_hot, np.ones(len(of_hot), np.uint8)))
         return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    found = docs.withColumn("_shard", shard_of(n)).mapInArrow(hashes, "bucket int, blob binary")
-    return found.groupBy("bucket").applyInArrow(settle, "shard int, blob binary")
+    found = docs.withColumn("_shard", shard_of(n)).mapInArrow(tidy(hashes), "bucket int, blob binary")
+    return found.groupBy("bucket").applyInArrow(tidy_group(settle), "shard int, blob binary")
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def hot_filter(states: DataFrame) -> Callable | None:
             for blob in batch.column("blob").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array((mix(unpack(blob, "u8", "u1")[0]) % np.uint64(FILTER)).astype(np.int64))], ["place"])
 
-    found = np.asarray(states.filter("shard < 0").mapInArrow(places, "place long").distinct().toArrow().column("place"))  # FILTER of them at most
+    found = np.asarray(states.filter("shard < 0").mapInArrow(tidy(places), "place long").distinct().toArrow().column("place"))  # FILTER of them at most
     if not len(found):
         return None
     bits = np.zeros(FILTER, bool)
@@ -396,7 +396,7 @@ def verify(rows: DataFrame, task: Task) -> DataFrame:
                     out.append(pack_spans(*arrays))
         return pa.table({"shard": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(work, "shard int, blob binary")
+    return rows.groupBy("bucket").applyInArrow(tidy_group(work), "shard int, blob binary")
 
 
 def _batches(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:

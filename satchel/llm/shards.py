@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from satchel.llm.common import shard_of, split_by
+from satchel.llm.common import give_back, shard_of, split_by, tidy
 
 _OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
@@ -37,7 +37,7 @@ def packed(docs: DataFrame, n: int) -> DataFrame:
                 blobs.append(to_ipc(rest.take(pa.array(rows))))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "rows"])
 
-    return docs.withColumn("_shard", shard_of(n)).mapInArrow(pack_rows, "shard int, rows binary")
+    return docs.withColumn("_shard", shard_of(n)).mapInArrow(tidy(pack_rows), "shard int, rows binary")
 
 
 def by_shard(docs: DataFrame, other: DataFrame, n: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -46,6 +46,8 @@ def by_shard(docs: DataFrame, other: DataFrame, n: int, work: Callable[[pa.Table
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = from_ipc(left.column("rows").to_pylist()) if left.num_rows else pa.table({}, schema=empty)
-        return work(docs, right)
+        found = work(docs, right)
+        give_back(docs.nbytes)
+        return found
 
     return packed(docs, n).groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, columns_of, mix, pack, slices, text_buffer, unpack, whole_row
+from satchel.llm.common import BYTE_HASH, LOWER, Rolling, Words, bare, columns_of, mix, pack, slices, text_buffer, tidy, unpack, whole_row
 from satchel.plans.shared import checkpoint
 
 BITS = 18
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # the ids are at most ``sample``, which bounds what is broadcast; one text of each bounds what is kept
     labelled = bare(docs).join(F.broadcast(taken), "doc_id")
     texts = checkpoint(labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text"))
-    sums = texts.mapInArrow(count, "slot long, present long, toxic long").groupBy("slot").agg(F.sum("present").alias("present"), F.sum("toxic").alias("toxic"))
+    sums = texts.mapInArrow(tidy(count), "slot long, present long, toxic long").groupBy("slot").agg(F.sum("present").alias("present"), F.sum("toxic").alias("toxic"))
     slot, present, toxic = (np.asarray(c) for c in sums.filter(F.col("present") >= F.when(F.col("slot") == DEAD, 1).otherwise(LEAST_DOCS)).toArrow().columns)  # a row for each slot at most
     every = slot == DEAD
     if not every.any():
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([n], pa.int64()), pa.array([pack(at[k, i], row.astype(np.int32))], pa.binary())], ["toxic", "sentences", "features"])
 
     # only features with a weight come to the driver
-    rows = sorted((r.toxic, r.sentences, bytes(r.features)) for r in texts.mapInArrow(extract, "toxic int, sentences long, features binary").collect())
+    rows = sorted((r.toxic, r.sentences, bytes(r.features)) for r in texts.mapInArrow(tidy(extract), "toxic int, sentences long, features binary").collect())
     return fit_model([(y, n, *unpack(features, "i4", "i4")) for y, n, features in rows], used)
 
 
@@ -178,7 +178,7 @@ def _scored(docs: DataFrame, model: Model, schema: str, emit) -> DataFrame:
                 words, slot, sentence, doc = instances(part, offsets[s : e + 1] - offsets[s])
                 yield emit(batch.slice(s, e - s), part, words, sentence, model.sentences(slot, sentence), doc, model)
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)
 
 
 def _with_scores(docs: DataFrame, model: Model) -> DataFrame:
