@@ -9,6 +9,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,13 @@ from satchel.llm.common import BYTE_HASH, Rolling, bare, default_tokenizer_path,
 #: The public pattern that cuts a text into pre-tokens, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES, _BLANK = regex.compile(PATTERN), regex.compile(r"\s+")
-#: Entries a worker keeps for pre-tokens it has met; then it begins anew.
+#: Entries of a generation of pre-tokens that a worker has met.  It keeps two: what a full one has is found
+#: again while the next fills, so pre-tokens that come back stay.
 CACHE = 300_000
 #: Texts that a worker takes at once.
 AT_ONCE = 256
 _NEVER, _NONE = 1 << 60, np.int32((1 << 31) - 1)
+_LAST = itemgetter(-1)
 
 
 def merged(piece: bytes, rank: Callable[[bytes, bytes], int]) -> list[bytes]:
@@ -70,7 +73,20 @@ def merged(piece: bytes, rank: Callable[[bytes, bytes], int]) -> list[bytes]:
     return out
 
 
+def recalled(texts: list[list[str | None]], known: dict, before: dict) -> set[str]:
+    """The pre-tokens of some texts that are not known; those of the generation before become known again."""
+    new = set().union(*texts).difference(known)
+    old = {p: before[p] for p in new if p in before}
+    known.update(old)
+    return new.difference(old)
+
+
 # ---------------------------------------------------------------- operator 9
+def _slot(pair: np.ndarray) -> np.ndarray:
+    """Where of 2^21 slots a pair of numbers of tokens is kept."""
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters in which vocabulary files of byte-level BPE write bytes."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -112,11 +128,11 @@ class PrefixCounter:
         self.letters = np.frombuffer(b"".join(self.names), np.uint8)
         self.sizes = np.array([len(x) for x in self.names])
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        #: Pairs of numbers of tokens, sorted, and whether they fit; the latest ones.
-        self.pairs, self.pair_fits, self.recent = np.array([-1]), np.array([False]), {}
+        #: Pairs of numbers of tokens, one in a slot, and whether they fit.
+        self.pairs, self.pair_fits = np.full(1 << 21, -1), np.zeros(1 << 21, bool)
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[str, bytes | tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
+        self.known: dict[str | None, bytes | tuple[int, ...]] = {None: b"\0\1"}
+        self.before: dict[str | None, bytes | tuple[int, ...]] = {}
 
     def rank(self, a: bytes, b: bytes) -> int:
         return self.ranks.get((a, b), _NEVER)
@@ -196,22 +212,15 @@ class PrefixCounter:
     def _fit_all(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """``fit`` of many pairs of numbers of tokens, -1 for the start."""
         key = (before + 1) << 32 | token
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        ok, new = self.pair_fits[at], np.flatnonzero(self.pairs[at] != key)
+        slot = _slot(key)
+        ok, new = self.pair_fits[slot], np.flatnonzero(self.pairs[slot] != key)
         if len(new):
             kinds, of = np.unique(key[new], return_inverse=True)
-            known, names = self.recent, self.names
-            for k in kinds.tolist():
-                if k not in known:
-                    known[k] = self.fit(names[(k >> 32) - 1] if k >> 32 else b"", names[k & 0xFFFFFFFF])
-            ok[new] = np.array([known[k] for k in kinds.tolist()])[of]
-            if len(known) > 4096:
-                keys = np.r_[self.pairs, np.fromiter(known, np.int64, len(known))]
-                order = np.argsort(keys, kind="stable")
-                self.pairs, self.pair_fits = keys[order], np.r_[self.pair_fits, np.fromiter(known.values(), bool, len(known))][order]
-                known.clear()
-                if len(self.pairs) > 4 * CACHE:
-                    self.pairs, self.pair_fits = self.pairs[:1], self.pair_fits[:1]
+            names = self.names
+            found = np.array([self._apart(names[(k >> 32) - 1], names[k & 0xFFFFFFFF]) if k >> 32 else self.alone(names[k]) for k in kinds.tolist()])
+            ok[new] = found[of]
+            slot, at = np.unique(_slot(kinds), return_index=True)
+            self.pairs[slot], self.pair_fits[slot] = kinds[at], found[at]
         return ok
 
     def all_prefixes(self, pieces: list[bytes]) -> list[list[int]]:
@@ -234,32 +243,30 @@ class PrefixCounter:
         return [c[: n + 1] for c, n in zip(count.tolist(), size.tolist(), strict=True)]
 
     def _keep(self, piece: str, counts: list[int]) -> bytes | tuple[int, ...]:
-        kept = self.known[piece] = bytes(counts) if max(counts) < 256 else tuple(counts)
-        self.totals[piece] = counts[-1]
+        kept = self.known[piece] = bytes(counts) if counts[-1] < 256 else tuple(counts)
         return kept
 
     def learn(self, texts: list[list[str | None]]) -> None:
         """Keeps the counts of all pre-tokens of some texts."""
         if len(self.known) >= CACHE:
-            self.known.clear()
-            self.totals.clear()
-        new = sorted(set().union(*texts).difference(self.known) - {None}, key=len)
+            self.known, self.before = {None: self.known[None]}, self.known
+        new = sorted(recalled(texts, self.known, self.before), key=len)
         raw = [p.encode() for p in new]
         short = [i for i, b in enumerate(raw) if len(b) <= 48]
-        for s in range(0, len(short), 2048):
-            part = short[s : s + 2048]
+        for s in range(0, len(short), 8192):
+            part = short[s : s + 8192]
             for i, counts in zip(part, self.all_prefixes([raw[i] for i in part]), strict=True):
                 self._keep(new[i], counts)
+        for p, b in zip(new, raw, strict=True):
+            if len(b) > 48:
+                self._keep(p, self.prefixes(b))
 
-    def counts_of(self, piece: str) -> bytes | tuple[int, ...]:
-        """``prefixes`` of a pre-token, kept."""
+    def counts_of(self, piece: str | None) -> bytes | tuple[int, ...]:
+        """``prefixes`` of a pre-token, kept; a special token counts as one."""
         if (counts := self.known.get(piece)) is None:
             counts = self._keep(piece, self.prefixes(piece.encode()))
         return counts
 
-    def count_piece(self, piece: str) -> int:
-        return self.counts_of(piece)[-1]
-
     def pieces(self, text: str) -> list[str | None]:
         """Pre-tokens; None stands for a special token."""
         if self.special is None or not self.special.search(text):
@@ -280,12 +287,13 @@ class PrefixCounter:
 
     def running(self, pieces: list[str | None]) -> list[int]:
         """Tokens up to the end of each pre-token."""
-        get, whole = self.totals.get, self.count_piece
-        return list(accumulate([1 if p is None else get(p) or whole(p) for p in pieces]))
+        try:
+            return list(accumulate(map(_LAST, map(self.known.__getitem__, pieces))))
+        except KeyError:  # not learnt yet
+            return list(accumulate(map(_LAST, map(self.counts_of, pieces))))
 
     def count(self, text: str) -> int:
-        found = self.running(self.pieces(text))
-        return found[-1] if found else 0
+        return sum(map(_LAST, map(self.counts_of, self.pieces(text))))
 
     def ends(self, text: str, pieces: list[str | None]) -> list[int]:
         """Where each pre-token ends."""
@@ -301,7 +309,7 @@ class PrefixCounter:
         pieces = self.pieces(text) if pieces is None else pieces
         running = self.running(pieces) if running is None else running
         i = bisect_right(running, budget)
-        ends = self.ends(text, pieces)
+        ends = self.ends(text, pieces[:i])
         at = ends[i - 1] if i else 0
         if i == len(pieces) or pieces[i] is None:
             return at
