@@ -8,7 +8,7 @@ import json
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 from operator import itemgetter
 
 import numpy as np
@@ -26,6 +26,8 @@ _PIECES, _BLANK = regex.compile(PATTERN), regex.compile(r"\s+")
 #: Entries of a generation of pre-tokens that a worker has met.  It keeps two: what a full one has is found
 #: again while the next fills, so pre-tokens that come back stay.
 CACHE = 300_000
+#: The same, of those encoded.
+ENCODED = 200_000
 #: Texts that a worker takes at once.
 AT_ONCE = 256
 _NEVER, _NONE = 1 << 60, np.int32((1 << 31) - 1)
@@ -432,9 +434,10 @@ class Encoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-        #: Number of ids of a pre-token, the same in decimals, and the bytes they decode to.
-        self.forms: dict[str, tuple[int, str, bytes]] = {}
+        self.decimals = {r: str(r) for r in self.bytes_of}
+        #: The ids of pre-tokens, as the bytes of their int32.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         pairs = {}
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -452,8 +455,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.merged_to[at], _NONE)
 
-    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of many short pre-tokens, merged side by side: each turn takes the lowest rank of each,
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids, as bytes, of many short pre-tokens, merged side by side: each turn takes the lowest rank of each,
         leftmost of equals."""
         size = np.array([len(p) for p in pieces])
         width = int(size.max(initial=1))
@@ -461,15 +464,17 @@ class Encoder:
         row = np.repeat(np.arange(len(pieces)), size)
         ids[row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self._pair_ranks(ids[:, :-1], ids[:, 1:])
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        out = [b""] * len(pieces)
         left, cols = np.arange(len(pieces)), np.arange(width + 1)
         while True:
             at = ranks.argmin(axis=1)
             best = ranks[np.arange(len(left)), at]
             done = best == _NONE
             if done.any():
-                for i, own, n in zip(left[done].tolist(), ids[done].tolist(), size[done].tolist(), strict=True):
-                    out[i] = tuple(own[:n])
+                n = size[done]
+                found, ends = ids[done][cols < n[:, None]].tobytes(), 4 * np.cumsum(n)
+                for i, a, z in zip(left[done].tolist(), (ends - 4 * n).tolist(), ends.tolist(), strict=True):
+                    out[i] = found[a:z]
                 keep = ~done
                 left, ids, ranks, size, at, best = left[keep], ids[keep], ranks[keep], size[keep], at[keep], best[keep]
             if not len(left):
@@ -487,30 +492,24 @@ class Encoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Keeps the ids of all pre-tokens of some texts."""
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        new = sorted(set().union(*texts).difference(self.known), key=len)
-        raw, found = [p.encode() for p in new], {}
-        short = []
+        if len(self.known) >= ENCODED:
+            self.known, self.before = {}, self.known
+        new = sorted(recalled(texts, self.known, self.before), key=len)
+        raw, short = [p.encode() for p in new], []
         for i, b in enumerate(raw):
             if (r := self.ranks.get(b)) is not None:
-                found[i] = (r,)
+                self.known[new[i]] = np.int32(r).tobytes()
             elif len(b) <= 48:
                 short.append(i)
             else:
-                found[i] = tuple(self.ranks[p] for p in merged(b, self.rank))
+                self.known[new[i]] = np.array([self.ranks[p] for p in merged(b, self.rank)], np.int32).tobytes()
         for s in range(0, len(short), 4096):  # of about equal length
             part = short[s : s + 4096]
-            found.update(zip(part, self.merge_all([raw[i] for i in part]), strict=True))
-        self.known.update((p, found[i]) for i, p in enumerate(new))
-
-    def form(self, piece: str) -> tuple[int, str, bytes]:
-        if (known := self.forms.get(piece)) is None:
-            if len(self.forms) >= CACHE:
-                self.forms.clear()
-            ids = self.known[piece]
-            known = self.forms[piece] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        return known
+            self.known.update(zip([new[i] for i in part], self.merge_all([raw[i] for i in part]), strict=True))
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        """The ids of a text whose pre-tokens are known."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -600,8 +599,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, **sizes: int) -> DataFr
     """doc_id, text, ids array<int>: the ids of every text, as ``_encoded`` gets them."""
 
     def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[str]]) -> pa.RecordBatch:
-        get = encoder.known.__getitem__
-        ids = [np.fromiter(chain.from_iterable(map(get, own)), np.int32) for own in found]
+        ids = [encoder.ids(own) for own in found]
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
     return _encoded(docs, path or default_tokenizer_path("byte_bpe_50k.tiktoken"), emit, "doc_id long, text string, ids array<int>", **sizes)
@@ -625,10 +623,10 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ids and of the bytes they decode to."""
 
     def emit(encoder: Encoder, doc_ids: list, texts: list, found: Iterator[list[str]]) -> pa.RecordBatch:
-        rows, get, form = [], encoder.forms.get, encoder.form
+        rows, decimal = [], encoder.decimals.__getitem__
         for cut in found:
-            own = [get(p) or form(p) for p in cut]
-            rows.append((sum([k[0] for k in own]), sha256(" ".join([k[1] for k in own]).encode()), sha256(b"".join([k[2] for k in own]))))
+            ids = encoder.ids(cut).tolist()
+            rows.append((len(ids), sha256(" ".join(map(decimal, ids)).encode()), sha256(encoder.decode(ids))))
         kinds = (pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -105,7 +105,21 @@ def test_round_trip(spark):
 def test_merging_side_by_side():
     encoder, rng = bpe.Encoder(RANKS), random.Random(2)
     pieces = sorted({bytes(rng.choice(b"abcdehint \xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(3000)}, key=len)
-    assert encoder.merge_all(pieces) == [tuple(encoder.ranks[x] for x in bpe.merged(p, encoder.rank)) for p in pieces]
+    assert encoder.merge_all(pieces) == [np.array([encoder.ranks[x] for x in bpe.merged(p, encoder.rank)], np.int32).tobytes() for p in pieces]
+
+
+def test_pretokens_come_back_from_the_generation_before(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 4)
+    monkeypatch.setattr(bpe, "ENCODED", 4)
+    counter, encoder, library = bpe.PrefixCounter(JSON), bpe.Encoder(RANKS), Tokenizer.from_file(JSON)
+    for turn in range(6):
+        t = f"one two{turn} three four{turn} five"
+        for own in (counter, encoder):
+            own.learn([own.pieces(t) if own is counter else bpe.chunk_pieces(t, True)])
+            assert len(own.known) <= 12 and len(own.before) <= 12
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert counter.running(counter.pieces(t))[-1] == len(ids)
+        assert encoder.ids(bpe.chunk_pieces(t, True)).tolist() == ids
 
 
 def test_pairs_that_share_a_slot():
